@@ -49,7 +49,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words_column(text: Column) -> Column:
     """Array of the words of a text; empty for null or blank texts."""
     bare = F.trim(F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE)))
-    return F.filter(F.split(bare, " +"), lambda w: w != "")
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " +"))
 
 
 # --- numpy kernels --------------------------------------------------------------------------
