@@ -208,7 +208,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 20
     base rules (no words). Repeated rows get a row each; extra columns stay. With an empty label
     table the list is empty and only the base rules reject.
     """
-    rows = written(labelled_sample(docs, labels, most_labelled).where(~base_failed()))
-    rules = learn_rules(rows)
+    # written before it is filtered: a filter pushed below would compute the statistics anew
+    rows = written(labelled_sample(docs, labels, most_labelled))
+    rules = learn_rules(rows.where(~base_failed()))
     judged = text_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
