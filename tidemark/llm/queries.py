@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, neardup, quality, urls
+from . import bpe, chat, embeddings, mixing, neardup, quality, urls
 from .common import read_table
 
 
@@ -52,6 +52,11 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents")).select("doc_id", F.col("size"), "source_size", "target", "taken")
 
 
+def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_chat_formatting": op5_chat_formatting,
@@ -59,6 +64,7 @@ QUERIES = {
     "op7_url_filters": op7_url_filters,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mix": op9_source_mix,
+    "op10_embedding_near_duplicates": op10_embedding_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
