@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, mixing, neardup, quality, urls
+from . import bpe, chat, embeddings, langid, mixing, neardup, quality, urls, warc
 from .common import read_table
 
 
@@ -17,6 +17,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.archived(read_table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by models of the training parts."""
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the planted one, formatted and read back."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -59,6 +69,8 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
+    "op3_language_id": op3_language_id,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filters": op7_url_filters,
