@@ -238,15 +238,19 @@ def calibrate(model: Model, held: DataFrame) -> None:
             model.bound[i] = 1.25 * np.quantile(own, 0.999)
 
 
-def identified(docs: DataFrame, model: Model | None) -> DataFrame:
+def identified(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for each row of docs(doc_id, text).
 
     A null text or one without a letter is `und` with score 0; so is every text when no model could
     be learned. A prediction reads the text alone. rejected marks `und`, scores below a half and
     cross-entropies beyond the bound of their language (wider for short texts). Repeated rows get
-    a row each; extra columns are ignored.
+    a row each; `keep` lists columns to carry along beside the new ones, others are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried = docs.select(*(F.col(c) for c in keep)) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = carried.columns
+    at_text = names.index("text")
+    out = [c for c in names if keep or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, letters, own = Hasher(), letter_table(), shared.value
@@ -254,7 +258,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
             size = batch.num_rows
             pred, score, no = np.full(size, UNDETERMINED, dtype=object), np.zeros(size), np.ones(size, dtype=bool)
             if own is not None and size:
-                scores, n, has = text_scores(own, batch.column(1), hasher, letters)
+                scores, n, has = text_scores(own, batch.column(at_text), hasher, letters)
                 at = np.flatnonzero(has)
                 if len(at):
                     best = scores[at].argmax(axis=1)
@@ -263,14 +267,12 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
                     pred[at] = np.array(own.langs, dtype=object)[best]
                     score[at] = sure
                     no[at] = (sure < 0.5) | (entropy > own.bound[best] + 6 / np.sqrt(n[at]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(no)], ["doc_id", "lang_pred", "score", "rejected"]
-            )
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double, rejected boolean"
-    )
-    return out.select("doc_id", F.coalesce(held_part(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+            columns = [batch.column(i) for i, c in enumerate(names) if c in out]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(no)], [*out, "lang_pred", "score", "rejected"])
+
+    shape = carried.select(*out).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    found = carried.mapInArrow(run, shape)
+    return found.select(*out, F.coalesce(held_part(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def identify(docs: DataFrame, **options: int) -> DataFrame:
