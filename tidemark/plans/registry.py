@@ -1,3 +1,5 @@
 """Query modules whose QUERIES and ORACLES make up the public query set."""
 
-MODULES: list = []
+from . import basics
+
+MODULES: list = [basics]
