@@ -7,22 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import money
 from ..sources import files
-from ..sources.tables import BASE_SQL, category_weeks, locations, products, read, sale_lines
+from ..sources.tables import category_weeks, locations, products, read, sale_lines
+from .registration import Registry
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None, base: bool = True):
-    """Register the function under its own name, with its SQL after the canonical frames."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (BASE_SQL + sql) if base else sql
-        return f
-
-    return add
+query = Registry()
 
 
 def market_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,3 +402,6 @@ def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_array_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return read(spark, sf_dir, "events").groupBy("event_type", (k % 10).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+QUERIES, ORACLES = query.queries, query.oracles

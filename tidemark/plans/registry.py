@@ -1,5 +1,5 @@
 """Query modules whose QUERIES and ORACLES make up the public query set."""
 
-from . import basics
+from . import basics, canonical
 
-MODULES: list = [basics]
+MODULES: list = [basics, canonical]
