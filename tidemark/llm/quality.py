@@ -108,7 +108,7 @@ def _holds(rule: Rule) -> Column:
 def _thresholds(rows: DataFrame, n_cuts: int) -> dict[str, list[float]]:
     """Quantiles of each ratio over all rows and over the rejected ones: rare junk needs cuts of its own."""
     values = rows.select("bad", *(F.expr(e).alias(k) for k, e in FEATURES.items()))
-    probes = [i / n_cuts for i in range(1, n_cuts)]
+    probes = [i / n_cuts for i in range(n_cuts + 1)]
     q = [F.percentile_approx(k, probes, 10000).alias(k) for k in FEATURES]
     every, junk = values.agg(*q).first(), values.where("bad = 1").agg(*q).first()
     return {k: sorted({float(x) for x in (every[k] or []) + (junk[k] or [])}) for k in FEATURES}
