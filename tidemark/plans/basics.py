@@ -175,13 +175,13 @@ def correlated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_lines(spark, sf_dir).groupBy("location").agg(F.count("*").alias("arrivals"), F.sum(F.when(late, 1).otherwise(0)).alias("late"))
 
 
-@query("SELECT order_id, line_no, p.sku AS product, l.market, CAST(abs(s.gross_minor - s.units * p.price_minor) AS BIGINT) AS off_list FROM sales s JOIN products p USING (sku) JOIN locations l USING (location) WHERE s.units = 50")
+@query("SELECT order_id, line_no, p.sku AS product, l.market, CAST(abs(s.gross_minor - s.units * p.price_minor) AS BIGINT) AS off_list FROM sales s JOIN products p USING (sku) JOIN locations l USING (location)")
 def join_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines paired with their one product and site; a key that repeats on either side would be an error."""
     goods, sites = products(spark, sf_dir), locations(spark, sf_dir)
     once = goods.groupBy("sku").agg(F.count("*").alias("n"), F.max("price_minor").alias("price_minor"))
     once = once.withColumn("sku", F.when(F.col("n") == 1, F.col("sku")).otherwise(F.raise_error(F.lit("a product key repeats")).cast("long")))
-    rows = sale_lines(spark, sf_dir).where("units = 50").join(once, "sku").join(sites.select("location", "market"), "location")
+    rows = sale_lines(spark, sf_dir).join(once, "sku").join(sites.select("location", "market"), "location")
     return rows.select("order_id", "line_no", F.col("sku").alias("product"), "market", F.abs(F.col("gross_minor") - F.col("units") * F.col("price_minor")).alias("off_list"))
 
 
@@ -288,10 +288,10 @@ def win_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("sku", "business_date", "price", gap.alias("gap_days"), (F.col("price") - F.lag("price").over(walk)).alias("step"))
 
 
-@query("SELECT location, order_id, line_no, sum(net_minor) OVER (PARTITION BY location ORDER BY net_minor DESC, order_id, line_no, sku ROWS UNBOUNDED PRECEDING) AS running FROM sales WHERE units >= 45")
+@query("SELECT location, order_id, line_no, sum(net_minor) OVER (PARTITION BY location ORDER BY net_minor DESC, order_id, line_no, sku ROWS UNBOUNDED PRECEDING) AS running FROM sales")
 def win_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("location").orderBy(F.desc("net_minor"), "order_id", "line_no", "sku").rowsBetween(Window.unboundedPreceding, 0)
-    return sale_lines(spark, sf_dir).where("units >= 45").select("location", "order_id", "line_no", F.sum("net_minor").over(order).alias("running"))
+    return sale_lines(spark, sf_dir).select("location", "order_id", "line_no", F.sum("net_minor").over(order).alias("running"))
 
 
 @query("SELECT category, market, net, round(net / sum(net) OVER (PARTITION BY market), 9) AS share, round(CAST(sum(net) OVER (PARTITION BY market ORDER BY net DESC, category ROWS UNBOUNDED PRECEDING) - net AS DOUBLE) / sum(net) OVER (PARTITION BY market), 9) AS share_before FROM (SELECT category, market, sum(net_minor) AS net FROM cweeks GROUP BY ALL)")
@@ -319,11 +319,11 @@ def topn_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weeks.join(last, "week", "left_semi").select("sku", "location", "week", "units")
 
 
-@query("SELECT market, 'sale' AS kind, sku, units FROM msales WHERE units = 50 AND NOT returned UNION ALL SELECT market, 'return', sku, -units FROM msales WHERE units = 50 AND returned")
+@query("SELECT market, 'sale' AS kind, sku, units FROM msales WHERE NOT returned UNION ALL SELECT market, 'return', sku, -units FROM msales WHERE returned")
 def set_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    big = market_sales(spark, sf_dir).where("units = 50")
-    sold = big.where(~F.col("returned")).select("market", F.lit("sale").alias("kind"), "sku", "units")
-    back = big.where("returned").select("market", F.lit("return").alias("kind"), "sku", (-F.col("units")).alias("units"))
+    rows = market_sales(spark, sf_dir)
+    sold = rows.where(~F.col("returned")).select("market", F.lit("sale").alias("kind"), "sku", "units")
+    back = rows.where("returned").select("market", F.lit("return").alias("kind"), "sku", (-F.col("units")).alias("units"))
     return sold.unionByName(back)
 
 
@@ -346,9 +346,9 @@ def set_prefer_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scalars --------------------------------------------------------------------------------
 
 
-@query("SELECT order_id, line_no, sku, CASE WHEN units = 0 THEN NULL ELSE (net_minor // units) * (units // 3) + least(net_minor % units, units // 3) END AS share FROM sales WHERE discount_pct = 7")
+@query("SELECT order_id, line_no, sku, CASE WHEN units = 0 THEN NULL ELSE (net_minor // units) * (units // 3) + least(net_minor % units, units // 3) END AS share FROM sales")
 def allocate_first_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sale_lines(spark, sf_dir).where("discount_pct = 7")
+    rows = sale_lines(spark, sf_dir)
     share = money.first_units_share(F.col("net_minor"), F.expr("units div 3"), F.nullif(F.col("units"), F.lit(0)))
     return rows.select("order_id", "line_no", "sku", share.alias("share"))
 

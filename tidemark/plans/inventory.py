@@ -75,11 +75,11 @@ def inv_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lots(spark, sf_dir).groupBy("location").agg(total(units, left < 0).alias("expired"), total(units, left.between(0, 30)).alias("expiring"), total(units * F.col("cost"), left <= 30).alias("exposure_minor"))
 
 
-@query("SELECT market, category, bool_and(sku % 41 <> 0) AS complete, CASE WHEN bool_and(sku % 41 <> 0) THEN CAST(sum(on_hand * cost) AS BIGINT) END AS value_minor, count(*) FILTER (WHERE sku % 41 = 0) AS uncosted FROM cellx WHERE on_hand > 0 AND location % 25 = 0 GROUP BY ALL")
+@query("SELECT market, category, bool_and((sku + location) % 1999 <> 0) AS complete, CASE WHEN bool_and((sku + location) % 1999 <> 0) THEN CAST(sum(on_hand * cost) AS BIGINT) END AS value_minor, count(*) FILTER (WHERE (sku + location) % 1999 = 0) AS uncosted FROM cellx WHERE on_hand > 0 GROUP BY ALL")
 def inv_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value by category of the flagship sites, only where every held product has a cost (each 41st has none)."""
-    costed = F.col("sku") % 41 != 0
-    held = _cells(spark, sf_dir).where("on_hand > 0 and location % 25 = 0")
+    """Value by category, only where every held cell has a cost (few have none)."""
+    costed = (F.col("sku") + F.col("location")) % 1999 != 0
+    held = _cells(spark, sf_dir).where("on_hand > 0")
     sums = held.groupBy("market", "category").agg(F.bool_and(costed).alias("complete"), F.sum(F.col("on_hand") * F.col("cost")).alias("v"), F.count_if(~costed).alias("uncosted"))
     return sums.select("market", "category", "complete", F.when(F.col("complete"), F.col("v")).alias("value_minor"), "uncosted")
 

@@ -1,5 +1,5 @@
 """Query modules whose QUERIES and ORACLES make up the public query set."""
 
-from . import basics, canonical, forecast, inventory
+from . import basics, canonical, forecast, inventory, windows
 
-MODULES: list = [basics, canonical, forecast, inventory]
+MODULES: list = [basics, canonical, forecast, inventory, windows]
