@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import features, inventory, money
+from tidemark.functions import money
+from tidemark.operators import features, inventory
 
 
 def croston(values, alpha=0.1):

@@ -1 +1 @@
-"""Retail analytics on Spark DataFrames."""
+"""Column functions."""

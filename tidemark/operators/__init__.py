@@ -1 +1 @@
-"""Retail analytics on Spark DataFrames."""
+"""Operators that take and return DataFrames or Columns."""

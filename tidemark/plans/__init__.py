@@ -1 +1 @@
-"""Retail analytics on Spark DataFrames."""
+"""Registered queries, each beside its DuckDB SQL."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import money
+from ..functions import money
 from ..sources import files
 from ..sources.tables import category_weeks, locations, products, read, sale_lines
 from .registration import Registry

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import canonical as canon
-from ..operators import money
+from ..functions import money
 from ..sources.tables import locations, products, read, sale_lines
 from .basics import market_sales
 from .registration import Registry

@@ -1,5 +1,5 @@
 """Query modules whose QUERIES and ORACLES make up the public query set."""
 
-from . import basics, canonical, forecast, inventory, staging, windows
+from . import basics, canonical, forecast, inventory, staging, streams, windows
 
-MODULES: list = [basics, canonical, forecast, inventory, staging, windows]
+MODULES: list = [basics, canonical, forecast, inventory, staging, streams, windows]

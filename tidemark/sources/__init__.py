@@ -1 +1 @@
-"""Retail analytics on Spark DataFrames."""
+"""Readers, sinks and the canonical frames."""

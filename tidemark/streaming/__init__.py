@@ -1 +1 @@
-"""Retail analytics on Spark DataFrames."""
+"""Structured Streaming jobs over status events."""
