@@ -25,7 +25,7 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan_parquet(spark, [f"{sf_dir}/part.parquet"]).groupBy("p_brand").agg(F.count("*").alias("parts"), F.sum("p_size").alias("sizes"))
 
 
-_CUSTOMERS = "SELECT c_mktsegment, count(*) AS customers, sum(CAST(CAST(c_acctbal AS DECIMAL(18,2)) * 100 AS BIGINT)) AS balance_minor FROM customer GROUP BY c_mktsegment"
+_CUSTOMERS = "SELECT c_mktsegment, count(*) AS customers, CAST(sum(CAST(CAST(c_acctbal AS DECIMAL(18,2)) * 100 AS BIGINT)) AS BIGINT) AS balance_minor FROM customer GROUP BY c_mktsegment"
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def join_cross_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales.groupBy("market").agg(F.count("*").alias("n")).crossJoin(total)
 
 
-@query("""SELECT s.location, count(*) AS arrivals, sum(CASE WHEN s.known_as_of > CAST(s.business_date + INTERVAL 60 DAY AS TIMESTAMP) THEN 1 ELSE 0 END) AS late FROM sales s GROUP BY s.location""")
+@query("""SELECT s.location, count(*) AS arrivals, CAST(sum(CASE WHEN s.known_as_of > CAST(s.business_date + INTERVAL 60 DAY AS TIMESTAMP) THEN 1 ELSE 0 END) AS BIGINT) AS late FROM sales s GROUP BY s.location""")
 def correlated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("known_as_of") > F.date_add("business_date", 60).cast("timestamp")
     return sale_lines(spark, sf_dir).groupBy("location").agg(F.count("*").alias("arrivals"), F.sum(F.when(late, 1).otherwise(0)).alias("late"))
@@ -194,7 +194,7 @@ def agg_sum_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_lines(spark, sf_dir).join(products(spark, sf_dir).select("sku", "category"), "sku").groupBy("category").agg(*sums)
 
 
-@query("SELECT channel, count(*) FILTER (WHERE returned) AS returns, sum(units) FILTER (WHERE fulfilled) AS done_units, round(avg(units) FILTER (WHERE discount_pct = 0), 6) AS full_price_units FROM sales GROUP BY channel")
+@query("SELECT channel, count(*) FILTER (WHERE returned) AS returns, CAST(sum(units) FILTER (WHERE fulfilled) AS BIGINT) AS done_units, round(avg(units) FILTER (WHERE discount_pct = 0), 6) AS full_price_units FROM sales GROUP BY channel")
 def agg_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_lines(spark, sf_dir).groupBy("channel").agg(
         F.count_if("returned").alias("returns"), F.expr("sum(units) FILTER (WHERE fulfilled)").alias("done_units"),
@@ -263,8 +263,8 @@ def agg_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market_sales(spark, sf_dir).groupBy("market").agg(F.round(weighted, 6).alias("weighted_discount"), F.max(F.when(F.col("returned"), 2).when(F.col("fulfilled"), 1).otherwise(0)).alias("worst"))
 
 
-@query("""SELECT sku, 'gross_minor' AS measure, sum(gross_minor) AS amount FROM sales GROUP BY sku UNION ALL SELECT sku, 'net_minor', sum(net_minor) FROM sales GROUP BY sku
-  UNION ALL SELECT sku, 'tax_minor', sum(tax_minor) FROM sales GROUP BY sku""")
+@query("""SELECT sku, measure, CAST(amount AS BIGINT) AS amount FROM (SELECT sku, 'gross_minor' AS measure, sum(gross_minor) AS amount FROM sales GROUP BY sku UNION ALL SELECT sku, 'net_minor', sum(net_minor) FROM sales GROUP BY sku
+  UNION ALL SELECT sku, 'tax_minor', sum(tax_minor) FROM sales GROUP BY sku)""")
 def agg_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = sale_lines(spark, sf_dir).groupBy("sku").agg(*(F.sum(c).alias(c) for c in ("gross_minor", "net_minor", "tax_minor")))
     return wide.unpivot("sku", ["gross_minor", "net_minor", "tax_minor"], "measure", "amount")
@@ -288,7 +288,7 @@ def win_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("sku", "business_date", "price", gap.alias("gap_days"), (F.col("price") - F.lag("price").over(walk)).alias("step"))
 
 
-@query("SELECT location, order_id, line_no, sum(net_minor) OVER (PARTITION BY location ORDER BY net_minor DESC, order_id, line_no, sku ROWS UNBOUNDED PRECEDING) AS running FROM sales")
+@query("SELECT location, order_id, line_no, CAST(sum(net_minor) OVER (PARTITION BY location ORDER BY net_minor DESC, order_id, line_no, sku ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM sales")
 def win_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("location").orderBy(F.desc("net_minor"), "order_id", "line_no", "sku").rowsBetween(Window.unboundedPreceding, 0)
     return sale_lines(spark, sf_dir).select("location", "order_id", "line_no", F.sum("net_minor").over(order).alias("running"))
@@ -365,7 +365,7 @@ def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return money.largest_remainder(rows, ["order_id"], "total", "units", "at", "part").select("order_id", "line_no", "sku", "part")
 
 
-@query("""SELECT market, sum(CAST(round_even(CAST(net_minor AS DECIMAL(20,0)) * CAST(r AS DECIMAL(9,4)), 0) AS BIGINT)) AS converted FROM msales
+@query("""SELECT market, CAST(sum(CAST(round_even(CAST(net_minor AS DECIMAL(20,0)) * CAST(r AS DECIMAL(9,4)), 0) AS BIGINT)) AS BIGINT) AS converted FROM msales
   JOIN (VALUES ('AFRICA', 0.7931), ('AMERICA', 1.0), ('ASIA', 0.0067), ('EUROPE', 1.0877), ('MIDDLE EAST', 0.2723)) t(m, r) ON m = market GROUP BY market""")
 def fx_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fact is converted half-even, then summed."""

@@ -140,7 +140,7 @@ def inv_demand_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).where("daily > 0").groupBy("market", "category").agg(F.count("*").alias("cells"), F.sum(short).alias("risk_units"), F.sum(short * F.col("cost")).alias("risk_minor"))
 
 
-@query("""SELECT location, sku, channel, wanted, least(wanted, greatest(0, pool - coalesce(sum(wanted) OVER (PARTITION BY location, sku ORDER BY channel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS allocated
+@query("""SELECT location, sku, channel, wanted, CAST(least(wanted, greatest(0, pool - coalesce(sum(wanted) OVER (PARTITION BY location, sku ORDER BY channel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS allocated
   FROM (SELECT location, sku, channel, CAST(sum(units) AS BIGINT) AS wanted, max(atp) AS pool FROM sales JOIN cells USING (sku, location) GROUP BY ALL)""")
 def inv_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cell's free stock to its channels in order of priority."""
