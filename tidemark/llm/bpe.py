@@ -15,6 +15,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -144,22 +145,23 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*shared.value, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, digests, decoded, lists = [], [], [], []
+            # a slice at a time: ids take many times the room of their text
             for i, j in slices(text_buffers(batch.column(1))[1]):
-                for ids, numbers, raw in codec.encode_all(texts[i:j]):
+                counts, digests, decoded, lists = [], [], [], []
+                for ids, numbers, raw in codec.encode_all([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]):
                     joined = ",".join(ids)
                     counts.append(sum(numbers))
                     digests.append(hashlib.sha256(joined.encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join(raw)).hexdigest())
                     if with_ids:
-                        lists.append([int(x) for x in joined.split(",") if x])
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
-                fields.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, fields)
+                        lists.append(np.array(joined.split(",") if joined else [], dtype=np.int32))
+                columns = [batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists))))
+                    fields.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, fields)
 
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, shape)
