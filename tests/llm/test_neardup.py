@@ -50,6 +50,23 @@ def test_equals_brute_force(spark):
         assert got == brute_force(rows, width, 80)
 
 
+def test_pairs_within_a_family_of_half_similar_documents(spark):
+    r = random.Random(11)
+    pool = [[f"p{i}x{k}" for k in range(12)] for i in range(16)]
+    texts = []
+    for _ in range(800):
+        texts.append([w for i in sorted(r.sample(range(16), 9)) for w in pool[i]])
+    for words in texts[700:800]:
+        copy = list(words)
+        for at in (17, 60):
+            copy[at] = f"c{r.random()}"
+        texts.append(copy)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    part = {x.doc_id: x.component_id for x in near_duplicates(df, rows=2).collect()}  # short bands: third documents lead nearly all buckets
+    assert sum(part[700 + i] != part[800 + i] for i in range(100)) == 0
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (9, "a b c d e f")], "doc_id long, text string")
     got = sorted(tuple(r) for r in near_duplicates(df).collect())

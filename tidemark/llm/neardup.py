@@ -9,10 +9,10 @@ Large groups. Texts with the same set are one class from the start. A bucket lin
 its least class only, so a bucket of n classes makes n - 1 candidate pairs; those whose sketches, a
 byte of each coordinate, agree within six standard deviations are confirmed on the full sets. In buckets whose members still lie in several components afterwards, the rows
 outside the main component are compared with all rows of the bucket, block by block and without
-making pairs, through an inverted index of full sets. So every pair that shares a bucket
-is settled: confirmed, refuted, or with both ends in one component already. A document unlike the
-lead of every bucket that it is in takes no part in this: it can only be linked to documents that
-lead one of their common buckets.
+making pairs: first by sketches, which tell the documents that may have a partner in another
+component, whether or not they are like a lead; then these through an inverted index of full sets.
+So every pair that shares a bucket is settled: confirmed, refuted on sketches or sets, or with
+both ends in one component already.
 
 At a similarity of 0.8 with 32 bands of 6 rows, a pair shares no bucket with probability 6e-5.
 """
@@ -110,10 +110,14 @@ def _likely(least: int):
     return run
 
 
-def _likely_pairs(pairs: DataFrame, sketches: DataFrame, n_perm: int, percent: int) -> DataFrame:
-    """Pairs whose sketches agree as often as those of similar sets do, but for six deviations."""
+def _least_agreement(n_perm: int, percent: int) -> int:
+    """As often the sketches of similar sets agree, but for six deviations."""
     p = percent / 100
-    least = math.floor(n_perm * p - 6 * math.sqrt(n_perm * p * (1 - p)))
+    return math.floor(n_perm * p - 6 * math.sqrt(n_perm * p * (1 - p)))
+
+
+def _likely_pairs(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """Pairs whose sketches agree in `least` coordinates or more."""
     left, right = (sketches.select(F.col("rep").alias(c), F.col("sketch").alias(c + "_sketch")) for c in "uv")
     return pairs.join(right, "v").join(left, "u").select("u", "v", "u_sketch", "v_sketch").mapInArrow(_likely(least), "u long, v long")
 
@@ -163,8 +167,32 @@ def _across(index: pd.DataFrame, queries: pd.DataFrame, percent: int) -> tuple[l
     return u, v
 
 
-def _settle(percent: int):
-    """Links within each pair of blocks (at, i, q) of a pack."""
+def _alike(index: pd.DataFrame, queries: pd.DataFrame, least: int) -> tuple[list[int], list[int]]:
+    """Rows whose sketch agrees with one across parts, each with one such partner: never all pairs."""
+    x, q = (np.frombuffer(b"".join(rows["members"]), np.uint8).reshape(len(rows), -1) for rows in (index, queries))
+    ids, parts, own, own_parts = index["rep"].to_numpy(), index["part"].to_numpy(), queries["rep"].to_numpy(), queries["part"].to_numpy()
+    kind = np.uint8 if x.shape[1] < 256 else np.int32
+    met, partner, turned = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=np.int64), np.ascontiguousarray(x.T)
+    u, v = [], []
+    step = max(1, (1 << 20) // len(x))
+    for i in range(0, len(q), step):
+        part = q[i : i + step]
+        if len(part) * len(x) < 2048:
+            same = (part[:, None] == x[None]).sum(axis=2, dtype=kind)
+        else:
+            same = np.zeros((len(part), len(x)), dtype=kind)
+            for k in range(x.shape[1]):
+                same += part[:, k, None] == turned[k]
+        near = (same >= least) & (own_parts[i : i + step, None] != parts)
+        some, of = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        u += own[i + some].tolist()
+        v += ids[near[some].argmax(axis=1)].tolist()
+        met[of], partner[of] = True, own[i + near[:, of].argmax(axis=0)]
+    return u + partner[met].tolist(), v + ids[met].tolist()
+
+
+def _settle(compare, bound: int):
+    """What `compare` finds within each pair of blocks (at, i, q) of a pack."""
 
     def run(pack: pd.DataFrame) -> pd.DataFrame:
         pack = pack.sort_values(["at", "i", "q", "asks"], kind="stable")
@@ -174,7 +202,7 @@ def _settle(percent: int):
         for a, b in zip(cuts, cuts[1:]):
             middle = a + int(np.count_nonzero(~asks[a:b]))
             if a < middle < b:
-                more = _across(pack.iloc[a:middle], pack.iloc[middle:b], percent)
+                more = compare(pack.iloc[a:middle], pack.iloc[middle:b], bound)
                 u += more[0]
                 v += more[1]
         return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
@@ -195,9 +223,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(_confirm(percent), "u long, v long")
 
 
-def _block_links(index: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_links(index: DataFrame, queries: DataFrame, sets: DataFrame, compare, bound: int) -> DataFrame:
     """Links across parts between index and queries, both (at, rep, part), with an equal `at`.
 
+    `sets` has (id, members): what `compare` takes with its bound, full sets or sketches.
+
     Both sides are dealt out in blocks of about BLOCK_BYTES; pairs of blocks are packed into
     groups of about PACK_BYTES, so neither a large group nor long texts meet in one task.
     """
@@ -215,25 +245,25 @@ def _block_links(index: DataFrame, queries: DataFrame, sets: DataFrame, percent:
 
     both = dealt(index, "i", "n_index", "q", "n_queries", False).union(dealt(queries, "q", "n_queries", "i", "n_index", True))
     pack = F.pmod(F.xxhash64("at", "i", "q"), F.lit(max(8, moved // PACK_BYTES)))
-    return both.groupBy(pack.alias("pack")).applyInPandas(_settle(percent), "u long, v long")
+    return both.groupBy(pack.alias("pack")).applyInPandas(_settle(compare, bound), "u long, v long")
 
 
-def _between_parts(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across the parts of each bucket of placed(key, rep, part).
+def _between_parts(placed: DataFrame, sets: DataFrame, compare, bound: int) -> DataFrame:
+    """Links across the parts of each bucket of placed(key, rep, part), compared as in _block_links.
 
     A row outside its bucket's main part is compared once with the whole main part, however many
     buckets they share; such rows are compared with one another in each bucket with several parts
-    of them.
+    of them. In a bucket of two, the lead has been compared with the other one.
     """
     by_part = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    main = by_part.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    main = by_part.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("rows")).where("parts > 1 and rows > 2")
     strays = written(placed.join(main.select("key", "main"), "key").where("part <> main"))
     asked = strays.select(F.col("main").alias("at"), "rep", "part").distinct()
     whole = placed.select(F.col("part").alias("at"), "rep", "part").distinct().join(asked.select("at").distinct(), "at", "left_semi")
-    to_main = _block_links(whole, asked, sets, percent)
+    to_main = _block_links(whole, asked, sets, compare, bound)
     mixed = strays.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     open_rows = strays.join(mixed.select("key", "low"), "key").select(F.col("key").alias("at"), "rep", "part", "low")
-    return to_main.union(_block_links(open_rows, open_rows.where("part <> low"), sets, percent))
+    return to_main.union(_block_links(open_rows, open_rows.where("part <> low"), sets, compare, bound))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, n_perm: int = 192, rows: int = 6) -> DataFrame:
@@ -260,15 +290,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, n_per
 
     met = crowd.where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
     sketches = members.where("sketch is not null").select("rep", "sketch").dropDuplicates(["rep"])
-    pairs = written(_likely_pairs(met, sketches, n_perm, percent))
+    least = _least_agreement(n_perm, percent)
+    pairs = written(_likely_pairs(met, sketches, least))
     sets = _sets_of(texts, pairs, width)
     links = written(_confirmed(pairs, sets, percent))
     parts = written(connected_components(links))
 
-    placed = crowd.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("part"))
-    more = written(_between_parts(written(placed), sets, percent))
-    if more.head(1):
-        parts = written(connected_components(links.union(more)))
+    placed = written(crowd.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("part")))
+    # documents unlike their leads too: whatever the sketches say may link across parts gets its full set
+    alike = written(_between_parts(placed, sketches.select(F.col("rep").alias("id"), F.col("sketch").alias("members")), _alike, least))
+    if alike.head(1):
+        more = written(_between_parts(placed, _sets_of(texts, alike, width), _across, percent))
+        if more.head(1):
+            parts = written(connected_components(links.union(more)))
 
     whole = members.select("doc_id", "n_shingles", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     found = whole.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
