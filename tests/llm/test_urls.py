@@ -20,6 +20,18 @@ def test_fixed_rules_and_parts(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_rules_are_mined_from_all_rows_and_segments(spark):
+    # one folded token set has most rows; the clean ones are many sets of few rows
+    hot = spark.range(60000).selectExpr("concat('http://ads.test/en/', id) as url", "true as blocked")
+    clean = spark.range(60000).selectExpr("concat('http://news', char(97 + id % 26), char(97 + floor(id / 26) % 26), '.test/en/', id) as url", "false as blocked")
+    deep = spark.range(3000).selectExpr("concat('http://deep.test/a/b/c/d/e/f/', if(id % 2 = 0, 'bad/', 'good/'), id) as url", "id % 2 = 0 as blocked")
+    labels = hot.union(clean).union(deep)
+    pages = labels.selectExpr("0L as page_id", "url").union(spark.createDataFrame([(1, "http://ads.test/en/x"), (2, "http://other.test/en/5"), (3, "http://deep.test/a/b/c/d/e/f/bad/5"), (4, "http://deep.test/a/b/c/d/e/f/good/5")], "page_id long, url string"))
+    out = urls.filter_urls(pages, rules=[], labels=labels).cache()
+    assert {r["page_id"]: r["verdict"] for r in out.where("page_id > 0").collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+    assert out.where("page_id = 0 and verdict = 'block'").count() == 61500
+
+
 def test_mined_rules_block_combinations(spark):
     rows = [(f"http://s{i % 7}.ads.test/{'track' if i % 2 else 'read'}/{i}", i % 2 == 1) for i in range(200)]
     rows += [(f"http://s{i % 7}.news.test/track/{i}", False) for i in range(200)]

@@ -47,23 +47,22 @@ def fixed_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: h: and each suffix of the host at a dot, p<k>: and the first six segments."""
+    """Distinct tokens: h: and each suffix of the host at a dot, p<k>: and each segment of the path."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(labels, lambda _, i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i + 1, F.size(labels) - i), ".")))
-    parts = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, 6)
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
     segments = F.transform(parts, lambda s, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), F.regexp_replace(s, "[0-9]+", "0")))
     return F.array_distinct(F.concat(F.when(host == "", F.array().cast("array<string>")).otherwise(suffixes), segments))
 
 
-def mine_rules(labelled: DataFrame, *, most_rows: int = 50000, support: float = 0.005, confidence: float = 0.9, most_rules: int = 1000) -> DataFrame:
+def mine_rules(labelled: DataFrame, *, support: float = 0.005, confidence: float = 0.9, most_rules: int = 1000) -> DataFrame:
     """rule_id, tokens, confidence, support from labelled(tokens, blocked).
 
-    Fitted on `most_rows` labelled rows at most, by least hash of the tokens (the documented
-    bound). At most `most_rules` rules, the surest and most frequent first, so the index has a
+    Fitted on all labelled rows. At most `most_rules` rules, the surest and most frequent first, so the index has a
     known size. No blocked rows give no rules.
     """
     item = F.when(F.col("blocked"), F.lit("=block")).otherwise(F.lit("=allow"))
-    baskets = labelled.orderBy(F.xxhash64("tokens", "blocked"), "tokens").limit(most_rows).select(F.array_append("tokens", item).alias("items"))
+    baskets = labelled.select(F.array_append("tokens", item).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(written(baskets))
     rules = model.associationRules.where((F.element_at("consequent", 1) == "=block") & ~F.array_contains("antecedent", "=allow"))
     rules = written(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(most_rules))
