@@ -3,6 +3,18 @@ import numpy as np
 from tidemark.llm.embeddings import _labels, near_vectors
 
 
+def test_links_of_a_hot_group_over_many_lists(spark):
+    r = np.random.default_rng(2)
+    hot = r.normal(size=16) + r.normal(size=(700, 16)) * 0.22
+    x = np.concatenate([hot, r.normal(size=(1400, 16))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {v.vec_id: v.n_links for v in near_vectors(df, list_rows=8).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
+
+
 def test_equals_brute_force(spark):
     r = np.random.default_rng(1)
     base = r.normal(size=(40, 24))

@@ -1,8 +1,8 @@
 """Embedding near-duplicates by product quantisation.
 
 Unit vectors fall into coarse inverted lists; what remains after the list's centre is coded by one
-small codebook for each subspace. A query probes its nearest lists, scores their codes by table
-lookups, and reranks by exact cosine in double precision what the lookups let through. Centres and
+small codebook for each subspace. A query probes every list whose cell comes within the link
+radius of it, scores their codes by table lookups, and reranks by exact cosine in double precision what the lookups let through. Centres and
 codebooks are fitted on a bounded sample; every vector is indexed and every vector is a query.
 
 Lists are dealt out in blocks: index rows of a list by block, its queries by block too, and each
@@ -35,6 +35,26 @@ def _nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
     return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
 
 
+def lists_in_reach(x: np.ndarray, centres: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each unit vector its own list and then every list that can hold a vector within the link radius.
+
+    What lies in another cell is beyond the plane halfway between both centres, so the distance to that plane bounds it.
+    """
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(x)
+    own, squares = _nearest(x, centres)[:, 0], (centres**2).sum(1)
+    for z in np.unique(own):
+        apart = 2 * np.sqrt(max(2 - 2 * least, 0)) * np.sqrt(((centres - centres[z]) ** 2).sum(1)) + 1e-9
+        rows = np.flatnonzero(own == z)
+        for i in range(0, len(rows), 512):
+            some = rows[i : i + 512]
+            d = squares - 2 * x[some] @ centres.T
+            near = d - d[:, z, None] <= apart
+            near[:, z] = False
+            for r, lists in zip(some, near):
+                out[r] = np.concatenate([[z], np.flatnonzero(lists)]).astype(np.int32)
+    return out
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     draw = np.random.default_rng(seed)
     k = min(k, len(x))
@@ -134,7 +154,7 @@ def _valid() -> Column:
 
 
 def near_vectors(
-    vectors: DataFrame, *, least: float = 0.95, sample_rows: int = 20000, list_rows: int = 256, most_lists: int = 4096, m: int = 16, codes: int = 64, probes: int = 16
+    vectors: DataFrame, *, least: float = 0.95, sample_rows: int = 20000, list_rows: int = 256, most_lists: int = 4096, m: int = 16, codes: int = 64
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors(vec_id, embedding).
 
@@ -146,7 +166,7 @@ def near_vectors(
     # 0.0 also stands for -0.0
     sound = rows.where("valid").select("vec_id", F.transform("embedding", lambda v: v + F.lit(0.0)).alias("embedding"))
     classes = written(sound.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
-    found = [_class_links(classes.where(F.size("embedding") == r["n"]), least, sample_rows, list_rows, most_lists, m, codes, probes)
+    found = [_class_links(classes.where(F.size("embedding") == r["n"]), least, sample_rows, list_rows, most_lists, m, codes)
              for r in classes.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect()]
     shape = "vec_id long, links long, root long"
     links = vectors.sparkSession.createDataFrame([], shape)
@@ -162,7 +182,7 @@ def near_vectors(
     return whole.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _class_links(classes: DataFrame, least: float, sample_rows: int, list_rows: int, most_lists: int, m: int, codes: int, probes: int) -> DataFrame:
+def _class_links(classes: DataFrame, least: float, sample_rows: int, list_rows: int, most_lists: int, m: int, codes: int) -> DataFrame:
     n = classes.count()
     sample = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample_rows).toPandas()
     units = np.stack(sample["embedding"].to_list())
@@ -177,10 +197,10 @@ def _class_links(classes: DataFrame, least: float, sample_rows: int, list_rows:
                 continue
             x = np.stack(frame["embedding"].to_list())
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            lists = _nearest(x, index.coarse, probes)
-            code = index.encode(x - index.coarse[lists[:, 0]])
+            lists = lists_in_reach(x, index.coarse, least)
+            code = index.encode(x - index.coarse[[own[0] for own in lists]])
             yield pd.DataFrame(
-                {"vec_id": frame["vec_id"], "copies": frame["copies"], "unit": list(x), "code": [c.tobytes() for c in code], "lists": list(lists.astype(np.int32))}
+                {"vec_id": frame["vec_id"], "copies": frame["copies"], "unit": list(x), "code": [c.tobytes() for c in code], "lists": lists}
             )
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
