@@ -37,6 +37,17 @@ def test_segments_cover_the_payload_and_hold_no_boundary():
         cuts = list(warc.segments(payload, size))
         assert b"".join(payload[a:b] for a, b in cuts) == payload
         for a, b in cuts:
-            assert warc.BOUNDARY not in payload[a:b]
+            assert warc.BOUNDARY not in warc.ENDS.encode() + payload[a:b]
             payload[a:b].decode()
     assert list(warc.segments(b"")) == [(0, 0)]
+
+
+def test_payloads_that_spell_the_version_line_after_a_head(spark):
+    size = warc.CHUNK
+    texts = ["WARC/1.1\r\n", "WARC/1.1\r\nWARC-Type: response\r\n\r\nx", "WARC/1.1\r\n" * 4000, "a" * (size - 4) + "\r\n\r\nWARC/1.1\r\nz", "a" * size + "WARC/1.1\r\nz", "é" * size + "WARC/1.1\r\n" * 3]
+    rows = [(i, None, text, "x") for i, text in enumerate(texts)] + [(None, "u", "p", "x")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string")
+    got = {r["page_id"]: r for r in warc.archived(df).collect()}
+    assert len(got) == len(texts) + 1
+    for i, text in enumerate(texts):
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"], got[i]["record_type"]) == (len(text.encode()), digest(text), "response")

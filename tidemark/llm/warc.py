@@ -3,9 +3,10 @@
 A payload is cut into segments of at most CHUNK bytes at character ends: rows of record id and
 segment number, each one WARC record (`response` first, then `continuation`), with an incremental
 SHA-1 carried from segment to segment. Archives are text files whose records end in two line ends;
-they are read back a segment at a time by splitting before the next record's version line, which
-no segment contains because segments are cut inside it. No step after the scan holds more of a
-payload than a segment.
+they are read back a segment at a time by splitting before the next record's version line. No block
+spells that split: a segment is cut inside a version line that follows two line ends, also where
+these are the end of its record's own head. No step after the scan holds more of a payload than a
+segment, but for the scanned row itself: segments leave the writer one after another.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ VERSION = "WARC/1.1\r\n"
 ENDS = "\r\n\r\n"
 BOUNDARY = (ENDS + VERSION).encode()
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-CHUNK = 1 << 16
+CHUNK = 1 << 13
+#: records that leave the writer together hold about so many bytes
+SLICE = 1 << 20
 
 
 def base32_sha1(state: hashlib._Hash) -> str:
@@ -32,15 +35,17 @@ def base32_sha1(state: hashlib._Hash) -> str:
 
 
 def segments(payload: memoryview | bytes, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of at most `size` bytes that end at UTF-8 character ends and hold no boundary."""
+    """Ranges of at most `size` bytes that end at UTF-8 character ends; none spells a boundary after its head."""
     n, start = len(payload), 0
     while True:
-        end = min(n, start + max(size, 4))
+        end = min(n, start + max(size, 16))
         while start < end < n and payload[end] & 0xC0 == 0x80:
             end -= 1
-        inside = bytes(payload[start:end]).find(BOUNDARY)
+        # every head ends in two line ends, so a segment may not begin with a version line either
+        seam = ENDS.encode() + bytes(payload[start:end])
+        inside = seam.find(BOUNDARY)
         if inside >= 0:
-            end = start + inside + len(ENDS) + 4  # after "WARC" of the version line
+            end = start + inside + 4  # after "WARC" of the version line
         yield start, end
         start = end
         if start >= n:
@@ -61,28 +66,49 @@ def _one_line(text: str) -> str:
 def _record_texts(date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, page_ids, urls, refers, digests, sizes = (batch.column(i).to_pylist() for i in range(6))
-            for i, value in enumerate(batch.column(6)):
-                name = f"<urn:record:{ids[i]}:{{}}>"
-                head = [f"WARC-Date: {date}", f"WARC-Target-URI: {_one_line(urls[i] or f'urn:page:{page_ids[i]}')}", f"Page-ID: {'' if page_ids[i] is None else page_ids[i]}"]
-                head += [f"WARC-Payload-Digest: sha1:{digests[i]}", f"Payload-Length: {sizes[i]}"]
-                out = []
-                if refers[i] is not None:
-                    own = [f"WARC-Type: revisit\r\nWARC-Record-ID: {name.format(1)}", *head, f"WARC-Refers-To: <urn:page:{refers[i]}>", "Content-Length: 0"]
-                    out.append(VERSION + "\r\n".join(own) + ENDS)
-                else:
-                    payload = memoryview(value.as_buffer() or b"") if value.is_valid else memoryview(b"")
-                    cuts = list(segments(payload))
-                    for k, (a, b) in enumerate(cuts, 1):
-                        block = (HTTP_HEAD if k == 1 else b"") + bytes(payload[a:b])
-                        own = [f"WARC-Type: {'response' if k == 1 else 'continuation'}\r\nWARC-Record-ID: {name.format(k)}", *head]
-                        own += [f"WARC-Segment-Number: {k}", f"Segment-Count: {len(cuts)}", f"WARC-Segment-Origin-ID: {name.format(1)}", f"Content-Length: {len(block)}"]
-                        out.append(VERSION + "\r\n".join(own) + ENDS + block.decode())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            for texts in _slices(text for i in range(batch.num_rows) for text in _records_of(batch.slice(i, 1), date)):
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
 
     return run
 
 
+def _slices(texts: Iterator[str]) -> Iterator[list[str]]:
+    """Lists of texts of about SLICE characters."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= SLICE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _records_of(row: pa.RecordBatch, date: str) -> Iterator[str]:
+    """The WARC records of one page, a segment at a time."""
+    record, page_id, url, refers, digest, size = (row.column(i)[0].as_py() for i in range(6))
+    name = f"<urn:record:{record}:{{}}>"
+    head = [f"WARC-Date: {date}", f"WARC-Target-URI: {_one_line(url or f'urn:page:{page_id}')}", f"Page-ID: {'' if page_id is None else page_id}"]
+    head += [f"WARC-Payload-Digest: sha1:{digest}", f"Payload-Length: {size}"]
+    if refers is not None:
+        own = [f"WARC-Type: revisit\r\nWARC-Record-ID: {name.format(1)}", *head, f"WARC-Refers-To: <urn:page:{refers}>", "Content-Length: 0"]
+        yield VERSION + "\r\n".join(own) + ENDS
+        return
+    value = row.column(6)[0]
+    payload = memoryview(value.as_buffer() or b"") if value.is_valid else memoryview(b"")
+    count = sum(1 for _ in segments(payload))
+    state = hashlib.sha1()
+    for k, (a, b) in enumerate(segments(payload), 1):
+        state.update(payload[a:b])
+        if k == count and base32_sha1(state) != digest:
+            raise ValueError(f"page {page_id}: the chunks differ from the payload")
+        block = (HTTP_HEAD if k == 1 else b"") + bytes(payload[a:b])
+        own = [f"WARC-Type: {'response' if k == 1 else 'continuation'}\r\nWARC-Record-ID: {name.format(k)}", *head]
+        own += [f"WARC-Segment-Number: {k}", f"Segment-Count: {count}", f"WARC-Segment-Origin-ID: {name.format(1)}", f"Content-Length: {len(block)}"]
+        yield VERSION + "\r\n".join(own) + ENDS + block.decode()
+
+
 def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, compression: str = "gzip", date: str = "1970-01-01T00:00:00Z") -> None:
     """One record per row of pages(page_id, url, html) under `path`, as WARC text files.
 
