@@ -10,7 +10,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,12 @@ SLICE_BYTES = 1 << 21
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one only where none is set."""
+    """A new folder in the shared checkpoint folder; a temporary one only in local mode where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -46,6 +48,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], Any]:
+    """Broadcast a value that may hold this package's classes; the result loads it within a task.
+
+    A plain broadcast names classes by their module, which executors may lack.
+    """
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    loaded: list[Any] = []
+
+    def load() -> Any:
+        if not loaded:
+            loaded.append(cloudpickle.loads(shared.value))
+        return loaded[0]
+
+    return load
+
+
 def words_column(text: Column) -> Column:
     """Array of the words of a text; empty for null or blank texts."""
     bare = F.trim(F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE)))

@@ -1,9 +1,11 @@
 """Embedding near-duplicates by product quantisation.
 
 Unit vectors fall into coarse inverted lists; what remains after the list's centre is coded by one
-small codebook for each subspace. A query probes every list whose cell comes within the link
-radius of it, scores their codes by table lookups, and reranks by exact cosine in double precision what the lookups let through. Centres and
-codebooks are fitted on a bounded sample; every vector is indexed and every vector is a query.
+small codebook for each subspace. A query probes every list that can hold a vector within the link
+radius: the plane between two centres and the list's greatest radius both bound that. It scores the
+codes by table lookups, each code with the error it was stored with, so no link is missed, and
+reranks by exact cosine in double precision what the lookups let through. Centres and codebooks are
+fitted on a bounded sample; every vector is indexed and every vector is a query.
 
 Lists are dealt out in blocks: index rows of a list by block, its queries by block too, and each
 pair of blocks is compared on its own. Links are never written as pairs: a comparison returns one
@@ -19,39 +21,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shipped, written
 from .graph import connected_components
 
 BLOCK = 1024
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
-    """Indices of the k nearest centres of each row, nearest first."""
-    d = (centres**2).sum(1) - 2 * x @ centres.T
-    if k == 1:
-        return d.argmin(1)[:, None]
-    k = min(k, len(centres))
-    some = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Index of the nearest centre of each row."""
+    squares, out = (centres**2).sum(1), np.zeros(len(x), dtype=np.int64)
+    for i in range(0, len(x), 1024):
+        out[i : i + 1024] = (squares - 2 * x[i : i + 1024] @ centres.T).argmin(1)
+    return out
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; each is first divided by its largest component, so no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def lists_in_reach(x: np.ndarray, centres: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each unit vector its own list and then every list that can hold a vector within the link radius.
+def lists_in_reach(x: np.ndarray, own: np.ndarray, centres: np.ndarray, radius: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each unit vector the lists that can hold a vector within the link radius, its own among them.
 
-    What lies in another cell is beyond the plane halfway between both centres, so the distance to that plane bounds it.
+    What lies in another cell is beyond the plane halfway between both centres, so the distance to
+    that plane bounds it; so does a list's greatest distance `radius` of a member from its centre.
     """
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(x)
-    own, squares = _nearest(x, centres)[:, 0], (centres**2).sum(1)
+    link, squares = np.sqrt(max(2 - 2 * least, 0)), (centres**2).sum(1)
     for z in np.unique(own):
-        apart = 2 * np.sqrt(max(2 - 2 * least, 0)) * np.sqrt(((centres - centres[z]) ** 2).sum(1)) + 1e-9
+        apart = 2 * link * np.sqrt(((centres - centres[z]) ** 2).sum(1)) + 1e-9
         rows = np.flatnonzero(own == z)
         for i in range(0, len(rows), 512):
             some = rows[i : i + 512]
             d = squares - 2 * x[some] @ centres.T
-            near = d - d[:, z, None] <= apart
-            near[:, z] = False
+            near = (d - d[:, z, None] <= apart) & (np.sqrt(np.maximum(d + 1, 0)) <= radius + link + 1e-6)
+            near[:, z] = True
             for r, lists in zip(some, near):
-                out[r] = np.concatenate([[z], np.flatnonzero(lists)]).astype(np.int32)
+                out[r] = np.flatnonzero(lists).astype(np.int32)
     return out
 
 
@@ -60,7 +67,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray
     k = min(k, len(x))
     centres = x[draw.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        own = np.concatenate([_nearest(x[i : i + 8192], centres)[:, 0] for i in range(0, len(x), 8192)])
+        own = nearest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         n = np.bincount(own, minlength=k)
@@ -75,15 +82,11 @@ class Quantiser:
         width = sample.shape[1]
         self.cuts = np.linspace(0, width, min(m, width) + 1).astype(int)
         self.coarse = k_means(sample, n_lists)
-        rest = sample - self.coarse[_nearest(sample, self.coarse)[:, 0]]
+        rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.books = [k_means(rest[:, a:b], codes) for a, b in zip(self.cuts, self.cuts[1:])]
-        coded = self.decode(self.encode(rest))
-        error = np.sqrt(((rest - coded) ** 2).sum(1))
-        #: nearly all of the sample lies this close to its code
-        self.error = float(np.quantile(error, 0.999)) if len(error) else 0.0
 
     def encode(self, rest: np.ndarray) -> np.ndarray:
-        return np.stack([_nearest(rest[:, a:b], book)[:, 0] for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books)], axis=1).astype(np.uint8)
+        return np.stack([nearest(rest[:, a:b], book) for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books)], axis=1).astype(np.uint8)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
@@ -113,8 +116,8 @@ def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def _compare(quantiser: Quantiser, least: float):
     """Links between a block of queries and a block of index rows of one list."""
-    # cosine c of unit vectors is a squared distance of 2 - 2c; codes are off by `error` at most
-    reach = (np.sqrt(2 - 2 * least) + quantiser.error) ** 2
+    # cosine c of unit vectors is a squared distance of 2 - 2c; a code is off by its row's `error`
+    link = np.sqrt(max(2 - 2 * least, 0)) + 1e-9
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         index, asks = block[~block["asks"]], block[block["asks"]]
@@ -123,13 +126,14 @@ def _compare(quantiser: Quantiser, least: float):
         centre = quantiser.coarse[int(block["list"].iloc[0])]
         x, q = np.stack(index["unit"].to_list()), np.stack(asks["unit"].to_list())
         codes = np.stack([np.frombuffer(c, np.uint8) for c in index["code"]]).astype(np.int64)
+        reach = (link + index["error"].to_numpy()) ** 2
         ids, own, weight = index["vec_id"].to_numpy(), asks["vec_id"].to_numpy(), index["copies"].to_numpy()
         links, left, right = np.zeros(len(q), dtype=np.int64), [], []
         for i in range(0, len(q), 128):
             part = q[i : i + 128]
             tables = quantiser.tables(part - centre)
             far = sum(tables[:, j, codes[:, j]] for j in range(codes.shape[1]))
-            a, b = np.nonzero(far <= reach)
+            a, b = np.nonzero(far <= reach[None])
             sure = (np.einsum("ij,ij->i", part[a], x[b]) >= least) & (own[i + a] != ids[b])
             a, b = a[sure] + i, b[sure]
             links += np.bincount(a, weight[b], len(q)).astype(np.int64)
@@ -159,7 +163,8 @@ def near_vectors(
     """vec_id, n_links, component_id, kept for each row of vectors(vec_id, embedding).
 
     Vectors link when their cosine in double precision is `least` or more; equal vectors are one
-    class and link with one another. Null, empty or zero vectors, and those with a null or
+    class and link with one another. Components of any finite size are fine. Centres and codebooks
+    are fitted on at most `sample_rows` classes, drawn by hash. Null, empty or zero vectors, and those with a null or
     non-finite component, link with nothing; vectors of unlike lengths don't link, each length has an index of its own. Rows that repeat a vec_id get a row each. Extra columns are ignored.
     """
     rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("valid", _valid()))
@@ -185,30 +190,43 @@ def near_vectors(
 def _class_links(classes: DataFrame, least: float, sample_rows: int, list_rows: int, most_lists: int, m: int, codes: int) -> DataFrame:
     n = classes.count()
     sample = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample_rows).toPandas()
-    units = np.stack(sample["embedding"].to_list())
-    units /= np.linalg.norm(units, axis=1, keepdims=True)
-    quantiser = Quantiser(units, max(1, min(most_lists, n // list_rows, len(units) // 8)), m, codes)
-    shared = classes.sparkSession.sparkContext.broadcast(quantiser)
+    units = unit_rows(np.stack(sample["embedding"].to_list()))
+    quantiser = Quantiser(units, max(1, min(most_lists, n // list_rows, len(units) // 4)), m, codes)
+    spark = classes.sparkSession
+    fitted = shipped(spark, quantiser)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
+        index = fitted()
         for frame in frames:
-            if not len(frame):
-                continue
-            x = np.stack(frame["embedding"].to_list())
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            lists = lists_in_reach(x, index.coarse, least)
-            code = index.encode(x - index.coarse[[own[0] for own in lists]])
-            yield pd.DataFrame(
-                {"vec_id": frame["vec_id"], "copies": frame["copies"], "unit": list(x), "code": [c.tobytes() for c in code], "lists": lists}
-            )
+            if len(frame):
+                x = unit_rows(np.stack(frame["embedding"].to_list()))
+                own = nearest(x, index.coarse)
+                rest = x - index.coarse[own]
+                code = index.encode(rest)
+                error = np.sqrt(((rest - index.decode(code)) ** 2).sum(1))
+                away = np.sqrt((rest**2).sum(1))
+                yield pd.DataFrame({"vec_id": frame["vec_id"], "copies": frame["copies"], "unit": list(x), "code": [c.tobytes() for c in code], "error": error, "own": own.astype(np.int32), "away": away})
+
+    homes = written(classes.mapInPandas(place, "vec_id long, copies long, unit array<double>, code binary, error double, own int, away double"))
+    radius = np.full(len(quantiser.coarse), -np.inf)
+    for r in homes.groupBy("own").agg(F.max("away").alias("r")).collect():  # a row for each list: most_lists at most
+        radius[r["own"]] = r["r"]
+    reached = shipped(spark, (quantiser.coarse, radius))
+
+    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, bound = reached()
+        for frame in frames:
+            if len(frame):
+                frame["lists"] = lists_in_reach(np.stack(frame["unit"].to_list()), frame["own"].to_numpy(), centres, bound, least)
+                yield frame
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        return _compare(shared.value, least)(block)
+        return _compare(fitted(), least)(block)
 
-    placed = written(classes.mapInPandas(place, "vec_id long, copies long, unit array<double>, code binary, lists array<int>"))
+    shape = "vec_id long, copies long, unit array<double>, code binary, error double, own int, lists array<int>"
+    placed = written(homes.drop("away").mapInPandas(probe, shape))
     asked = placed.select("vec_id", F.explode("lists").alias("list"))
-    sizes = placed.groupBy(F.col("lists")[0].alias("list")).count().withColumnRenamed("count", "n")
+    sizes = placed.groupBy(F.col("own").alias("list")).count().withColumnRenamed("count", "n")
     # one row for each list: bounded by most_lists
     blocks = F.broadcast(
         written(
@@ -221,8 +239,8 @@ def _class_links(classes: DataFrame, least: float, sample_rows: int, list_rows:
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    own = F.xxhash64("vec_id")
-    index = placed.withColumn("list", F.col("lists")[0]).join(blocks, "list").withColumns({"i": F.pmod(own, F.col("n_index")).cast("int"), "a": every("n_asks"), "asks": F.lit(False)})
-    asks = placed.withColumn("list", F.explode("lists")).join(blocks, "list").withColumns({"a": F.pmod(own, F.col("n_asks")).cast("int"), "i": every("n_index"), "asks": F.lit(True)})
-    cols = ["list", "i", "a", "asks", "vec_id", "copies", "unit", "code"]
+    dealt = F.xxhash64("vec_id")
+    index = placed.withColumn("list", F.col("own")).join(blocks, "list").withColumns({"i": F.pmod(dealt, F.col("n_index")).cast("int"), "a": every("n_asks"), "asks": F.lit(False)})
+    asks = placed.withColumn("list", F.explode("lists")).join(blocks, "list").withColumns({"a": F.pmod(dealt, F.col("n_asks")).cast("int"), "i": every("n_index"), "asks": F.lit(True)})
+    cols = ["list", "i", "a", "asks", "vec_id", "copies", "unit", "code", "error"]
     return index.select(cols).union(asks.select(cols)).groupBy("list", "i", "a").applyInPandas(compare, "vec_id long, links long, root long")
