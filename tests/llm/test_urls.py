@@ -1,5 +1,11 @@
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
 from tidemark.llm import urls
 
+SF = "/root/testdata/sf0.01"
+
 
 def test_fixed_rules_and_parts(spark):
     cases = [
@@ -40,3 +46,58 @@ def test_mined_rules_block_combinations(spark):
     everything = pages.unionByName(labels.selectExpr("0L as page_id", "url"))
     got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(everything, rules=[], labels=labels).where("page_id > 0").collect()}
     assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+def brute_rules(rows, support, confidence, lift):
+    """Every rule (tokens, verdict) that holds in rows(tokens, verdict), by trying all subsets of each row."""
+    n, share = len(rows), {v: sum(w == v for _, w in rows) / len(rows) for v in ("allow", "block")}
+    counts = {}
+    for tokens, verdict in rows:
+        for k in range(1, len(tokens) + 1):
+            for part in combinations(sorted(tokens), k):
+                own = counts.setdefault(part, {"allow": 0, "block": 0})
+                own[verdict] += 1
+    out = {}
+    for part, own in counts.items():
+        for v, c in own.items():
+            sure = c / sum(own.values())
+            if c >= support * n and sure >= confidence and share[v] and sure / share[v] >= lift:
+                out[part, v] = sure
+    return out
+
+
+def test_mined_rules_decide_pages_of_the_table_and_equal_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    out = urls.filter_urls(pages).cache()
+    assert out.count() == pages.count()
+    decided = out.where("rule is null and mined_confidence is not null")
+    assert decided.count() > 20 and {r["verdict"] for r in decided.select("verdict").distinct().collect()} == {"allow", "block"}
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    rows = pages.select("url", urls.url_tokens(host, path).alias("tokens"), urls.fixed_verdict(host, path, urls.RULES)["verdict"].alias("v"), (F.pmod(F.xxhash64("url", F.lit(7)), F.lit(4)) == 0).alias("held")).distinct().collect()
+    fits = [(set(r["tokens"]), r["v"]) for r in rows if r["v"] and not r["held"]]
+    extents = {}
+    for t in set().union(*(x for x, _ in fits)):
+        own = frozenset(i for i, (x, _) in enumerate(fits) if t in x)
+        if len(own) >= 0.005 * len(fits):
+            extents.setdefault(own, []).append(t)
+    kept = {min(x) for x in extents.values()}
+    rules = brute_rules([(x & kept, v) for x, v in fits], 0.005, 0.9, 1.02)
+    tried = [(set(r["tokens"]), r["v"]) for r in rows if r["v"] and r["held"]]
+    for part, v in list(rules):
+        met = [w == v for x, w in tried if set(part) <= x]
+        if not met or sum(met) / len(met) < 0.9:
+            del rules[part, v]
+    want = {}
+    for r in rows:
+        found = [(sure, v == "allow", v) for (part, v), sure in rules.items() if set(part) <= set(r["tokens"])]
+        if not r["v"] and found:
+            want[r["url"]] = max(found)[2]
+    got = {r["url"]: r["verdict"] for r in pages.join(decided, "page_id").select("url", "verdict").collect()}
+    assert got == want
+
+
+def test_a_long_shared_path_is_one_item(spark):
+    start = "/".join(f"d{chr(97 + i)}" for i in range(26))
+    labels = spark.range(400).selectExpr(f"concat('http://x.test/{start}/', if(id % 2 = 0, 'bad', 'good'), '/', id) as url", "id % 2 = 0 as blocked")
+    got = urls.filter_urls(labels.selectExpr("1L as page_id", "url"), rules=[], labels=labels)
+    assert {(r["verdict"], r["count"]) for r in got.groupBy("verdict").count().collect()} == {("allow", 200), ("block", 200)}

@@ -1,9 +1,11 @@
 """URL filters by association rules, in DataFrame functions only.
 
-A URL becomes a set of tokens: its host's domain suffixes and its path's segments, digits folded.
-FP-growth mines labelled token sets, each with its verdict as one more item; rules that imply
-`block` are pruned by support, by confidence, and where a shorter rule is as sure. What remains is
-an inverted index from token to rule; a URL matches a rule when all the rule's tokens are met.
+A URL becomes a set of tokens: its host's domain suffixes, its path's segments with digits folded,
+and the first digit of those that begin with one. FP-growth mines labelled token sets, each with
+its verdict as one more item; rules that imply a verdict are pruned by support, by confidence in
+the fitted and in a held-out part of the labels, by lift, and where a shorter rule is as sure.
+What remains is an inverted index from token to rule; a URL matches a rule when all the rule's
+tokens are met, and its surest rule decides.
 """
 
 from __future__ import annotations
@@ -47,59 +49,89 @@ def fixed_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: h: and each suffix of the host at a dot, p<k>: and each segment of the path."""
+    """Distinct tokens: h: and each suffix of the host at a dot, p<k>: and each segment of the path, p<k>^ and its first digit."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(labels, lambda _, i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i + 1, F.size(labels) - i), ".")))
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     segments = F.transform(parts, lambda s, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), F.regexp_replace(s, "[0-9]+", "0")))
-    return F.array_distinct(F.concat(F.when(host == "", F.array().cast("array<string>")).otherwise(suffixes), segments))
+    firsts = F.transform(parts, lambda s, i: F.when(s.rlike("^[0-9]"), F.concat(F.lit("p"), i.cast("string"), F.lit("^"), F.substring(s, 1, 1))))
+    return F.array_distinct(F.concat(F.when(host == "", F.array().cast("array<string>")).otherwise(suffixes), segments, F.filter(firsts, lambda s: s.isNotNull())))
 
 
-def mine_rules(labelled: DataFrame, *, support: float = 0.005, confidence: float = 0.9, most_rules: int = 1000) -> DataFrame:
-    """rule_id, tokens, confidence, support from labelled(tokens, blocked).
+def _baskets(labelled: DataFrame, support: float) -> DataFrame:
+    """url and its tokens of enough support; of tokens that the same URLs hold, the least stands for all.
 
-    Fitted on all labelled rows. At most `most_rules` rules, the surest and most frequent first, so the index has a
-    known size. No blocked rows give no rules.
+    So a path or host that many URLs share is one item, not a chain with all its subsets.
     """
-    item = F.when(F.col("blocked"), F.lit("=block")).otherwise(F.lit("=allow"))
-    baskets = labelled.select(F.array_append("tokens", item).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(written(baskets))
-    rules = model.associationRules.where((F.element_at("consequent", 1) == "=block") & ~F.array_contains("antecedent", "=allow"))
-    rules = written(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(most_rules))
-    # a rule goes where a part of it is at least as sure
-    shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
-    covers = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("sure") >= F.col("confidence"))
-    kept = rules.join(shorter, covers, "left_anti")
-    return kept.withColumn("rule_id", F.xxhash64("tokens"))
+    each = labelled.select("url", F.explode("tokens").alias("token"))
+    own = F.xxhash64("url").cast("decimal(38,0)")
+    sizes = written(each.groupBy("token").agg(F.count("*").alias("n"), F.sum(own).alias("extent")))
+    least = labelled.count() * support
+    kept = sizes.where(F.col("n") >= least).groupBy("n", "extent").agg(F.min("token").alias("token")).select("token")
+    return each.join(kept, "token").groupBy("url").agg(F.collect_set("token").alias("items"))  # a URL's own tokens
+
+
+def mine_rules(labelled: DataFrame, *, support: float = 0.005, confidence: float = 0.9, lift: float = 1.02) -> DataFrame:
+    """rule_id, tokens, verdict, confidence, support from labelled(url, tokens, blocked), a row for each URL.
+
+    A quarter of the URLs, by hash, is held out: a rule stays if it is as sure there, and meets a
+    URL there. All labelled rows are used. Labels of one kind only give no rules, as no token then
+    tells them apart.
+    """
+    held = F.pmod(F.xxhash64("url", F.lit(7)), F.lit(4)) == 0
+    labelled = written(labelled.withColumn("held", held))
+    verdict = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
+    fits = labelled.where("not held").select("url", "tokens", verdict.alias("verdict"))
+    items = _baskets(fits, support).join(fits.select("url", "verdict"), "url").select(F.array_append("items", F.concat(F.lit("="), "verdict")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(written(items))
+    implied = F.element_at("consequent", 1)
+    told = model.associationRules.where(F.startswith(implied, F.lit("=")) & (F.col("lift") >= lift) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("="))))
+    rules = told.select(F.array_sort("antecedent").alias("tokens"), F.substring(implied, 2, 9).alias("verdict"), "confidence", "support")
+    rules = written(rules.withColumn("rule_id", F.xxhash64("tokens", "verdict")))
+    tries = met_rules(labelled.where("held").select("url", "tokens"), rules).join(labelled.select("url", verdict.alias("truth")), "url")
+    sound = tries.groupBy("rule_id").agg(F.avg((F.col("truth") == F.col("verdict")).cast("double")).alias("tried")).where(F.col("tried") >= confidence)
+    rules = written(rules.join(sound.select("rule_id"), "rule_id"))
+    # a rule goes where a part of it is at least as sure: parts are found by the tokens they share
+    part = rules.select(F.col("rule_id").alias("part"), F.col("verdict"), F.col("confidence").alias("sure"), F.size("tokens").alias("needs"), F.explode("tokens").alias("token"))
+    whole = rules.select("rule_id", "verdict", "confidence", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    shared = whole.join(part, ["token", "verdict"]).where("size > needs and sure >= confidence").groupBy("rule_id", "part", "needs").count()
+    return rules.join(shared.where("count = needs").select("rule_id").distinct(), "rule_id", "left_anti")
+
+
+def met_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """url, rule_id, verdict, confidence, needs for each rule all of whose tokens a URL of token_sets(url, tokens) holds."""
+    index = rules.select("rule_id", "verdict", "confidence", F.size("tokens").alias("needs"), F.explode("tokens").alias("token"))
+    met = token_sets.select("url", F.explode("tokens").alias("token")).join(index, "token")
+    return met.groupBy("url", "rule_id", "verdict", "confidence", "needs").count().where("count = needs").drop("count")
 
 
 def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """url and the confidence of its surest matching rule, for token_sets(url, tokens) that match one."""
-    index = rules.select("rule_id", "confidence", F.size("tokens").alias("needs"), F.explode("tokens").alias("token"))
-    met = token_sets.select("url", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
-    full = met.groupBy("url", "rule_id", "needs", "confidence").count().where("count = needs")
-    return full.groupBy("url").agg(F.max("confidence").alias("confidence"))
+    """url, mined, confidence: the verdict of its surest matching rule, allow before block where they are equally sure."""
+    best = F.max(F.struct("confidence", (F.col("verdict") == "allow").alias("allows"), "verdict")).alias("best")
+    return met_rules(token_sets, rules).groupBy("url").agg(best).select("url", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None, **options: float) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_confidence for each row of pages(page_id, url).
 
-    A fixed rule decides where one fits; elsewhere the mined rules block what they match and the
-    rest is allowed. `labels` has (url, blocked); without it, URLs that a fixed rule blocks are the
-    labelled ones and all others count as allowed, so that a token is no evidence only because the
-    fixed rules look at few other URLs with it. Null URLs and those without :// have an empty host and path, no rule, and are allowed.
-    Repeated rows get a row each; extra columns are ignored.
+    A fixed rule decides where one fits; elsewhere the surest mined rule that matches, and what
+    none matches is allowed. `labels` has (url, blocked); without it, the URLs that a fixed rule
+    decides are the labelled ones, with its verdict, and all others are unlabelled: they are no
+    evidence for either verdict. Null URLs and those without :// have an empty host and path, no
+    rule, and are allowed. Repeated rows get a row each; extra columns are ignored.
     """
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"))
     urls = rows.where("url is not null").select("url").distinct()
     urls = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     urls = written(urls.withColumns({"fixed": fixed_verdict(F.col("host"), F.col("path"), rules), "tokens": url_tokens(F.col("host"), F.col("path"))}))
-    rated = urls.select("tokens", F.coalesce(F.col("fixed.verdict") == "block", F.lit(False)).alias("blocked"))
-    if labels is not None:
-        rated = urls.join(labels.select("url", "blocked"), "url").select("tokens", "blocked")
+    if labels is None:
+        rated = urls.where("fixed is not null").select("url", "tokens", (F.col("fixed.verdict") == "block").alias("blocked"))
+    else:
+        # a URL with unlike labels counts as blocked
+        rated = urls.join(labels.groupBy("url").agg(F.max("blocked").alias("blocked")).where("blocked is not null"), "url").select("url", "tokens", "blocked")
     mined = written(mine_rules(rated, **options))
     found = matched(urls.where("fixed is null").select("url", "tokens"), mined)
-    judged = urls.join(found, "url", "left").select("url", "host", "path", F.col("fixed.rule").alias("rule"), "fixed.verdict", "confidence")
+    judged = urls.join(found, "url", "left").select("url", "host", "path", F.col("fixed.rule").alias("rule"), "fixed.verdict", "mined", "confidence")
     out = rows.join(judged, "url", "left")
-    verdict = F.coalesce("verdict", F.when(F.col("confidence").isNotNull(), "block"), F.lit("allow"))
+    verdict = F.coalesce("verdict", "mined", F.lit("allow"))
     return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", verdict.alias("verdict"), F.col("confidence").alias("mined_confidence"))
