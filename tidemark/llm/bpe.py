@@ -26,6 +26,8 @@ from .common import slices, text_buffers
 
 CHARS = "".join(map(chr, range(0x100, 0x200)))
 MOST_CACHED = 250_000
+#: longer pieces of text are encoded each time they come, so the cache is bounded in bytes too
+LONGEST_CACHED = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -72,7 +74,8 @@ class Codec:
     A single space between two other characters that are no white space always begins a pre-token,
     so a text without neighbouring white space is cut there first; only words not met lately are
     split by the pattern and merged. Other texts are split by the pattern as a whole. Two
-    generations of words are kept, of MOST_CACHED each; the older one goes when the newer is full.
+    generations of words are kept, of MOST_CACHED each and none longer than LONGEST_CACHED; the
+    older one goes when the newer is full.
     """
 
     def __init__(self, model: bytes, ranks: dict[bytes, int], pattern: str) -> None:
@@ -95,8 +98,9 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
-    def _learn(self, parts: set[str]) -> None:
-        fresh = []
+    def _learn(self, parts: set[str]) -> dict[str, tuple[str, int, bytes]]:
+        """Keeps what is met first, but for the long ones, which are returned."""
+        fresh, long = [], {}
         for part in parts:
             if part in self.older:
                 self.known[part] = self.older[part]
@@ -106,7 +110,8 @@ class Codec:
         ids = iter(self.merged([t for own in tokens for t in own]))
         for part, own in zip(fresh, tokens, strict=True):
             found = [i for _ in own for i in next(ids)]
-            self.known[part] = ",".join(map(str, found)), len(found), self.decode(found)
+            (self.known if len(part) <= LONGEST_CACHED else long)[part] = ",".join(map(str, found)), len(found), self.decode(found)
+        return long
 
     def parts(self, text: str) -> list[str]:
         """Pieces of the text that split into pre-tokens as the whole does."""
@@ -118,14 +123,14 @@ class Codec:
     def encode_all(self, texts: list[str]) -> Iterator[tuple[list[str], list[int], list[bytes]]]:
         """For each text the decimal ids, numbers of ids and decoded bytes of its parts."""
         cut = [self.parts(t) for t in texts]
-        missing = set().union(*cut).difference(self.known) if cut else set()
+        missing, long = set().union(*cut).difference(self.known) if cut else set(), {}
         if missing:
             if len(self.known) > MOST_CACHED:
                 self.older, self.known = self.known, {}
                 missing = set().union(*cut)
-            self._learn(missing)
+            long = self._learn(missing)
         for own in cut:
-            got = [self.known[p] for p in own]
+            got = [self.known[p] if p in self.known else long[p] for p in own]
             yield [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
 
     def encode(self, text: str) -> list[int]:
