@@ -19,22 +19,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, Words, mix, slices, text_buffers, written
+from .common import Hasher, Words, mix, shipped, slices, text_buffers
 
 UNDETERMINED = "und"
 MASKS = {4: (1 << 64) - 1, 3: (1 << 48) - 1, 2: (1 << 32) - 1, 1: (1 << 16) - 1}
 
 
 def letter_table() -> np.ndarray:
-    return np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x30000)])
+    """Whether each code point is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=bool, count=0x110000)
 
 
 def symbols_of(words: list[str], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(4-gram keys of predicted symbols, number of them for each word); 16 bits a symbol, 0 a word's end."""
+    """(4-gram keys of predicted symbols, number of them for each word); 16 bits a symbol, 0 a word's end. Letters beyond 16 bits share symbols with others."""
     lowered = [w.lower() for w in words]
     sizes = np.array([len(w) + 1 for w in lowered], dtype=np.int64)
     points = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "replace"), dtype=np.uint32)
-    s = np.where(is_letter[np.minimum(points, len(is_letter) - 1)], points & 0xFFFF, 0).astype(np.uint64)
+    s = np.where(is_letter[points], np.where(points > 0xFFFF, 1 + points % 0xFFFF, points), 0).astype(np.uint64)
     zero = np.zeros(3, dtype=np.uint64)
     padded = np.concatenate([zero, s])
     p1 = padded[2:-1]
@@ -131,19 +132,16 @@ def fit_models(counts: pd.DataFrame, langs: list[str]) -> Model:
     return model
 
 
-def _counted(langs: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_table()
-        for batch in batches:
-            labels, texts = batch.column(0).to_pylist(), batch.column(1)
-            offsets = text_buffers(texts)[1]
-            for i, j in slices(offsets):
-                for lang in sorted(set(labels[i:j])):
-                    keys, _ = symbols_of([t for t, x in zip(texts[i:j].to_pylist(), labels[i:j], strict=True) if x == lang], letters)
-                    grams, n = np.unique(keys, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    letters = letter_table()
+    for batch in batches:
+        labels, texts = batch.column(0).to_pylist(), batch.column(1)
+        for i, j in slices(text_buffers(texts)[1]):
+            said = texts[i:j].to_pylist()
+            for lang in sorted(set(labels[i:j])):
+                keys, _ = symbols_of([t for t, x in zip(said, labels[i:j], strict=True) if x == lang], letters)
+                grams, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
 def text_scores(model: Model, texts: pa.Array, hasher: Hasher, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,28 +180,28 @@ def posterior(scores: np.ndarray, temperature: float) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, *, sample_docs: int = 4000, most_langs: int = 64, most_grams: int = 1_000_000) -> Model | None:
+def train(docs: DataFrame, *, sample_docs: int = 4000, most_docs: int = 32000) -> Model | None:
     """Models from documents of the training parts with a lang; None without any.
 
     About `sample_docs` documents of each language, by hash of the id, fit the models, and as many
-    of another part calibrate them (the documented bound); the `most_langs` commonest languages
-    are learned and `most_grams` grams kept, which bounds what is broadcast.
+    of another part calibrate them; fewer where all languages together would pass `most_docs`.
+    These two are the documented bound: all their grams are learned, of every language.
     """
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").withColumn("part", held_part(4)).where("part <> 2")
     sizes = labelled.groupBy("lang", (F.col("part") == 3).alias("calibrates")).count()
-    common = sizes.groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).select("lang")
-    langs = sorted(r["lang"] for r in common.collect())
-    if not langs:
+    seen = sizes.collect()  # two rows a language
+    if not seen:
         return None
-    share = {(r["lang"], r["calibrates"]): min(1.0, sample_docs / r["count"]) for r in sizes.where(F.col("lang").isin(langs)).collect()}
+    own = min(sample_docs, max(20, most_docs // len({r["lang"] for r in seen})))
+    share = {(r["lang"], r["calibrates"]): min(1.0, own / r["count"]) for r in seen}
     chain = F.lit(0.0)
     for (lang, calibrates), x in share.items():
         chain = F.when((F.col("lang") == lang) & ((F.col("part") == 3) == calibrates), x).otherwise(chain)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < chain * (1 << 20)
     some = labelled.where(drawn).select("lang", "text", "part")
     fits = some.where("part <> 3").select("lang", "text")
-    counts = fits.mapInArrow(_counted(langs), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(most_grams).toPandas()
+    counts = fits.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = counts.orderBy("lang", "gram").toPandas()
     if not len(counts):
         return None
     model = fit_models(counts, sorted(counts["lang"].unique().tolist()))
@@ -246,14 +244,14 @@ def identified(docs: DataFrame, model: Model | None, keep: list[str] | None = No
     cross-entropies beyond the bound of their language (wider for short texts). Repeated rows get
     a row each; `keep` lists columns to carry along beside the new ones, others are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     carried = docs.select(*(F.col(c) for c in keep)) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = carried.columns
     at_text = names.index("text")
     out = [c for c in names if keep or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, letters, own = Hasher(), letter_table(), shared.value
+        hasher, letters, own = Hasher(), letter_table(), shared()
         for batch in batches:
             size = batch.num_rows
             pred, score, no = np.full(size, UNDETERMINED, dtype=object), np.zeros(size), np.ones(size, dtype=bool)
