@@ -1,6 +1,9 @@
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -8,6 +11,8 @@ import numpy as np
 
 from tidemark.llm import langid, lm
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 WORDS = {
     "en": ["the", "of", "and", "there", "nation", "thing", "other", "when", "water"],
     "fr": ["les", "des", "une", "être", "nation", "chose", "autre", "quand", "l'eau"],
@@ -55,7 +60,7 @@ def test_models_are_distributions():
 def test_base_scores_equal_brute_force_and_the_model_beats_them(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r["doc_id"]: r for r in lm.score_texts(df, most_words=8, draws=4000).collect()}
+    got = {r["doc_id"]: r for r in lm.score_texts(df, most_words=8).collect()}
     tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["<end>"] for i, t, *_ in rows}
     counts = Counter()
     for i, own in tokens.items():
@@ -74,17 +79,142 @@ def test_base_scores_equal_brute_force_and_the_model_beats_them(spark):
     assert lm.score_texts(df.limit(0)).count() == 0
 
 
-def test_spellings_sum_to_one():
-    r = np.random.default_rng(3)
-    words = [w.encode() for w in sum(WORDS.values(), [])]
+def speller(words, classes):
     data = np.frombuffer(b"".join(words), np.uint8)
-    end = np.cumsum([len(w) for w in words])
-    keys, _ = lm.spelled(data, end - np.array([len(w) for w in words]), end)
-    table, mixer = lm.BitTable(), lm.Mixer()
-    kinds, n = np.unique(keys, return_counts=True)
-    for order in range(len(lm.ORDERS)):
-        table.add(lm._contexts(kinds, np.zeros(len(kinds), np.int64))[order], kinds, n.astype(float))
-    mixer.learn(table, keys[r.permutation(len(keys))], np.zeros(len(keys), np.int64))
-    for context in kinds[:20] >> np.uint64(8):
-        p = np.exp(mixer.code(table, (context << np.uint64(8)) | np.arange(256, dtype=np.uint64), 0)).sum()
-        assert abs(p - 1) < 1e-9
+    size = np.array([len(w) for w in words])
+    keys, n = lm.spelled(data, np.cumsum(size) - size, np.cumsum(size))
+    z = np.repeat(np.array(classes, dtype=np.uint64), n)
+    kinds, m = np.unique(keys | z << np.uint64(40), return_counts=True)
+    keys, z, byte = kinds & np.uint64((1 << 40) - 1), kinds >> np.uint64(40), (kinds & np.uint64(255)).astype(np.int64)
+    table = lm.BitTable(lm.ByteCode(np.bincount(byte, m, 256)))
+    for context in lm.contexts(keys, z):
+        table.add(context, byte, m.astype(float))
+    after = np.unique(np.array([(97 << 24 | 98 << 16 | w[0], 97 << 24 | 98 << 16 | w[0] << 8 | w[1]) for w in words], dtype=np.uint64).ravel())
+    table.add(lm.word_context(after, np.ones(len(after), np.uint64)), (after & np.uint64(255)).astype(np.int64), np.full(len(after), 3.0))
+    r = np.random.default_rng(4)
+    return lm.Speller(table, r.uniform(0.1, 0.5, (lm.GATES, lm.INPUTS)).astype(np.float32))
+
+
+def bit_by_bit(model, keys, after, z):
+    """One segment, coded one decision after another with plain numbers."""
+    code, w = model.table.code, model.weights.astype(float).copy()
+    refine = [[1 / (1 + math.exp(-(j - 16) / 2)) for j in range(33)] for _ in range(5)]
+    out = []
+    for key, tail in zip(keys, after):
+        total, byte = 0.0, int(key) & 255
+        for d in range(code.length[byte]):
+            node, bit = code.nodes[byte, d : d + 1], int(code.bits[byte, d])
+            counts = [model.table.look(c, node)[0].astype(float) for c in lm.contexts(np.array([key]), z)]
+            x = [math.log((c[1] + 0.4) / (c[0] + 0.4)) for c in counts]
+            c = model.table.look(lm.word_context(np.array([tail]), z), node)[0].astype(float) if tail else [0, 0]
+            x += [math.log((c[1] + 0.4) / (c[0] + 0.4)), 0.3]
+            level = [sum(c.sum() > b for b in (0.5, 2.5, 10.5, 60.5)) for c in counts[-2:]]
+            gate = level[0] * 5 + level[1]
+            s = max(-7.99, min(7.99, sum(a * b for a, b in zip(w[gate], x))))
+            p = 1 / (1 + math.exp(-s))
+            low = int((s + 8) * 2)
+            share = (s + 8) * 2 - low
+            own = refine[level[1]]
+            q = (p + own[low] + share * (own[low + 1] - own[low])) / 2
+            total += math.log(q if bit else 1 - q)
+            w[gate] += 0.02 * (bit - p) * np.array(x)
+            own[low + (share > 0.5)] += 0.02 * (bit - own[low + (share > 0.5)])
+        out.append(total)
+    return np.array(out)
+
+
+def test_segments_in_step_equal_one_bit_after_another(monkeypatch):
+    words = [w.encode() for own in WORDS.values() for w in own]
+    model = speller(words, [1] * len(words))
+    r = random.Random(5)
+    texts = [" ".join(r.choice(words).decode() + r.choice(["", "er", "x9", "ab"]) for _ in range(n)) for n in (1, 40, 7, 0, 90, 3)]
+    raw = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    monkeypatch.setattr(lm, "SEGMENT", 64)
+    for at_once in (50, 1 << 20):
+        monkeypatch.setattr(lm, "AT_ONCE", at_once)
+        found = lm.Words(lm.Hasher(), np.frombuffer(raw, np.uint8), offsets)
+        rare = np.arange(len(found.start))
+        got = np.zeros(len(rare))
+        for some, logp, _, _ in model.words(found, rare, np.ones(len(rare), np.int64)):
+            got[some] = logp
+        want = []
+        tails = lm.tails(found)
+        for d in range(len(texts)):
+            keys, after, ends, used = [], [], [], 0
+            segments = {}
+            for i in range(found.bounds[d], found.bounds[d + 1]):
+                k, n = lm.spelled(found.data, found.start[i : i + 1], found.end[i : i + 1])
+                segments.setdefault(used // 64, []).append((k, lm.after_words(tails[i : i + 1], k, n)))
+                used += len(k)
+            for own in segments.values():
+                logs = bit_by_bit(model, np.concatenate([k for k, _ in own]), np.concatenate([a for _, a in own]), 1)
+                at = 0
+                for k, _ in own:
+                    want.append(logs[at : at + len(k)].sum())
+                    at += len(k)
+        assert np.allclose(got, want, rtol=2e-4, atol=2e-4)
+
+
+def test_bytes_sum_to_one():
+    words = [w.encode() for own in WORDS.values() for w in own]
+    model = speller(words, [1] * len(words))
+    for key in lm.spelled(np.frombuffer(b"there", np.uint8), np.array([0]), np.array([5]))[0]:
+        keys = key & ~np.uint64(255) | np.arange(256, dtype=np.uint64)
+        logs = model.code(keys, np.zeros(256, np.uint64), np.ones(256, np.int64), np.arange(256))[0]
+        assert abs(np.exp(logs).sum() - 1) < 1e-4
+
+
+def test_held_out_score_passes_the_base_on_the_table(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.queries import op4_lm_scoring
+
+    held = op4_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
+def test_odd_rows_of_models(spark):
+    rows = [(None, "the water", "en", 1), (5, "the water", "en", 2), (5, "the water", "en", 2), (6, None, None, 3), (7, "x" * 30000, "en", 4), (8, "\x00 a", "fr", 5), (9, "𐐀𐐁 𠀀 𰀀", None, 6)]
+    rows += [(i, "the other water", "en", 0) for i in range(20, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    for query in (lm.score_texts, langid.identify):
+        got = query(df).collect()
+        assert len(got) == len(rows)
+        same = [tuple(r) for r in got if r["doc_id"] == 5]
+        assert same[0] == same[1]
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+    assert found[9] != "und" and found[6] == "und"
+
+
+def test_letters_of_all_planes():
+    letters = langid.letter_table()
+    for c in (0x10000, 0x20000, 0x30000, 0x1FFFF + 1, ord("a"), 0xFFFF + 1):
+        assert letters[c] == chr(c).isalpha()
+        keys, _ = langid.symbols_of([chr(c)], letters)
+        assert (len(keys) > 0) == chr(c).isalpha() and all(int(k) & 0xFFFF for k in keys[:1])
+
+
+def test_executors_without_the_package(tmp_path):
+    """Workers that can't import the package score, identify and link: models go by value."""
+    script = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+from tidemark.llm import embeddings, langid, lm
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+def lacks(frames):
+    import importlib.util
+    for frame in frames:
+        yield frame.assign(doc_id=int(importlib.util.find_spec("tidemark") is not None))
+docs = spark.createDataFrame([(i, "the water of the nation " * 3, "en", "s") for i in range(40)], "doc_id long, text string, lang string, source string")
+assert docs.select("doc_id").mapInPandas(lacks, "doc_id long").agg({{"doc_id": "max"}}).first()[0] == 0
+assert lm.score_texts(docs).count() == 40 and langid.identify(docs).count() == 40
+lm.score_texts(docs).collect(), langid.identify(docs).collect()
+vectors = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(40)], "vec_id long, embedding array<double>")
+assert len(embeddings.near_vectors(vectors).collect()) == 40
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "all ran" in done.stdout, done.stderr[-3000:]
