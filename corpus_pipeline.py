@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list rejects."""
+    """Documents that neither the base rules nor the learned list rejects; null and blank texts fail the base rules."""
     judged, _ = quality.quality_rules(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"))
     # the row number is drawn after the statistics, so the filter on it is not pushed below them
     placed = judged.withColumn("row", F.monotonically_increasing_id())
@@ -30,10 +30,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, of one row where rows repeat a doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id").select(*COLUMNS)
-    return rows.dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group: that of the least doc_id, one without an id last.
+
+    A document is its doc_id and its text, so rows that repeat an id with unlike texts are judged
+    apart and rows without an id by their text. Of rows alike in both, that with the least lang,
+    source and n_chars stays, nulls first. Null and empty texts are in no group.
+    """
+    keyed = docs.select(*COLUMNS).withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    groups = neardup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    ids = groups.distinct().join(keyed.select("key", "doc_id").distinct(), "key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
+    stay = ids.groupBy("component_id").agg(first.alias("key")).select("key")
+    rows = keyed.join(stay, "key").groupBy("key").agg(F.min(F.struct("doc_id", "lang", "source", "n_chars", "text")).alias("row"))
+    return rows.select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
