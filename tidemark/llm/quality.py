@@ -205,8 +205,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 20
 
     The list is fitted on `most_labelled` labelled rows at most that the base rules let pass (the
     documented bound), everything else is computed for every row. Null and empty texts fail the
-    base rules (no words). Repeated rows get a row each; extra columns stay. With an empty label
-    table the list is empty and only the base rules reject.
+    base rules (no words). Repeated rows get a row each; extra columns stay, but for those named as
+    a statistic or a verdict, which are overwritten. With an empty label table the list is empty and
+    only the base rules reject.
     """
     # written before it is filtered: a filter pushed below would compute the statistics anew
     rows = written(labelled_sample(docs, labels, most_labelled))
