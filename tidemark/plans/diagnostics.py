@@ -49,10 +49,10 @@ def fc_gate_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evals(spark, sf_dir).where("cold").groupBy("market").agg(F.round(ours / F.sum("actual"), 6).alias("wape"), F.round(theirs / F.sum("actual"), 6).alias("comparator"), (ours <= theirs).alias("passes"))
 
 
-@query("SELECT market, category, cold, grouping_id(market, category, cold) AS slice, count(*) AS n, round(sum(abs(ma13 - actual)), 4) AS abs_error FROM evals GROUP BY GROUPING SETS ((market), (category), (cold), (market, cold))")
+@query("SELECT market, category, cold, grouping_id(market, category, cold) AS slice, count(*) AS n, CAST(round(sum(CAST(abs(ma13 - actual) AS DECIMAL(18,6))), 4) AS DOUBLE) AS abs_error FROM evals GROUP BY GROUPING SETS ((market), (category), (cold), (market, cold))")
 def fc_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = [["market"], ["category"], ["cold"], ["market", "cold"]]
-    return _evals(spark, sf_dir).groupingSets(sets, "market", "category", "cold").agg(F.grouping_id("market", "category", "cold").alias("slice"), F.count("*").alias("n"), F.round(F.sum(F.abs(F.col("ma13") - F.col("actual"))), 4).alias("abs_error"))
+    return _evals(spark, sf_dir).groupingSets(sets, "market", "category", "cold").agg(F.grouping_id("market", "category", "cold").alias("slice"), F.count("*").alias("n"), F.round(F.sum(F.abs(F.col("ma13") - F.col("actual")).cast("decimal(18,6)")), 4).cast("double").alias("abs_error"))
 
 
 @query("SELECT bias, count(*) AS slices FROM (SELECT category, market, CASE WHEN sum(ma13 - actual) > 0.02 * sum(actual) THEN 'over' WHEN sum(ma13 - actual) < -0.02 * sum(actual) THEN 'under' ELSE 'neutral' END AS bias FROM evals GROUP BY ALL) GROUP BY bias")

@@ -121,9 +121,8 @@ def fc_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CROSTON = """
-, series AS (SELECT sku, w, coalesce(u, 0) AS u FROM (SELECT sku, unnest(range(72)) AS w FROM (SELECT DISTINCT sku FROM sales)) LEFT JOIN (
-    SELECT sku, date_diff('month', DATE '1995-01-01', business_date) AS w, sum(units) AS u FROM sales GROUP BY ALL) USING (sku, w)),
-hits AS (SELECT sku, w, CAST(u AS DOUBLE) AS u, row_number() OVER (PARTITION BY sku ORDER BY w) AS k, CAST(w - lag(w) OVER (PARTITION BY sku ORDER BY w) AS DOUBLE) AS gap FROM series WHERE u > 0),
+, months AS (SELECT sku, date_diff('month', (SELECT min(business_date) FROM sales), business_date) AS w, CAST(sum(units) AS DOUBLE) AS u FROM sales GROUP BY ALL),
+hits AS (SELECT sku, w, u, row_number() OVER (PARTITION BY sku ORDER BY w) AS k, CAST(w - lag(w) OVER (PARTITION BY sku ORDER BY w) AS DOUBLE) AS gap FROM months WHERE u > 0),
 ends AS (SELECT sku, max(k) AS n FROM hits GROUP BY sku)
 SELECT sku, round(0.95 * z / greatest(p, 1.0), 6) AS forecast FROM (SELECT h.sku,
     sum(CASE WHEN k = 1 THEN pow(0.9, n - 1) * u ELSE 0.1 * pow(0.9, n - k) * u END) AS z,
@@ -132,16 +131,19 @@ SELECT sku, round(0.95 * z / greatest(p, 1.0), 6) AS forecast FROM (SELECT h.sku
 
 @query(_CROSTON)
 def fc_croston(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Croston forecast of each product's 72 months; the SQL has the smoothing in closed form."""
-    month = F.expr("months_between(trunc(business_date, 'MM'), date'1995-01-01')").cast("int")
-    sums = sale_lines(spark, sf_dir).withColumn("w", month).where("w < 72").groupBy("sku", "w").agg(F.sum("units").alias("u"))
-    found = sums.groupBy("sku").agg(F.map_from_entries(F.collect_list(F.struct("w", "u"))).alias("by_month"))  # 72 at most
-    values = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda w: F.coalesce(F.try_element_at("by_month", w), F.lit(0).cast("long")))
+    """Croston forecast of each product from the first month of all sales to the last; the SQL has the smoothing in closed form."""
+    lines = sale_lines(spark, sf_dir)
+    span = lines.agg(F.trunc(F.min("business_date"), "MM").alias("first"), F.trunc(F.max("business_date"), "MM").alias("last"))  # one row
+    month = F.months_between(F.trunc("business_date", "MM"), "first").cast("int")
+    last = F.months_between("last", "first").cast("int")
+    sums = lines.crossJoin(F.broadcast(span)).groupBy("sku", month.alias("w"), last.alias("n")).agg(F.sum("units").alias("u"))
+    found = sums.groupBy("sku", "n").agg(F.map_from_entries(F.collect_list(F.struct("w", "u"))).alias("by_month"))  # a month each
+    values = F.transform(F.sequence(F.lit(0), F.col("n")), lambda w: F.coalesce(F.try_element_at("by_month", w), F.lit(0).cast("long")))
     return found.withColumn("values", values).select("sku", F.round(features.croston(F.col("values")), 6).alias("forecast"))
 
 
 _SCOPES = "GROUPING SETS ((), (market), (category), (market, category))"
-_SUMS = ", ".join(f"round(sum(abs({b} - actual)), 4) AS abs_{b}, round(sum({b} - actual), 4) AS signed_{b}" for b in ("naive", "ma8", "ma13"))
+_SUMS = ", ".join(f"CAST(round(sum(CAST(abs({b} - actual) AS DECIMAL(18,6))), 4) AS DOUBLE) AS abs_{b}, CAST(round(sum(CAST({b} - actual AS DECIMAL(18,6))), 4) AS DOUBLE) AS signed_{b}" for b in ("naive", "ma8", "ma13"))
 
 
 @query(f"SELECT market, category, count(*) AS n, round(sum(actual), 4) AS actual, {_SUMS} FROM evals GROUP BY {_SCOPES}")
@@ -149,8 +151,9 @@ def fc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additive error sums of every baseline at all scopes in one pass."""
     sums = []
     for b in ("naive", "ma8", "ma13"):
-        parts = features.additive_metrics(F.col("actual"), F.col(b))
-        sums += [F.round(parts["abs_error"], 4).alias(f"abs_{b}"), F.round(parts["signed_error"], 4).alias(f"signed_{b}")]
+        error = F.col(b) - F.col("actual")
+        # sums of decimals don't depend on the order of rows
+        sums += [F.round(F.sum(x.cast("decimal(18,6)")), 4).cast("double").alias(n) for x, n in ((F.abs(error), f"abs_{b}"), (error, f"signed_{b}"))]
     rows = _evals(spark, sf_dir).groupingSets([[], ["market"], ["category"], ["market", "category"]], "market", "category")
     return rows.agg(F.count("*").alias("n"), F.round(F.sum("actual"), 4).alias("actual"), *sums)
 
@@ -161,10 +164,10 @@ def fc_value_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evals(spark, sf_dir).groupBy("market").agg(F.round(ma / F.sum("actual"), 6).alias("wape_ma13"), F.round(naive / F.sum("actual"), 6).alias("wape_naive"), F.round(1 - ma / naive, 6).alias("gain"))
 
 
-@query("SELECT market, week, round(sum(actual), 4) AS actual, round(abs(sum(ma13) - sum(actual)), 4) AS abs_error FROM evals GROUP BY ALL")
+@query("SELECT market, week, round(sum(actual), 4) AS actual, CAST(round(abs(sum(CAST(ma13 AS DECIMAL(18,6))) - sum(CAST(actual AS DECIMAL(18,6)))), 4) AS DOUBLE) AS abs_error FROM evals GROUP BY ALL")
 def fc_metrics_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summed to the market before the error is taken."""
-    return _evals(spark, sf_dir).groupBy("market", "week").agg(F.round(F.sum("actual"), 4).alias("actual"), F.round(F.abs(F.sum("ma13") - F.sum("actual")), 4).alias("abs_error"))
+    return _evals(spark, sf_dir).groupBy("market", "week").agg(F.round(F.sum("actual"), 4).alias("actual"), F.round(F.abs(F.sum(F.col("ma13").cast("decimal(18,6)")) - F.sum(F.col("actual").cast("decimal(18,6)"))), 4).cast("double").alias("abs_error"))
 
 
 @query("SELECT market, quantile_cont(actual - ma13, 0.5) AS offset_p50, quantile_cont(actual - ma13, 0.9) AS offset_p90 FROM evals GROUP BY market")
@@ -173,21 +176,29 @@ def fc_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evals(spark, sf_dir).groupBy("market").agg(F.percentile(rest, 0.5).alias("offset_p50"), F.percentile(rest, 0.9).alias("offset_p90"))
 
 
-_CAL = "SELECT e.*, greatest(0, ma13 + o50) AS p50, greatest(0, ma13 + o50, ma13 + o90) AS p90 FROM evals e JOIN (SELECT market, quantile_cont(actual - ma13, 0.5) AS o50, quantile_cont(actual - ma13, 0.9) AS o90 FROM evals GROUP BY market) USING (market)"
+#: offsets are fitted on the weeks before this one and judged on the others
+FITTED = "2000-01-01"
+_CAL = f"SELECT e.*, greatest(0, ma13 + o50) AS p50, greatest(0, ma13 + o50, ma13 + o90) AS p90 FROM evals e JOIN (SELECT market, quantile_cont(actual - ma13, 0.5) AS o50, quantile_cont(actual - ma13, 0.9) AS o90 FROM evals WHERE week < DATE '{FITTED}' GROUP BY market) USING (market) WHERE week >= DATE '{FITTED}'"
 
 
 def _calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evals(spark, sf_dir)
+    rows, fitted = _evals(spark, sf_dir), F.col("week") < F.lit(FITTED).cast("date")
     rest = F.col("actual") - F.col("ma13")
-    offsets = rows.groupBy("market").agg(F.percentile(rest, 0.5).alias("o50"), F.percentile(rest, 0.9).alias("o90"))
+    offsets = rows.where(fitted).groupBy("market").agg(F.percentile(rest, 0.5).alias("o50"), F.percentile(rest, 0.9).alias("o90"))
     low, high = F.col("ma13") + F.col("o50"), F.col("ma13") + F.col("o90")
-    return rows.join(offsets, "market").withColumns({"p50": F.greatest(F.lit(0.0), low), "p90": F.greatest(F.lit(0.0), low, high)})
+    return rows.where(~fitted).join(offsets, "market").withColumns({"p50": F.greatest(F.lit(0.0), low), "p90": F.greatest(F.lit(0.0), low, high)})
 
 
-@query(f"SELECT market, cold, count(*) AS n, round(avg(CASE WHEN actual <= p90 THEN 1.0 ELSE 0.0 END), 6) AS coverage, bool_and(p90 >= p50) AS monotone FROM ({_CAL}) GROUP BY ALL")
+@query(f"""SELECT market, cohort, n, round(coverage, 6) AS coverage, coverage BETWEEN 0.85 AND 0.95 AS passes, monotone FROM (
+  SELECT market, CASE WHEN grouping(cold) = 1 THEN 'all' WHEN cold THEN 'cold_start' ELSE 'established' END AS cohort, count(*) AS n, avg(CASE WHEN actual <= p90 THEN 1.0 ELSE 0.0 END) AS coverage, bool_and(p90 >= p50) AS monotone
+  FROM ({_CAL}) GROUP BY GROUPING SETS ((market), (market, cold)))""")
 def fc_gate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _calibrated(spark, sf_dir)
-    return rows.groupBy("market", "cold").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("actual") <= F.col("p90"), 1.0).otherwise(0.0)), 6).alias("coverage"), F.bool_and(F.col("p90") >= F.col("p50")).alias("monotone"))
+    """Share of later actuals within P90, whole and by cohort, that must lie between 0.85 and 0.95."""
+    cohort = F.when(F.grouping("cold") == 1, "all").when(F.col("cold"), "cold_start").otherwise("established")
+    covered = F.avg(F.when(F.col("actual") <= F.col("p90"), 1.0).otherwise(0.0))
+    rows = _calibrated(spark, sf_dir).groupingSets([["market"], ["market", "cold"]], "market", "cold")
+    rows = rows.agg(cohort.alias("cohort"), F.count("*").alias("n"), covered.alias("c"), F.bool_and(F.col("p90") >= F.col("p50")).alias("monotone"))
+    return rows.select("market", "cohort", "n", F.round("c", 6).alias("coverage"), F.col("c").between(0.85, 0.95).alias("passes"), "monotone")
 
 
 @query(f"SELECT category, market, round(sum(greatest(p50, 1) / (1 + (p90 - p50) / greatest(p50, 1))) / sum(greatest(p50, 1)), 6) AS confidence FROM ({_CAL}) GROUP BY ALL")
@@ -214,12 +225,18 @@ def fc_blend_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("market", (best / 20.0).alias("weight"))
 
 
-@query("SELECT category, market, week, round(ma13, 4) AS bottom_up, round(t * w, 4) AS top_down FROM (SELECT *, sum(ma13) OVER (PARTITION BY market, week) AS t, sum(lag_u) OVER (PARTITION BY category, market) / sum(lag_u) OVER (PARTITION BY market) AS w FROM (SELECT *, CAST(coalesce(lag_1, 0) AS DOUBLE) AS lag_u FROM base))")
+@query("""SELECT category, market, week, round(ma13, 4) AS bottom_up, round(t * w, 4) AS top_down, round(CASE WHEN b > 0 THEN ma13 * t / b END, 4) AS proportional FROM (
+  SELECT *, CAST(sum(CAST(ma13 AS DECIMAL(18,6))) OVER (PARTITION BY market, week) AS DOUBLE) AS b, CAST(sum(lag_u) OVER (PARTITION BY market, week) AS DOUBLE) AS t,
+    CAST(sum(lag_u) OVER (PARTITION BY category, market ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / nullif(sum(lag_u) OVER (PARTITION BY market ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS w
+  FROM (SELECT *, coalesce(lag_1, 0) AS lag_u FROM base))""")
 def fc_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.baselines(_panel(spark, sf_dir)).withColumn("u", F.coalesce("lag_1", F.lit(0)).cast("double"))
-    total = F.sum("ma13").over(Window.partitionBy("market", "week"))
-    share = F.sum("u").over(Window.partitionBy("category", "market")) / F.sum("u").over(Window.partitionBy("market"))
-    return rows.select(*KEYS, "week", F.round("ma13", 4).alias("bottom_up"), F.round(total * share, 4).alias("top_down"))
+    """Bottom-up, top-down by the share of what was sold before, and leaves scaled to their parent's total."""
+    rows = features.baselines(_panel(spark, sf_dir)).withColumn("u", F.coalesce("lag_1", F.lit(0)).cast("long"))
+    of_week = Window.partitionBy("market", "week")
+    own, parent = (Window.partitionBy(*k).orderBy("week").rangeBetween(Window.unboundedPreceding, Window.currentRow) for k in (KEYS, ["market"]))
+    share = F.sum("u").over(own).cast("double") / F.nullif(F.sum("u").over(parent), F.lit(0))
+    total, leaves = F.sum("u").over(of_week).cast("double"), F.sum(F.col("ma13").cast("decimal(18,6)")).over(of_week).cast("double")
+    return rows.select(*KEYS, "week", F.round("ma13", 4).alias("bottom_up"), F.round(total * share, 4).alias("top_down"), F.round(F.when(leaves > 0, F.col("ma13") * total / leaves), 4).alias("proportional"))
 
 
 @query("SELECT category, market, round(err, 4) AS err, round(err / sum(err) OVER (), 6) AS mass, err / sum(err) OVER () >= 0.05 AS material, CASE WHEN signed > 0.02 * actual THEN 'over' WHEN signed < -0.02 * actual THEN 'under' ELSE 'neutral' END AS bias FROM (SELECT category, market, sum(abs(ma13 - actual)) AS err, sum(ma13 - actual) AS signed, sum(actual) AS actual FROM evals GROUP BY ALL)")
