@@ -38,12 +38,6 @@ def _evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEYS, "week", F.col("target_1").cast("double").alias("actual"), "naive", "seasonal_naive", "ma8", "ma13", "dev_13", F.col("lag_52").isNull().alias("cold"))
 
 
-@query("SELECT * FROM panel")
-def feat_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weekly panel: lags, rolling windows, shares, trend and targets."""
-    return _panel(spark, sf_dir)
-
-
 @query("SELECT sku, location, week, units, lines, net_minor, known_as_of, round(net_minor / nullif(units, 0), 6) AS mean_price FROM weeks")
 def feat_weekly_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = weekly_series(sale_lines(spark, sf_dir))
