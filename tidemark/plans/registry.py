@@ -1,5 +1,5 @@
 """Query modules whose QUERIES and ORACLES make up the public query set."""
 
-from . import basics, canonical, diagnostics, evaluation, forecast, inventory, panel, scalars, staging, streams, windows
+from . import basics, canonical, diagnostics, evaluation, forecast, inventory, panel, scalars, staging, streams, supply, windows
 
-MODULES: list = [basics, canonical, diagnostics, evaluation, forecast, inventory, panel, scalars, staging, streams, windows]
+MODULES: list = [basics, canonical, diagnostics, evaluation, forecast, inventory, panel, scalars, staging, streams, supply, windows]
