@@ -39,24 +39,28 @@ def calendar(facts: DataFrame, keys: list[str], day: str) -> DataFrame:
     return days.withColumns({"weekday": F.date_format("date", "EEEE"), "working": F.weekday("date") < 5, "month": F.month("date").cast("long"), "year": F.year("date").cast("long")})
 
 
+#: The day of the stock snapshot.
+SNAPSHOT = "2000-12-31"
+#: Buckets of a cell as sums of its lines' units, in Spark's and DuckDB's SQL alike: what was
+#: received within a year or came back lies there, what is overdue or not yet due is promised or expected.
+BUCKETS = {
+    "on_hand": "fulfilled AND due <= snapshot AND (returned OR age < 365)",
+    "committed": "NOT fulfilled AND due <= snapshot AND age < 365",
+    "reserved": "NOT fulfilled AND returned AND due > snapshot",
+    "damaged": "fulfilled AND returned AND due <= snapshot AND age >= 730",
+    "on_order": "NOT fulfilled AND NOT returned AND due > snapshot",
+    "in_transit": "fulfilled AND due > snapshot",
+}
+
+
 def stock_cells(lines: DataFrame) -> DataFrame:
-    """Stock buckets of each sku and location that ever sold, from fixed expressions of the keys."""
-    cells = lines.select("sku", "location").distinct()
-
-    def of(expr: str) -> Column:
-        return F.expr(expr).cast("long")
-
-    return cells.select(
-        "sku",
-        "location",
-        of("(sku * 7 + location * 13) % 120").alias("on_hand"),
-        of("(sku + location) % 15").alias("committed"),
-        of("(sku * 3) % 5").alias("reserved"),
-        of("location % 4").alias("damaged"),
-        of("(sku * 5 + location) % 40").alias("on_order"),
-        of("(sku + 2 * location) % 25").alias("in_transit"),
-        (F.expr("(sku + location) % 11") != 0).alias("active"),
-    )
+    """Stock buckets of each sku and location that ever sold, from the states of its lines at the snapshot."""
+    day = F.lit(SNAPSHOT).cast("date")
+    due = F.col("known_as_of").cast("date")
+    rows = lines.select("sku", "location", "units", "fulfilled", "returned", "business_date", due.alias("due"), day.alias("snapshot"), F.datediff(day, due).alias("age"))
+    sums = [F.coalesce(F.sum(F.when(F.expr(rule), F.col("units"))), F.lit(0)).cast("long").alias(name) for name, rule in BUCKETS.items()]
+    active = F.max("business_date") > F.date_sub(day, 730)
+    return rows.groupBy("sku", "location").agg(*sums, active.alias("active"))
 
 
 def positions(cells: DataFrame) -> DataFrame:
@@ -83,10 +87,10 @@ def violations(checks: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 #: Stock cells and canonical sales in DuckDB SQL, after the base frames.
-CANON_SQL = """
+CANON_SQL = f"""
 , cells0 AS (
-  SELECT sku, location, (sku * 7 + location * 13) % 120 AS on_hand, (sku + location) % 15 AS committed, (sku * 3) % 5 AS reserved, location % 4 AS damaged,
-         (sku * 5 + location) % 40 AS on_order, (sku + 2 * location) % 25 AS in_transit, (sku + location) % 11 <> 0 AS active FROM (SELECT DISTINCT sku, location FROM sales)),
+  SELECT sku, location, {", ".join(f"CAST(coalesce(sum(units) FILTER (WHERE {rule}), 0) AS BIGINT) AS {name}" for name, rule in BUCKETS.items())}, max(business_date) > DATE '{SNAPSHOT}' - 730 AS active
+  FROM (SELECT *, CAST(known_as_of AS DATE) AS due, DATE '{SNAPSHOT}' AS snapshot, date_diff('day', CAST(known_as_of AS DATE), DATE '{SNAPSHOT}') AS age FROM sales) GROUP BY sku, location),
 cells1 AS (SELECT *, greatest(0, on_hand - committed - reserved - damaged) AS atp FROM cells0),
 cells AS (SELECT *, atp + on_order + in_transit AS position FROM cells1),
 csales AS (

@@ -30,11 +30,11 @@ def health(cells: DataFrame, under: float = 7, over: float = 45) -> DataFrame:
 
 def abc(values: DataFrame, group: str, keys: list[str], value: str, a: float = 0.80, b: float = 0.95) -> DataFrame:
     """Class by the share of value before the row, ranked by value, then keys; null values have none."""
-    rank = Window.partitionBy(group).orderBy(F.desc(value), *keys).rowsBetween(Window.unboundedPreceding, -1)
+    rank = Window.partitionBy(group).orderBy(F.desc_nulls_last(value), *keys).rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum(value).over(Window.partitionBy(group))
     before = F.coalesce(F.sum(value).over(rank) / total, F.lit(0.0))
-    valued = values.where(F.col(value).isNotNull()).withColumn("abc", F.when(before < a, "A").when(before < b, "B").otherwise("C"))
-    return valued.unionByName(values.where(F.col(value).isNull()).withColumn("abc", F.lit(None).cast("string")))
+    # null values come last, so they change no sum before a valued row
+    return values.withColumn("abc", F.when(F.col(value).isNull(), None).when(before < a, "A").when(before < b, "B").otherwise("C"))
 
 
 def service_z(level: float) -> float:

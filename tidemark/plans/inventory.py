@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from ..operators import canonical as canon
 from ..operators import inventory as inv
+from ..operators import supply
 from ..sources.tables import locations, products, sale_lines
 from .registration import Registry
 
 TODAY = "2000-12-31"
 
-INV_SQL = canon.CANON_SQL + f"""
+INV_SQL = supply.SUPPLY_SQL + canon.CANON_SQL + f"""
 , trail AS (SELECT sku, location, sum(units) / 91.0 AS daily FROM sales WHERE business_date <= DATE '{TODAY}' AND business_date > DATE '{TODAY}' - INTERVAL 91 DAY GROUP BY ALL),
 goods AS (SELECT sku, category, dept, price_minor, price_minor * 6 // 10 AS cost, pack_qty FROM products),
 cellx AS (SELECT c.*, l.market, g.category, g.cost, g.pack_qty, t.daily FROM cells c JOIN locations l USING (location) JOIN goods g USING (sku) LEFT JOIN trail t USING (sku, location)),
 health AS (SELECT *, CASE WHEN coalesce(daily, 0) = 0 THEN 'dead' WHEN atp = 0 THEN 'stockout' WHEN position / daily < 7 THEN 'understock' WHEN position / daily > 45 THEN 'overstock' ELSE 'healthy' END AS health,
   round(position / nullif(daily, 0), 6) AS cover_days,
   CASE WHEN coalesce(daily, 0) = 0 AND NOT active THEN 'DEAD_STOCK_DEASSORTED' WHEN coalesce(daily, 0) = 0 THEN 'DEAD_STOCK_NO_DEMAND' END AS reason FROM cellx),
-lots AS (SELECT sku, location, market, category, cost, on_hand AS units, (sku * 11 + location * 3) % 160 AS age_days, (sku + location) % 9 * 20 - 20 AS days_left FROM cellx WHERE on_hand > 0)
+lots AS (SELECT t.sku, t.location, l.market, t.category, g.cost, t.units, date_diff('day', received_on, DATE '{TODAY}') AS age_days, date_diff('day', DATE '{TODAY}', expires_on) AS days_left
+  FROM lot t JOIN locations l USING (location) JOIN goods g ON g.sku = t.sku WHERE received_on <= DATE '{TODAY}' AND received_on > DATE '{TODAY}' - 365),
+sterms AS (SELECT location, CAST(s AS DOUBLE) / n AS days, CASE WHEN n >= 8 THEN (n * q - s * s) / (n * n) / 49.0 END AS variance, moq FROM (
+  SELECT location, count(*) AS n, CAST(sum(lead_days) AS BIGINT) AS s, CAST(sum(lead_days * lead_days) AS BIGINT) AS q, min(units) AS moq FROM ship WHERE state = 'received' AND lead_days BETWEEN 1 AND 60 GROUP BY location))
 """
 
 query = Registry(INV_SQL)
@@ -37,8 +41,20 @@ def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cells(spark, sf_dir).where("on_hand > 0")
-    return rows.select("sku", "location", "market", "category", "cost", F.col("on_hand").alias("units"), F.expr("(sku * 11 + location * 3) % 160").alias("age_days"), F.expr("(sku + location) % 9 * 20 - 20").alias("days_left"))
+    """Lots received within a year, at list cost, with their age and the days until they expire."""
+    today = F.lit(TODAY).cast("date")
+    goods = products(spark, sf_dir).select("sku", F.expr("price_minor * 6 div 10").alias("cost"))
+    rows = supply.lots(spark, sf_dir).where((F.col("received_on") <= today) & (F.col("received_on") > F.date_sub(today, 365)))
+    rows = rows.join(locations(spark, sf_dir).select("location", "market"), "location").join(goods, "sku")
+    return rows.select("sku", "location", "market", "category", "cost", "units", F.datediff(today, "received_on").cast("long").alias("age_days"), F.datediff("expires_on", today).cast("long").alias("days_left"))
+
+
+def _site_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Protection days, their variance in weeks and the least order of each site, from what it received within sixty days."""
+    rows = supply.shipments(spark, sf_dir).where("state = 'received' and lead_days between 1 and 60")
+    sums = rows.groupBy("location").agg(F.count("*").alias("n"), F.sum("lead_days").alias("s"), F.sum(F.col("lead_days") * F.col("lead_days")).alias("q"), F.min("units").alias("moq"))
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    return sums.select("location", (s.cast("double") / n).alias("days"), F.when(n >= 8, (n * q - s * s) / (n * n) / 49.0).alias("variance"), "moq")
 
 
 @query("SELECT sku, location, market, category, on_hand, committed, reserved, damaged, on_order, in_transit, active, atp, position FROM cellx")
@@ -75,10 +91,10 @@ def inv_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lots(spark, sf_dir).groupBy("location").agg(total(units, left < 0).alias("expired"), total(units, left.between(0, 30)).alias("expiring"), total(units * F.col("cost"), left <= 30).alias("exposure_minor"))
 
 
-@query("SELECT market, category, bool_and((sku + location) % 1999 <> 0) AS complete, CASE WHEN bool_and((sku + location) % 1999 <> 0) THEN CAST(sum(on_hand * cost) AS BIGINT) END AS value_minor, count(*) FILTER (WHERE (sku + location) % 1999 = 0) AS uncosted FROM cellx WHERE on_hand > 0 GROUP BY ALL")
+@query("SELECT market, category, bool_and(category <> 'PROMO' OR on_hand < 40) AS complete, CASE WHEN bool_and(category <> 'PROMO' OR on_hand < 40) THEN CAST(sum(on_hand * cost) AS BIGINT) END AS value_minor, count(*) FILTER (WHERE category = 'PROMO' AND on_hand >= 40) AS uncosted FROM cellx WHERE on_hand > 0 GROUP BY ALL")
 def inv_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value by category, only where every held cell has a cost (few have none)."""
-    costed = (F.col("sku") + F.col("location")) % 1999 != 0
+    """Value by category, only where every held cell has a cost (large offers have none)."""
+    costed = (F.col("category") != "PROMO") | (F.col("on_hand") < 40)
     held = _cells(spark, sf_dir).where("on_hand > 0")
     sums = held.groupBy("market", "category").agg(F.bool_and(costed).alias("complete"), F.sum(F.col("on_hand") * F.col("cost")).alias("v"), F.count_if(~costed).alias("uncosted"))
     return sums.select("market", "category", "complete", F.when(F.col("complete"), F.col("v")).alias("value_minor"), "uncosted")
@@ -86,10 +102,10 @@ def inv_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT market, sku, value, CASE WHEN value IS NULL THEN NULL WHEN before < 0.8 THEN 'A' WHEN before < 0.95 THEN 'B' ELSE 'C' END AS abc FROM (
   SELECT market, sku, value, coalesce(CAST(sum(value) OVER (PARTITION BY market ORDER BY value DESC NULLS LAST, sku ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) / sum(value) OVER (PARTITION BY market), 0) AS before
-  FROM (SELECT market, sku, CASE WHEN sku % 41 <> 0 THEN v END AS value FROM (SELECT market, sku, sum(net_minor) AS v FROM msales GROUP BY ALL)))""")
+  FROM (SELECT market, sku, CASE WHEN v >= 100000 THEN v END AS value FROM (SELECT market, sku, sum(net_minor) AS v FROM msales GROUP BY ALL)))""")
 def inv_abc(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = sale_lines(spark, sf_dir).join(locations(spark, sf_dir).select("location", "market"), "location").groupBy("market", "sku").agg(F.sum("net_minor").alias("v"))
-    values = sums.select("market", "sku", F.when(F.col("sku") % 41 != 0, F.col("v")).alias("value"))
+    values = sums.select("market", "sku", F.when(F.col("v") >= 100000, F.col("v")).alias("value"))
     return inv.abc(values, "market", ["sku"], "value")
 
 
@@ -98,17 +114,16 @@ _Z = repr(inv.service_z(0.96))
 _Q = repr(inv.service_z(0.90))
 _HW = [f"least(1.0, greatest(0.0, days / 7.0 - {h}))" for h in range(4)]
 _SAFETY = f"""(SELECT *, {" + ".join(f"{w} * w{h}" for h, w in enumerate(_HW))} AS need, sqrt({" + ".join(f"{w} * (w{h} * 0.4) * (w{h} * 0.4)" for h, w in enumerate(_HW))}) / {_Q} AS sigma,
-  ((w0 + w1 + w2 + w3) / 4) * sqrt(CASE WHEN location % 3 = 0 THEN 0.0 ELSE location % 5 / 10.0 END) AS lead_part
-  FROM (SELECT *, CAST(7 + location % 15 AS DOUBLE) AS days, {_WEEKS} FROM cellx WHERE daily > 0))"""
+  ((w0 + w1 + w2 + w3) / 4) * sqrt(coalesce(variance, 0)) AS lead_part
+  FROM (SELECT cellx.*, coalesce(days, 14.0) AS days, variance, coalesce(moq, 1) AS least_units, {_WEEKS} FROM cellx LEFT JOIN sterms USING (location) WHERE daily > 0))"""
 
 
 def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cells(spark, sf_dir).where("daily > 0").withColumn("days", (7 + F.col("location") % 15).cast("double"))
+    rows = _cells(spark, sf_dir).where("daily > 0").join(_site_terms(spark, sf_dir), "location", "left").withColumns({"days": F.coalesce("days", F.lit(14.0)), "moq": F.coalesce("moq", F.lit(1)).cast("double")})
     rows = rows.withColumns({f"w{h}": F.col("daily") * 7 * (1 + F.lit(h) / 10.0) for h in range(4)})
     weeks = [F.col(f"w{h}") for h in range(4)]
-    variance = F.when(F.col("location") % 3 == 0, 0.0).otherwise(F.col("location") % 5 / 10.0)
     spread = inv.horizon_rss([w * 0.4 for w in weeks], F.col("days"))
-    buffer = inv.safety_stock(spread, sum(weeks[1:], weeks[0]) / 4, variance, 0.96)
+    buffer = inv.safety_stock(spread, sum(weeks[1:], weeks[0]) / 4, F.col("variance"), 0.96)
     return rows.withColumns({"need": inv.horizon_sum(weeks, F.col("days")), "safety": buffer})
 
 
@@ -119,7 +134,7 @@ def inv_safety_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORDERS = f"""(SELECT *, ceil(greatest(raw, moq) / pack) * pack AS wanted, ceil(moq / pack) * pack AS least_order, daily * 60 - position AS cap, floor((daily * 60 - position) / pack) * pack AS shrunk
-  FROM (SELECT *, need + {_Z} * sqrt(sigma * sigma + lead_part * lead_part) + w0 - position AS raw, CAST(location % 4 * 6 AS DOUBLE) AS moq, CAST(greatest(1, pack_qty % 12) AS DOUBLE) AS pack FROM {_SAFETY}))"""
+  FROM (SELECT *, need + {_Z} * sqrt(sigma * sigma + lead_part * lead_part) + w0 - position AS raw, CAST(least_units AS DOUBLE) AS moq, CAST(greatest(1, pack_qty % 12) AS DOUBLE) AS pack FROM {_SAFETY}))"""
 _NONE = "(raw <= 0 OR cap <= 0)"
 _CONFLICT = "(wanted > cap AND (wanted = least_order OR shrunk < moq OR shrunk <= 0))"
 
@@ -128,7 +143,7 @@ _CONFLICT = "(wanted > cap AND (wanted = least_order OR shrunk < moq OR shrunk <
 def inv_replenish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order quantities up to the level, by least quantity, pack and cover cap."""
     rows = _supply(spark, sf_dir).withColumns(
-        {"raw": F.col("need") + F.col("safety") + F.col("w0") - F.col("position"), "moq": (F.col("location") % 4 * 6).cast("double"), "pack": F.greatest(F.lit(1).cast("long"), F.col("pack_qty") % 12).cast("double")}
+        {"raw": F.col("need") + F.col("safety") + F.col("w0") - F.col("position"), "pack": F.greatest(F.lit(1).cast("long"), F.col("pack_qty") % 12).cast("double")}
     )
     units, reason = inv.order_quantity(F.col("raw"), F.col("moq"), F.col("pack"), F.col("position"), F.col("daily"), 60)
     return rows.select("sku", "location", units.alias("order_units"), reason.alias("reason"))

@@ -199,13 +199,13 @@ def rpt_age_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lots(spark, sf_dir).groupBy("market", age.alias("age")).agg(F.countDistinct("sku").alias("skus"), F.sum(F.col("units") * F.col("cost")).alias("value_minor"))
 
 
-@query("SELECT location, CAST(sum(on_hand * cost) AS BIGINT) AS value_minor, CAST(sum(damaged * cost) AS BIGINT) AS blocked_minor, round(sum(least(atp, coalesce(daily, 0) * 28)) / nullif(sum(coalesce(daily, 0) * 28), 0), 4) AS fill_rate, round(CAST(sum(on_hand) AS DOUBLE) / (count(*) * 120), 6) AS utilisation FROM cellx GROUP BY location")
+@query("SELECT location, CAST(sum(on_hand * cost) AS BIGINT) AS value_minor, CAST(sum(damaged * cost) AS BIGINT) AS blocked_minor, round(CAST(sum(CAST(least(atp, coalesce(daily, 0) * 28) AS DECIMAL(18,6))) AS DOUBLE) / nullif(CAST(sum(CAST(coalesce(daily, 0) * 28 AS DECIMAL(18,6))) AS DOUBLE), 0), 4) AS fill_rate, round(CAST(sum(on_hand) AS DOUBLE) / (count(*) * 120), 6) AS utilisation FROM cellx GROUP BY location")
 def rpt_warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value, blocked value, fill rate capped by cell, and use of the room."""
     need = F.coalesce("daily", F.lit(0.0)) * 28
     return _cells(spark, sf_dir).groupBy("location").agg(
         F.sum(F.col("on_hand") * F.col("cost")).alias("value_minor"), F.sum(F.col("damaged") * F.col("cost")).alias("blocked_minor"),
-        F.round(F.sum(F.least(F.col("atp").cast("double"), need)) / F.nullif(F.sum(need), F.lit(0.0)), 4).alias("fill_rate"), F.round(F.sum("on_hand") / (F.count("*") * 120), 6).alias("utilisation"),
+        F.round(F.sum(F.least(F.col("atp").cast("double"), need).cast("decimal(18,6)")).cast("double") / F.nullif(F.sum(need.cast("decimal(18,6)")).cast("double"), F.lit(0.0)), 4).alias("fill_rate"), F.round(F.sum("on_hand") / (F.count("*") * 120), 6).alias("utilisation"),
     )
 
 
@@ -217,12 +217,11 @@ def rpt_safety_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand, count(*) AS n, sum(p_size) AS sizes FROM part GROUP BY p_brand", base=False)
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One array of rows a line."""
-    part = read(spark, sf_dir, "part").select("p_brand", "p_size")
-    rows = part.groupBy("p_brand").agg(F.to_json(F.collect_list(F.struct("p_brand", F.col("p_size").alias("size")))).alias("value"))
+    """Whole JSON documents written by Spark, one row each, and read back with their schema."""
+    part = read(spark, sf_dir, "part").select("p_brand", F.col("p_size").alias("size"))
     path = scratch(spark, "json")
-    rows.select("value").repartition(4).write.text(path)
-    found = files.scan_json(spark, [path], part.withColumnRenamed("p_size", "size").schema, lines=True)
+    part.write.json(path)
+    found = files.scan_json(spark, [path], part.schema, lines=True)
     return found.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"))
 
 

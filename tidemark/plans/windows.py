@@ -198,11 +198,14 @@ def mapped_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT s.sku, s.location, 'inventory-' || l.market AS role, abs((s.sku * 7 + s.location * 13) % 120 - (s.sku * 5 + s.location * 13) % 120) AS wms_difference FROM (SELECT DISTINCT sku, location FROM sales) s JOIN locations l USING (location)")
+@query("""SELECT s.sku, s.location, 'inventory-' || l.market AS role, abs(s.booked - s.shipped) AS wms_difference FROM (
+  SELECT sku, location, CAST(sum(units) FILTER (WHERE fulfilled) AS BIGINT) AS booked, CAST(coalesce(sum(units) FILTER (WHERE fulfilled AND NOT returned), 0) AS BIGINT) AS shipped FROM sales GROUP BY ALL) s
+  JOIN locations l USING (location) WHERE booked IS NOT NULL""")
 def inv_wms_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Absolute difference of two systems' stock of each cell."""
-    cells = sale_lines(spark, sf_dir).select("sku", "location").distinct().join(locations(spark, sf_dir).select("location", "market"), "location")
-    return cells.select("sku", "location", F.concat(F.lit("inventory-"), F.col("market")).alias("role"), F.abs(F.expr("(sku * 7 + location * 13) % 120 - (sku * 5 + location * 13) % 120")).alias("wms_difference"))
+    """Absolute difference of what one system booked and another shipped and kept, by cell."""
+    booked, shipped = F.sum(F.when(F.col("fulfilled"), F.col("units"))), F.coalesce(F.sum(F.when(F.col("fulfilled") & ~F.col("returned"), F.col("units"))), F.lit(0))
+    cells = sale_lines(spark, sf_dir).groupBy("sku", "location").agg(booked.alias("booked"), shipped.alias("shipped")).where("booked is not null").join(locations(spark, sf_dir).select("location", "market"), "location")
+    return cells.select("sku", "location", F.concat(F.lit("inventory-"), F.col("market")).alias("role"), F.abs(F.col("booked") - F.col("shipped")).alias("wms_difference"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles
