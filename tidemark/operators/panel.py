@@ -44,8 +44,8 @@ def windows(weeks: DataFrame) -> DataFrame:
     price, usual = F.col("net_minor") / F.nullif(units, F.lit(0)), F.col("_m13") / F.nullif(F.col("_s13"), F.lit(0))
     more |= {
         "zero_share_13": F.round(F.col("_z13") / F.nullif(F.col("_c13"), F.lit(0)), 6),
-        "price_ratio": F.round(price / usual, 6),
-        "trend_4v13": F.round((F.col("_s4") / F.col("_c4")) / F.nullif(F.col("_s13") / F.col("_c13"), F.lit(0.0)), 6),
+        "price_ratio": F.round(price / usual, 12),
+        "trend_4v13": F.round((F.col("_s4") / F.col("_c4")) / F.nullif(F.col("_s13") / F.col("_c13"), F.lit(0.0)), 12),
         "weeks_since_sale": (F.datediff("week", "_last") / 7).cast("long"),
     }
     out = out.withColumns(more)
@@ -67,6 +67,6 @@ swin AS (SELECT *, {", ".join(f"lag(units, {n}) {_W}) AS lag_{n}" for n in LAGS)
   max(CASE WHEN units > 0 THEN week END) {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_sale FROM dense),
 site AS (SELECT category, location, market, week, units, net_minor, lines, {", ".join(f"lag_{n}" for n in LAGS)}, target_1, target_2, target_3, target_4,
   {", ".join(f"round(s{n} / c{n}, 6) AS mean_{n}, CASE WHEN c{n} > 1 THEN round(sqrt((c{n} * q{n} - s{n} * s{n}) / (c{n} * (c{n} - 1))), 6) END AS dev_{n}" for n in ROLLS)},
-  round(z13 / nullif(c13, 0), 6) AS zero_share_13, round((net_minor / nullif(units, 0)) / (m13 / nullif(s13, 0)), 6) AS price_ratio,
-  round((s4 / c4) / nullif(s13 / c13, 0), 6) AS trend_4v13, date_diff('day', last_sale, week) // 7 AS weeks_since_sale FROM swin)
+  round(z13 / nullif(c13, 0), 6) AS zero_share_13, round((net_minor / nullif(units, 0)) / (m13 / nullif(s13, 0)), 12) AS price_ratio,
+  round((s4 / c4) / nullif(s13 / c13, 0), 12) AS trend_4v13, date_diff('day', last_sale, week) // 7 AS weeks_since_sale FROM swin)
 """
