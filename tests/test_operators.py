@@ -100,3 +100,18 @@ def test_quantile_model_beats_the_naive_forecast_on_later_weeks(spark):
     got = rows.agg(F.sum(F.abs(F.col("p50") - F.col("actual"))).alias("a"), F.sum(F.abs(F.col("naive") - F.col("actual"))).alias("b"), F.avg((F.col("actual") <= F.col("p90")).cast("double")).alias("covered")).first()
     assert got["a"] < got["b"] and 0.8 < got["covered"] < 0.97
     assert rows.where("p90 < p50").count() == 0
+
+
+def test_replay_of_many_cells_equals_the_fold(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import inventory as inv
+
+    rows = [(k, w, (k * 7 + w * 3) % 11 * (1 + k % 4)) for k in range(40) for w in range(12) if (k + w) % 3 and (k * 7 + w * 3) % 11]
+    sums = spark.createDataFrame(rows, "cell long, w int, u long")
+    cells = sums.groupBy("cell").agg(F.collect_list(F.struct("w", "u")).alias("entries"), F.map_from_entries(F.collect_list(F.struct("w", "u"))).alias("m")).withColumn("target", F.col("cell") % 25)
+    fold = cells.withColumn("d", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))))
+    want = {r["cell"]: (r["r"]["served"], r["r"]["lost"], r["r"]["out_weeks"], r["r"]["stock"]) for r in fold.select("cell", inv.replay(F.col("d"), F.col("target"), F.col("target"), 2).alias("r")).collect()}
+    got = {r["cell"]: (r["served"], r["lost"], r["out_weeks"], r["closing"]) for r in inv.replay_cells(cells, 12, ["cell"]).collect()}
+    assert got == want and any(x[1] for x in want.values())
+    assert inv.replay_cells(cells.limit(0), 12, ["cell"]).count() == 0

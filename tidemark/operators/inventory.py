@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,24 +89,59 @@ def transfers(candidates: DataFrame) -> DataFrame:
     """Greedy moves by benefit, transit and keys under what sources hold and targets lack.
 
     candidates: market, sku, lane, source, target, units, benefit, transit, source_free, target_need.
-    Limits are per location and sku, so each (market, sku) is settled on its own; its candidates
-    are the lanes between sites of one market, not the corpus.
+    Limits are per location and sku, so each (market, sku) is settled on its own. Candidates come
+    sorted within their partition and pass through in batches; what is kept is what one (market,
+    sku) has given and got so far, a number for each of its sites.
     """
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        free: dict = {}
-        need: dict = {}
-        moved = []
-        for r in group.sort_values(["benefit", "transit", "lane"], ascending=[False, True, True]).itertuples():
-            left, lack = free.get(r.source, r.source_free), need.get(r.target, r.target_need)
-            units = min(r.units, left, lack)
-            if units > 0:
-                free[r.source], need[r.target] = left - units, lack - units
-                moved.append((r.market, r.sku, r.lane, r.source, r.target, units))
-        return pd.DataFrame(moved, columns=["market", "sku", "lane", "source", "target", "moved"])
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, free, need = None, {}, {}
+        for frame in frames:
+            moved = []
+            for r in frame.itertuples():
+                if (r.market, r.sku) != at:
+                    at, free, need = (r.market, r.sku), {}, {}
+                left, lack = free.get(r.source, r.source_free), need.get(r.target, r.target_need)
+                units = min(r.units, left, lack)
+                if units > 0:
+                    free[r.source], need[r.target] = left - units, lack - units
+                    moved.append((r.market, r.sku, r.lane, r.source, r.target, units))
+            yield pd.DataFrame(moved, columns=["market", "sku", "lane", "source", "target", "moved"])
 
     shape = "market string, sku long, lane string, source long, target long, moved long"
-    return candidates.groupBy("market", "sku").applyInPandas(settle, shape)
+    ordered = candidates.repartition("market", "sku").sortWithinPartitions("market", "sku", F.desc("benefit"), "transit", "lane")
+    return ordered.mapInPandas(settle, shape)
+
+
+def replay_cells(cells: DataFrame, weeks: int, keys: list[str]) -> DataFrame:
+    """keys, served, lost, out_weeks, closing of cells(keys, entries, target): weekly receive, serve and order-up-to.
+
+    `entries` lists (w, u), the units asked in the weeks that have any. The cells of a batch go
+    through the weeks together, as columns of one array; an order arrives two weeks later.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            n, target = len(frame), frame["target"].to_numpy(np.int64)
+            size = frame["ws"].map(len).to_numpy() if n else np.zeros(0, np.int64)
+            demand = np.zeros((weeks, n), dtype=np.int64)
+            if n:
+                demand[np.concatenate(frame["ws"].to_list()), np.repeat(np.arange(n), size)] = np.concatenate(frame["us"].to_list())
+            stock, first, second = target.copy(), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            served, lost, out = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for asked in demand:
+                stock += first
+                given = np.minimum(stock, asked)
+                stock -= given
+                served += given
+                lost += asked - given
+                out += asked > given
+                first, second = second, np.maximum(0, target - stock - second)
+            yield pd.DataFrame({**{k: frame[k] for k in keys}, "served": served, "lost": lost, "out_weeks": out, "closing": stock})
+
+    lists = cells.select(*keys, "target", F.col("entries.w").alias("ws"), F.col("entries.u").alias("us"))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keys).schema)
+    return lists.mapInPandas(run, f"{shape}, served long, lost long, out_weeks long, closing long")
 
 
 def replay(demands: Column, opening: Column, target: Column, lead: int) -> Column:

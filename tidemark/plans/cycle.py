@@ -311,11 +311,18 @@ def capability_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("market", readiness.alias("readiness"), "unpriced")
 
 
-@query("SELECT dataset, column_name, kind FROM (VALUES ('events', 'event_id', 'bigint'), ('events', 'event_type', 'string'), ('events', 'props', 'string'), ('events', 'ts', 'timestamp'), ('events', 'user_id', 'bigint'), ('events', 'value', 'double'), ('supplier', 's_acctbal', 'double'), ('supplier', 's_name', 'string'), ('supplier', 's_nationkey', 'int'), ('supplier', 's_suppkey', 'bigint')) v(dataset, column_name, kind)", base=False)
+@query("SELECT dataset, column_name, kind, rows FROM (VALUES ('events', 'event_id', 'bigint'), ('events', 'event_type', 'string'), ('events', 'props', 'string'), ('events', 'ts', 'string'), ('events', 'user_id', 'bigint'), ('events', 'value', 'double'), ('supplier', 's_acctbal', 'double'), ('supplier', 's_name', 'string'), ('supplier', 's_nationkey', 'bigint'), ('supplier', 's_suppkey', 'bigint')) v(dataset, column_name, kind) JOIN (SELECT 'events' AS dataset, count(*) AS rows FROM events UNION ALL SELECT 'supplier', count(*) FROM supplier) USING (dataset)", base=False)
 def infer_source_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Field names and types of landed datasets, as their files tell them; one instant type whatever its zone."""
-    rows = [(name, f.name, f.dataType.simpleString().replace("_ntz", "")) for name in ("events", "supplier") for f in read(spark, sf_dir, name).schema]
-    return spark.createDataFrame(rows, "dataset string, column_name string, kind string")
+    """Field names and types of undeclared JSON files, inferred from all their rows."""
+    out = None
+    for name in ("events", "supplier"):
+        path = scratch(spark, f"undeclared-{name}")
+        read(spark, sf_dir, name).write.json(path)
+        found = spark.read.json(path)
+        fields = F.array(*(F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("kind")) for f in found.schema))
+        part = found.agg(F.count("*").alias("rows")).select(F.lit(name).alias("dataset"), F.explode(fields).alias("x"), "rows").select("dataset", "x.column_name", "x.kind", "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT dataset, files_match AS files_match, rows FROM (SELECT 'events' AS dataset, true AS files_match, count(*) AS rows FROM events UNION ALL SELECT 'supplier', true, count(*) FROM supplier)", base=False)

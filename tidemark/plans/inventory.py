@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import canonical as canon
 from ..operators import inventory as inv
 from ..operators import supply
-from ..sources.tables import locations, products, sale_lines
+from ..sources.tables import locations, products, sale_lines, scratch
 from .registration import Registry
 
 TODAY = "2000-12-31"
@@ -168,7 +168,9 @@ def inv_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def transfer_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves of free stock to cells that lack it, over lanes to the next sites of a market."""
-    cells = _cells(spark, sf_dir)
+    path = scratch(spark, "cells")  # both sides read them
+    _cells(spark, sf_dir).select("market", "sku", "location", "atp", "daily", "cost").write.parquet(path)
+    cells = spark.read.parquet(path)
     spare = cells.withColumn("source_free", F.col("atp") - F.ceil(F.coalesce("daily", F.lit(0.0)) * 28)).where("source_free > 0").select("market", "sku", F.col("location").alias("source"), "source_free")
     short = cells.where("daily > 0").withColumn("target_need", F.ceil(F.col("daily") * 28) - F.col("atp")).where("target_need > 0").select("market", "sku", F.col("location").alias("target"), "target_need", F.col("cost"))
     pairs = spare.join(short, ["market", "sku"]).where("source <> target")
@@ -198,13 +200,12 @@ def replay_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = sale_lines(spark, sf_dir).join(locations(spark, sf_dir).select("location", "market"), "location")
     week = F.floor(F.datediff("business_date", F.lit("1997-01-06").cast("date")) / 7).cast("int")
     sums = lines.withColumn("w", week).where("w >= 0 and w < 104").groupBy("market", "sku", "w").agg(F.sum("units").alias("u"))
-    cells = sums.groupBy("market", "sku").agg(F.map_from_entries(F.collect_list(F.struct("w", "u"))).alias("by_week"))  # 104 at most
-    demands = F.transform(F.sequence(F.lit(0), F.lit(103)), lambda w: F.coalesce(F.try_element_at("by_week", w), F.lit(0).cast("long")))
-    cells = cells.withColumn("demands", demands).withColumn("target", F.ceil(F.aggregate("demands", F.lit(0).cast("long"), lambda a, x: a + x) / 104.0 * 6).cast("long") + 10)
-    done = cells.withColumn("r", inv.replay(F.col("demands"), F.col("target"), F.col("target"), 2))
+    cells = sums.groupBy("market", "sku").agg(F.collect_list(F.struct("w", "u")).alias("entries"), F.sum("u").alias("total"))  # 104 at most
+    cells = cells.withColumn("target", F.ceil(F.col("total") / 104.0 * 6).cast("long") + 10)
+    done = inv.replay_cells(cells, 104, ["market", "sku"])
     return done.groupBy("market", inv.cohort(F.col("sku"), "replay-1").alias("cohort")).agg(
-        F.count("*").alias("cells"), F.sum("r.served").alias("served"), F.sum("r.lost").alias("lost"), F.sum("r.out_weeks").alias("stockout_weeks"),
-        F.round(F.sum("r.served") / F.sum(F.col("r.served") + F.col("r.lost")), 6).alias("fill_rate"),
+        F.count("*").alias("cells"), F.sum("served").alias("served"), F.sum("lost").alias("lost"), F.sum("out_weeks").alias("stockout_weeks"),
+        F.round(F.sum("served") / F.sum(F.col("served") + F.col("lost")), 6).alias("fill_rate"),
     )
 
 
