@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..sources import files
-from ..sources.tables import category_weeks, locations, products, read, sale_lines
+from ..sources.tables import category_weeks, locations, products, read, sale_lines, scratch
 from .registration import Registry
 
 query = Registry()
@@ -75,15 +75,17 @@ def attach_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.where("market = 'ASIA'").groupBy("c_mktsegment", "market").agg(F.count("*").alias("n_rows"))
 
 
-@query("SELECT 'orders' AS dataset, count(*) AS declared, count(*) AS scanned, true AS agrees FROM orders UNION ALL SELECT 'lineitem', count(*), count(*), true FROM lineitem", base=False)
+@query("SELECT 'orders' AS dataset, count(*) AS declared, count(*) AS landed, true AS agrees FROM orders UNION ALL SELECT 'lineitem', count(*), count(*) FILTER (WHERE l_quantity < 50), count(*) = count(*) FILTER (WHERE l_quantity < 50) FROM lineitem", base=False)
 def reconcile_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that footers declare against rows that a scan of a column finds."""
+    """Rows that a manifest declares against those that landed; of the lines, those of the greatest quantity were lost on the way."""
     out = None
-    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+    for name, arrives in (("orders", "true"), ("lineitem", "l_quantity < 50")):
         table = read(spark, sf_dir, name)
-        declared = table.agg(F.count("*").alias("declared"))
-        scanned = table.select(F.coalesce(F.col(key), F.lit(-1)).alias("k")).agg(F.count("k").alias("scanned"))
-        row = declared.crossJoin(scanned).select(F.lit(name).alias("dataset"), "declared", "scanned", (F.col("declared") == F.col("scanned")).alias("agrees"))
+        noted, landed = scratch(spark, f"manifest-{name}"), scratch(spark, f"landing-{name}")
+        table.agg(F.count("*").alias("declared")).write.json(noted)
+        table.where(arrives).write.parquet(landed)
+        row = spark.read.schema("declared long").json(noted).crossJoin(spark.read.parquet(landed).agg(F.count("*").alias("landed")))  # one row each
+        row = row.select(F.lit(name).alias("dataset"), "declared", "landed", (F.col("declared") == F.col("landed")).alias("agrees"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -276,6 +276,36 @@ def fc_tail_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("n >= 8 and b < a").select(*KEYS, "n", F.round("a", 4).alias("champion_err"), F.round("b", 4).alias("tail_err"))
 
 
+@query(f"SELECT market, round(k, 6) AS multiplier FROM {_SPREAD}")
+def fc_interval_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spread multiplier of each market, from the residual quantile of earlier weeks."""
+    rest = (F.col("actual") - F.col("ma13")) / F.nullif(1.2816 * F.col("dev_13"), F.lit(0.0))
+    rows = _evals(spark, sf_dir).where("not cold and dev_13 > 0 and week < date'2000-01-01'").groupBy("market")
+    return rows.agg(F.round(F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.percentile(rest, 0.9))), 6).alias("multiplier"))
+
+
+_SEGMENT = f"(SELECT category, market, CASE WHEN weeks >= 26 AND act > 0 THEN least(1.5, greatest(0.67, act / nullif(fc, 0))) END AS factor, weeks FROM (SELECT category, market, count(DISTINCT week) AS weeks, {tot('actual')} AS act, {tot('ma13')} AS fc FROM evals WHERE week < DATE '2000-01-01' GROUP BY ALL))"
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _evals(spark, sf_dir).where("week < date'2000-01-01'").groupBy(*KEYS).agg(F.countDistinct("week").alias("weeks"), total(F.col("actual")).alias("act"), total(F.col("ma13")).alias("fc"))
+    factor = F.least(F.lit(1.5), F.greatest(F.lit(0.67), F.col("act") / F.nullif(F.col("fc"), F.lit(0.0))))
+    return rows.select(*KEYS, F.when((F.col("weeks") >= 26) & (F.col("act") > 0), factor).alias("factor"), "weeks")
+
+
+@query(f"SELECT category, market, round(factor, 9) AS factor, weeks FROM {_SEGMENT}")
+def fc_segment_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clamped factor for each segment with half a year of evidence."""
+    return _segments(spark, sf_dir).withColumn("factor", F.round("factor", 9))
+
+
+@query(f"SELECT e.category, e.market, e.week, round(e.ma13 * coalesce(s.factor, 1), 4) AS forecast, s.factor IS NULL AS unchanged FROM evals e LEFT JOIN {_SEGMENT} s ON s.category = e.category AND s.market = e.market WHERE e.week >= DATE '2000-01-01'")
+def fc_segment_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later forecasts under their segment's factor; those without one stay."""
+    rows = _evals(spark, sf_dir).where("week >= date'2000-01-01'").join(_segments(spark, sf_dir), KEYS, "left")
+    return rows.select(*KEYS, "week", F.round(F.col("ma13") * F.coalesce("factor", F.lit(1.0)), 4).alias("forecast"), F.col("factor").isNull().alias("unchanged"))
+
+
 # --- screens and classes ----------------------------------------------------------------------
 
 

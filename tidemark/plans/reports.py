@@ -180,6 +180,28 @@ def inv_cell_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sku", "location", "market", F.round(days, 6).alias("protection_days"), weeks.alias("weeks"), F.coalesce("moq", F.lit(1)).alias("moq"), F.greatest(F.lit(1), F.col("pack_qty") % 12).alias("pack"), F.col("days").isNull().alias("assumed"))
 
 
+@query(f"SELECT origin, destination, carried FROM {_LANES}")
+def inv_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes that were known before the year of decision."""
+    rows = _moves(spark, sf_dir).where("business_date < date'2000-01-01'").groupBy("origin", "destination").agg(F.sum("units").alias("carried"), F.count("*").alias("n"))
+    return rows.where("n >= 3").drop("n")
+
+
+@query(f"SELECT sku, location, round(need, 6) AS need, round(sigma, 6) AS spread FROM {_ORDERS}")
+def inv_horizon_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly demand over a fractional window of days, summed and in quadrature."""
+    rows = _supply(spark, sf_dir)
+    spread = inv.horizon_rss([F.col(f"w{h}") * 0.4 for h in range(4)], F.col("days")) / inv.service_z(0.90)
+    return rows.select("sku", "location", F.round("need", 6).alias("need"), F.round(spread, 6).alias("spread"))
+
+
+@query("SELECT location_key, state, count(*) AS lines, CAST(sum(units) AS BIGINT) AS units, min(due_date) AS first_due FROM ship JOIN xwalk USING (location) GROUP BY ALL")
+def inv_inbound_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published inbound artifact: lines of each state under canonical keys."""
+    rows = supply.shipments(spark, sf_dir).join(_sites(spark, sf_dir), "location")
+    return rows.groupBy("location_key", "state").agg(F.count("*").alias("lines"), F.sum("units").alias("units"), F.min("due_date").alias("first_due"))
+
+
 _LEVELS = {"A": 0.98, "B": 0.95, "C": 0.90}
 
 

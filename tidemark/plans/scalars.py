@@ -195,4 +195,24 @@ def agg_stddev_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_lines(spark, sf_dir).groupBy("location").agg(F.count("*").alias("shipments"), F.round(F.avg(days), 6).alias("mean_days"), F.round(F.stddev_pop(days), 6).alias("deviation"))
 
 
+@query("SELECT p_partkey AS sku, p_brand AS dept, 'GB' AS country, 'v1' AS mapping FROM part", base=False)
+def map_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared mapping: columns under their canonical names, and constants."""
+    names, constants = {"p_partkey": "sku", "p_brand": "dept"}, {"country": "GB", "mapping": "v1"}
+    return read(spark, sf_dir, "part").select(*(F.col(a).alias(b) for a, b in names.items()), *(F.lit(v).alias(c) for c, v in constants.items()))
+
+
+@query("SELECT c_custkey, try_cast(split_part(c_name, '#', 2) AS BIGINT) AS number, CAST(try_cast(replace(CAST(c_acctbal AS VARCHAR), '-', '') AS DECIMAL(18,2)) AS DOUBLE) AS amount, try_cast(c_mktsegment AS BIGINT) AS none FROM customer", base=False)
+def map_parse_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as whole numbers and decimals; null where they are none."""
+    amount = F.replace(F.col("c_acctbal").cast("string"), F.lit("-"), F.lit("")).try_cast("decimal(18,2)")
+    return read(spark, sf_dir, "customer").select("c_custkey", F.split_part("c_name", F.lit("#"), F.lit(2)).try_cast("long").alias("number"), amount.cast("double").alias("amount"), F.col("c_mktsegment").try_cast("long").alias("none"))
+
+
+@query(f"SELECT c_custkey, currency, CASE WHEN currency IS NOT NULL THEN CAST(CAST(c_acctbal AS DECIMAL(18,2)) * 100 AS BIGINT) END AS minor FROM {_BALANCES}", base=False)
+def map_money_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Major amounts as exact minor units of their row's currency."""
+    return _balances(spark, sf_dir).select("c_custkey", "currency", money.exact_minor(F.col("c_acctbal").cast("decimal(18,2)"), F.col("currency")).alias("minor"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

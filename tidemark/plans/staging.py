@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import canonical as canon
 from ..operators import inventory as inv
+from ..operators import supply
 from ..sources import files
 from ..sources.tables import locations, products, read, sale_lines, scratch
 from .basics import market_sales
@@ -142,10 +144,17 @@ def b07_inbound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.violations([("both_open", c.where("on_order > 0 and in_transit > 0")), ("over_position", c.where("on_order + in_transit > position"))])
 
 
-@query("SELECT market, count(DISTINCT currency) AS currencies, count(*) AS n FROM (SELECT market, CASE WHEN market = 'EUROPE' THEN 'EUR' WHEN market = 'AMERICA' THEN 'USD' ELSE 'GBP' END AS currency FROM msales) GROUP BY market")
+_PAID = "CASE WHEN r_name IN ('AFRICA', 'AMERICA') THEN 'USD' WHEN r_name = 'ASIA' THEN 'GBP' WHEN r_name = 'EUROPE' THEN 'EUR' END"
+
+
+@query(f"SELECT s.market, count(*) AS n, count(*) FILTER (WHERE p.paid IS NULL OR x.currency IS NULL) AS unknown, count(*) FILTER (WHERE p.paid <> x.currency) AS unlike FROM msales s JOIN xwalk x USING (location) JOIN (SELECT c_custkey, {_PAID} AS paid FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) p ON p.c_custkey = s.customer GROUP BY s.market")
 def b13_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.when(F.col("market") == "EUROPE", "EUR").when(F.col("market") == "AMERICA", "USD").otherwise("GBP")
-    return market_sales(spark, sf_dir).withColumn("currency", code).groupBy("market").agg(F.countDistinct("currency").alias("currencies"), F.count("*").alias("n"))
+    """Sales whose customer pays in another currency than the site's, or in one that is unknown."""
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    home = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", text.value_map(F.col("r_name"), supply.CURRENCIES).alias("paid"))
+    payer = read(spark, sf_dir, "customer").join(home, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("customer"), "paid")
+    rows = sale_lines(spark, sf_dir).join(supply.crosswalk(spark, sf_dir).select("location", "market", "currency"), "location").join(payer, "customer")
+    return rows.groupBy("market").agg(F.count("*").alias("n"), F.count_if(F.col("paid").isNull() | F.col("currency").isNull()).alias("unknown"), F.count_if(F.col("paid") != F.col("currency")).alias("unlike"))
 
 
 @query("SELECT 'sales' AS relation, count(*) FILTER (WHERE known_as_of > CAST(business_date + INTERVAL 100 DAY AS TIMESTAMP)) AS backfilled, count(*) AS n FROM sales UNION ALL SELECT 'adjustments', count(*) FILTER (WHERE known_as_of > CAST(business_date + INTERVAL 100 DAY AS TIMESTAMP)), count(*) FROM adj")
