@@ -99,10 +99,18 @@ def mine_rules(labelled: DataFrame, *, support: float = 0.005, confidence: float
 
 
 def met_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """url, rule_id, verdict, confidence, needs for each rule all of whose tokens a URL of token_sets(url, tokens) holds."""
-    index = rules.select("rule_id", "verdict", "confidence", F.size("tokens").alias("needs"), F.explode("tokens").alias("token"))
-    met = token_sets.select("url", F.explode("tokens").alias("token")).join(index, "token")
-    return met.groupBy("url", "rule_id", "verdict", "confidence", "needs").count().where("count = needs").drop("count")
+    """url, rule_id, verdict, confidence, needs for each rule all of whose tokens a URL of token_sets(url, tokens) holds.
+
+    A rule is indexed by its rarest token among these URLs, so a token that many URLs and many rules
+    share brings no rule by itself.
+    """
+    each = token_sets.select("url", "tokens", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"))
+    known = rules.select("rule_id", F.explode("tokens").alias("token")).join(counts, "token")
+    rarest = known.groupBy("rule_id").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    index = rules.join(rarest, "rule_id").select("rule_id", "verdict", "confidence", F.col("tokens").alias("needed"), "token")
+    met = each.join(index, "token").where(F.size(F.array_intersect("tokens", "needed")) == F.size("needed"))
+    return met.select("url", "rule_id", "verdict", "confidence", F.size("needed").alias("needs"))
 
 
 def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
