@@ -115,9 +115,11 @@ def join_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("open_units", F.col("sold") - F.col("done"))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", base=False)
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')", base=False)
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    """Orders without a returned line."""
+    returned = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    return read(spark, sf_dir, "orders").join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT sku, category FROM products p WHERE EXISTS (SELECT 1 FROM sales s WHERE s.sku = p.sku AND s.units >= 49 AND s.gross_minor > p.price_minor * 40)")
