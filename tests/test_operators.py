@@ -115,3 +115,17 @@ def test_replay_of_many_cells_equals_the_fold(spark):
     got = {r["cell"]: (r["served"], r["lost"], r["out_weeks"], r["closing"]) for r in inv.replay_cells(cells, 12, ["cell"]).collect()}
     assert got == want and any(x[1] for x in want.values())
     assert inv.replay_cells(cells.limit(0), 12, ["cell"]).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tidemark.sources.tables import scratch
+
+    def session(master: str, folder: str | None) -> SimpleNamespace:
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(session("spark://host:7077", None), "x")
+    assert scratch(session("spark://host:7077", "/shared/"), "x").startswith("/shared/x-")
+    assert "tidemark-" in scratch(session("local[2]", None), "x")
