@@ -144,12 +144,15 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """Lower-cased (A-Z) words of a slice of documents: spans, hashes and their documents."""
+    """Lower-cased (A-Z) words of a slice of documents: spans, hashes and their documents.
 
-    def __init__(self, hasher: Hasher, raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> None:
+    Words are runs of bytes that `full` marks, of bytes that are not white space where it is not given.
+    """
+
+    def __init__(self, hasher: Hasher, raw: np.ndarray, offsets: np.ndarray, lower: bool = True, full: np.ndarray | None = None) -> None:
         self.data = data = _LOWER[raw] if lower else raw
         n_docs = len(offsets) - 1
-        full = ~_IS_WHITE[data]
+        full = ~_IS_WHITE[data] if full is None else full
         first = np.empty(len(data), dtype=bool)
         last = np.empty(len(data), dtype=bool)
         if len(data):

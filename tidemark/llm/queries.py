@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, langid, lm, mixing, neardup, quality, urls, warc
+from . import bpe, chat, digests, embeddings, langid, lm, mixing, neardup, negatives, quality, spelling, urls, warc
 from .common import read_table
 
 
@@ -72,6 +72,21 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays of its equal texts, by a digest index filled in two batches."""
+    return digests.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its form and root."""
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector for each of its positives."""
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -83,8 +98,14 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mix": op9_source_mix,
     "op10_embedding_near_duplicates": op10_embedding_near_duplicates,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op9_source_mix": mixing.MIX_SQL,
+    "op11_exact_dedup": digests.DEDUP_SQL,
+    "op12_spelling_variants": spelling.VARIANTS_SQL,
+    "op13_hard_negatives": negatives.NEGATIVES_SQL,
 }
