@@ -3,7 +3,7 @@ import math
 import duckdb
 import numpy as np
 
-from tidemark.llm.negatives import NEGATIVES_SQL, CoverTree, hard_negatives
+from tidemark.llm.negatives import NEGATIVES_SQL, Asked, CoverTree, hard_negatives
 from tidemark.llm.queries import op13_hard_negatives
 
 SF = "/root/testdata/sf0.001"
@@ -78,12 +78,12 @@ def test_descent_skips_nodes():
     x = np.floor((r.normal(size=(20, 8))[r.integers(0, 20, 4000)] * 3 + r.normal(size=(4000, 8)) * 0.05) * 256)
     tree = CoverTree(x, np.arange(4000), np.arange(4000), r.integers(0, 3, 4000), float((x**2).sum(1).max()))
     looked = []
-    real = tree._may_add
-    tree._may_add = lambda *a: looked.append(1) or real(*a)
-    best = [[[]]]
-    tree.descend(x[:1], np.array([0]), np.array([9]), [[(-math.inf, math.inf)]], best, 10, False)
+    block = Asked(x[:1], np.array([0]), np.array([9]), [[(-math.inf, math.inf)]])
+    real = block.may_gain
+    block.may_gain = lambda *a: looked.append(1) or real(*a)
+    tree.descend(block, 10, False)
     score = x @ x[0]
-    assert [-s for s, _, _ in best[0][0]] == sorted((score[i] for i in range(4000) if i != 0), reverse=True)[:10]
+    assert [-s for s, _, _ in block.best[0][0]] == sorted((score[i] for i in range(4000) if i != 0), reverse=True)[:10]
     assert len(looked) < len(tree.point) / 3
 
 

@@ -8,11 +8,12 @@ below it.
 The rows are dealt to cells, the top level of the tree: centres more than a separation apart, from a
 bounded sample. A cell is cut into blocks of at most `block_rows` rows by hash, and each block has a
 cover tree of its own: the points of a level are more than its scale apart, every row lies within
-the scale of its point, scales halve from level to level, and each node keeps its exact radius.
+the scale of its point, scales halve from level to level, and each node keeps its exact radius. A
+node whose next level would not group its rows (random vectors of many dimensions) is a leaf.
 
 Anchors travel in blocks to parts of the forest, where each tree is descended best first: a node
-goes only if its bounds lie outside every window of the anchor or can't beat what was found, and
-the rows of a leaf are verified by exact integer inner products. So results equal brute force. The
+is skipped if for each window its bounds lie outside or can't beat what was found, and the rows of a
+leaf are verified by exact integer inner products. The anchors of a block descend together. So results equal brute force. The
 first descent has one window, open on both sides, for the positives; the second has one window for
 each positive.
 """
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import shipped, written
 
-LEAF = 32
+LEAF = 64
+LEAST_GROUP = 8
 ANCHOR_BLOCK = 128
 TREES_A_PART = 128
 SLACK = 1e-9
@@ -77,6 +79,10 @@ class CoverTree:
         near, own, k = away.copy(), np.zeros(len(members), int), 0
         while near.max() > radius / 2:
             far, k = int(near.argmax()), k + 1
+            if k * LEAST_GROUP > len(members):
+                # a level that groups no rows bounds nothing
+                self.order.extend(members.tolist())
+                return node
             d = self._away(int(members[far]), members)
             own[d < near] = k
             near = np.minimum(near, d)
@@ -86,44 +92,75 @@ class CoverTree:
                 self.kids[node].append(self._grow(members[mine], near[mine]))
         return node
 
-    def descend(self, anchors: np.ndarray, anchor_rows: np.ndarray, anchor_labels: np.ndarray, windows: list, best: list, k: int, same: bool) -> None:
-        """Bring best[i][j], the first k rows found for window j of anchor i, up to date; each is a list of (-score, id, row)."""
-        own2 = (anchors**2).sum(1)
-        middle = (self.norm2 + own2)[:, None] / 2
-        gap = np.sqrt(np.maximum(2 * (middle - anchors @ self.points.T.astype(float)), 0))
+    def descend(self, block: "Asked", k: int, same: bool) -> None:
+        """Bring what the block's windows found up to date with this tree, best node first for all its anchors together."""
+        q = block.x
+        middle = (self.norm2 + (q**2).sum(1))[:, None] / 2
+        gap = np.sqrt(np.maximum(2 * (middle - q @ self.points.T.astype(float)), 0))
         slack = SLACK * 10 * middle + 1e-6
         radius = np.array(self.radius)
-        # norms beyond a double's range bound nothing
-        high = np.nan_to_num(middle - np.maximum(gap * (1 - SLACK) - radius, 0) ** 2 / 2 + slack, nan=np.inf, posinf=np.inf)
+        # norms beyond a double's range bound nothing; scores are whole
+        high = np.floor(np.nan_to_num(middle - np.maximum(gap * (1 - SLACK) - radius, 0) ** 2 / 2 + slack, nan=np.inf, posinf=np.inf))
         low = np.nan_to_num(middle - (gap * (1 + SLACK) + radius) ** 2 / 2 - slack, nan=-np.inf, neginf=-np.inf)
-        for i in range(len(anchors)):
-            self._search(anchors[i], int(anchor_rows[i]), int(anchor_labels[i]), windows[i], best[i], high[i].tolist(), low[i].tolist(), k, same)
-
-    def _search(self, q: np.ndarray, own: int, label: int, windows: list, best: list, high: list, low: list, k: int, same: bool) -> None:
-        queue = [(-high[0], 0)]
+        queue = [(-float(high[:, 0].max()), 0)]
         while queue:
             _, node = heapq.heappop(queue)
-            only = self.only[node]
-            if only is not None and (only == label) != same:
-                continue
-            open_for = [j for j, (a, b) in enumerate(windows) if high[node] >= a and low[node] <= b and self._may_add(best[j], k, min(high[node], b), node)]
-            if not open_for:
+            asks = block.may_gain(high[:, node], low[:, node], self.low_id[node])
+            if self.only[node] is not None:
+                asks &= (block.label == self.only[node]) == same
+            if not asks.any():
                 continue
             if self.kids[node]:
                 for kid in self.kids[node]:
-                    heapq.heappush(queue, (-high[kid], kid))
+                    heapq.heappush(queue, (-float(high[asks, kid].max()), kid))
                 continue
             a, b = self.span[node]
-            score = np.clip(self.x[a:b].astype(float) @ q, -MOST_SCORE, MOST_SCORE)
-            fits = ((self.labels[a:b] == label) == same) & (self.rows[a:b] != own)
-            for j in open_for:
-                found = np.flatnonzero(fits & (score >= windows[j][0]) & (score <= windows[j][1]))
-                if len(found):
-                    more = [(-int(score[f]), int(self.ids[a + f]), int(self.rows[a + f])) for f in found]
-                    best[j] = heapq.nsmallest(k, best[j] + more)
-
-    def _may_add(self, best: list, k: int, high: float, node: int) -> bool:
-        return len(best) < k or high > -best[-1][0] or (high == -best[-1][0] and self.low_id[node] < best[-1][1])
+            of = np.flatnonzero(asks)
+            score = np.clip(q[of] @ self.x[a:b].T.astype(float), -MOST_SCORE, MOST_SCORE)
+            fits = ((block.label[of, None] == self.labels[a:b]) == same) & (block.row[of, None] != self.rows[a:b])
+            block.take(of, score, fits, self.ids[a:b], self.rows[a:b], k)
+
+
+class Asked:
+    """A block of anchors with their windows and the first rows found for each."""
+
+    def __init__(self, x: np.ndarray, row: np.ndarray, label: np.ndarray, windows: list[list[tuple[float, float]]]) -> None:
+        self.x, self.row, self.label = x, row, label
+        shape = (len(x), max(map(len, windows)))
+        # windows that an anchor lacks are empty
+        self.low, self.high = np.full(shape, np.inf), np.full(shape, -np.inf)
+        for i, of in enumerate(windows):
+            for j, (a, b) in enumerate(of):
+                self.low[i, j], self.high[i, j] = a, b
+        #: the last of the rows found where they are enough: what comes must be before it
+        self.last, self.last_id = np.full(shape, -np.inf), np.full(shape, np.iinfo(np.int64).max)
+        self.best: list[list[list[tuple[int, int, int]]]] = [[[] for _ in range(shape[1])] for _ in windows]
+
+    def may_gain(self, high: np.ndarray, low: np.ndarray, low_id: int) -> np.ndarray:
+        """Which anchors may have a window to which rows of these bounds, of ids from low_id on, would add."""
+        reach = np.minimum(high[:, None], self.high)
+        within = (reach >= self.low) & (low[:, None] <= self.high)
+        return (within & ((reach > self.last) | ((reach == self.last) & (low_id < self.last_id)))).any(1)
+
+    def take(self, of: np.ndarray, score: np.ndarray, fits: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> None:
+        for j in range(self.low.shape[1]):
+            last, last_id = self.last[of, j, None], self.last_id[of, j, None]
+            adds = fits & (score >= self.low[of, j, None]) & (score <= self.high[of, j, None]) & ((score > last) | ((score == last) & (ids < last_id)))
+            for i in np.flatnonzero(adds.any(1)):
+                found = np.flatnonzero(adds[i])
+                if len(found) > k:
+                    own = score[i, found]
+                    found = found[own >= np.partition(own, -k)[-k]]
+                    found = found[np.lexsort((ids[found], -score[i, found]))[:k]]
+                anchor = int(of[i])
+                best = self.best[anchor][j] + [(-int(score[i, f]), int(ids[f]), int(rows[f])) for f in found]
+                self.best[anchor][j] = best = heapq.nsmallest(k, best)
+                if len(best) == k:
+                    self.last[anchor, j], self.last_id[anchor, j] = -best[-1][0], best[-1][1]
+
+    def found(self) -> pd.DataFrame:
+        rows = [(int(r), j, -s, i, f) for r, of in zip(self.row, self.best) for j, best in enumerate(of) for s, i, f in best]
+        return pd.DataFrame(rows, columns=["row", "place", "score", "vec_id", "found"]).astype("int64").astype({"place": "int32"})
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -208,36 +245,26 @@ def _descended(anchors: DataFrame, trees: DataFrame, parts: int, k: int, same: b
     met = blocks.hint("merge").join(dealt.withColumnRenamed("part", "tree_part"), (F.col("part") == F.col("tree_part")) & (F.col("dims") == F.col("tree_dims")))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, state = None, None
+        seen, block = None, None
         for frame in frames:
-            for key, block, tree in zip(zip(frame["dims"], frame["group"], frame["part"]), frame["anchors"], frame["tree"]):
+            for key, asked, tree in zip(zip(frame["dims"], frame["group"], frame["part"]), frame["anchors"], frame["tree"]):
                 if key != seen:
-                    if state is not None:
-                        yield _found(state)
-                    seen, state = key, _anchors(block, key[0])
+                    if block is not None:
+                        yield block.found()
+                    seen, block = key, _asked(asked, key[0])
                 node = CoverTree.__new__(CoverTree)
                 node.__dict__.update(pickle.loads(tree))
-                node.descend(state["x"], state["row"], state["label"], state["windows"], state["best"], k, same)
-        if state is not None:
-            yield _found(state)
+                node.descend(block, k, same)
+        if block is not None:
+            yield block.found()
 
     return met.select("dims", "group", "part", "anchors", "tree").mapInPandas(search, "row long, place int, score long, vec_id long, found long")
 
 
-def _anchors(block, dims: int) -> dict:
-    windows = [[(w["low"], w["high"]) for w in a["windows"]] for a in block]
-    return {
-        "x": np.stack([np.asarray(a["x"], float) for a in block]).reshape(len(block), dims),
-        "row": np.array([a["row"] for a in block]),
-        "label": np.array([a["label"] for a in block]),
-        "windows": windows,
-        "best": [[[] for _ in w] for w in windows],
-    }
-
-
-def _found(state: dict) -> pd.DataFrame:
-    rows = [(int(r), j, -s, i, f) for r, of in zip(state["row"], state["best"]) for j, best in enumerate(of) for s, i, f in best]
-    return pd.DataFrame(rows, columns=["row", "place", "score", "vec_id", "found"]).astype("int64").astype({"place": "int32"})
+def _asked(anchors, dims: int) -> Asked:
+    x = np.stack([np.asarray(a["x"], float) for a in anchors]).reshape(len(anchors), dims)
+    windows = [[(w["low"], w["high"]) for w in a["windows"]] for a in anchors]
+    return Asked(x, np.array([a["row"] for a in anchors]), np.array([a["label"] for a in anchors]), windows)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
