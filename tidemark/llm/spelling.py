@@ -25,11 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import Hasher, Words, mix, slices, text_buffers, written
 
-PARTS = 6
+PARTS = 4
 DROPS = list(combinations(range(PARTS), 2))
 SEED = 199
 ENDS = 3
-ROWS_AT_ONCE = 1 << 14
 
 
 def letter_bytes(raw: np.ndarray) -> np.ndarray:
@@ -97,42 +96,30 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = batch.column(0).to_pylist()
         parts = part_hashes(words)
-        cut = pa.FixedSizeListArray.from_arrays(pa.array(parts.view(np.int64).ravel()), PARTS).cast(pa.list_(pa.int64()))
         for side in (0, 1):
             ends = np.array([crc32((w[:ENDS] if side == 0 else w[-ENDS:]).encode()) for w in words], np.uint64)
             for k, drop in enumerate(DROPS):
-                sig = mix(ends + np.uint64(k * 2 + side))
+                sig = mix(ends + (np.uint64(k * 2 + side) << np.uint64(32)))
                 for p in range(PARTS):
                     if p not in drop:
                         sig = mix(sig * odd + parts[:, p])
-                arrays = [pa.array(sig.view(np.int64)), pa.array(np.full(len(words), k, np.int32)), pa.array(np.full(len(words), side, np.int32)), *batch.columns, cut]
-                yield pa.RecordBatch.from_arrays(arrays, ["sig", "drop", "side", "word", "n", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *batch.columns], ["sig", "word", "n"])
 
 
 def signatures(words: DataFrame) -> DataFrame:
-    """sig, drop, side, word, n and parts: the signatures of words(word, n), one of each two dropped parts and end of the word."""
-    return words.select("word", "n").mapInArrow(_signed, "sig long, drop int, side int, word string, n long, parts array<long>")
-
-
-def _first_drop() -> list[int]:
-    """For each set of unlike parts, as bits, the first of DROPS that holds it; -1 where none does."""
-    bits = [(1 << a) | (1 << b) for a, b in DROPS]
-    return [next((k for k, d in enumerate(bits) if m & ~d == 0), -1) for m in range(1 << PARTS)]
+    """sig, word and n: the signatures of words(word, n), one of each two dropped parts and end of the word."""
+    return words.select("word", "n").mapInArrow(_signed, "sig long, word string, n long")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """a, b, a_n, b_n for each pair of words(word, n), a < b, of edit distance 1; words are distinct and of 2 * ENDS code points or more."""
-    marked = written(signatures(words))
-    a = marked.select("sig", "drop", "side", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("parts").alias("a_parts"))
-    b = marked.select(F.col("sig").alias("b_sig"), F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("parts").alias("b_parts"))
-    unlike = F.lit(0)
-    for p in range(PARTS):
-        unlike = unlike + F.when(F.col("a_parts")[p] != F.col("b_parts")[p], 1 << p).otherwise(0)
-    # the first two parts that hold all differences, and the first letters where both ends agree
-    first = F.lit(_first_drop())[unlike]
-    side = F.when(F.substring("a", 1, ENDS) == F.substring("b", 1, ENDS), 0).otherwise(1)
-    once = (F.col("a") < F.col("b")) & (F.col("drop") == first) & (F.col("side") == side)
-    return a.join(b, (F.col("sig") == F.col("b_sig")) & once & (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "a_n", "b_n")
+    """a, b, a_n, b_n for each pair of words(word, n), a < b, of edit distance 1; words are distinct and of 2 * ENDS code points or more.
+
+    Both sides of the join are one shuffle. Words that share several signatures meet in each, so pairs are made distinct at the end.
+    """
+    marked = signatures(words)
+    near = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.word") < F.col("y.word")) & (F.levenshtein("x.word", "y.word", 1) == 1)
+    met = marked.alias("x").join(marked.alias("y").hint("merge"), near)
+    return met.select(F.col("x.word").alias("a"), F.col("y.word").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n")).distinct()
 
 
 def spelling_variants(docs: DataFrame, *, least_length: int = 6, least_count: int = 5, ratio: int = 5) -> DataFrame:
