@@ -221,7 +221,7 @@ def _contributions(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
 
 
 @query(f"SELECT market, driver, round(c, 4) AS contribution, round(abs(c) / sum(abs(c)) OVER (PARTITION BY market), 6) AS share, CASE WHEN c > 0 THEN 'up' WHEN c < 0 THEN 'down' ELSE 'none' END AS direction FROM ({_DRIVERS})")
-def fc_driver_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fc_baseline_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed parts of the forecast, and each one's share of their absolute sum."""
     rows = _contributions(spark, sf_dir, "market")
     size, c = F.abs("c"), F.col("c")
@@ -233,7 +233,7 @@ _DRIVER_ROWS = " UNION ALL ".join(f"SELECT category, market, '{k}' AS driver, {v
 
 
 @query(f"SELECT coalesce(category, 'portfolio') AS category, coalesce(market, 'portfolio') AS market, driver, round({tot('v')}, 4) AS contribution FROM ({_DRIVER_ROWS}) GROUP BY GROUPING SETS ((driver), (category, market, driver))")
-def fc_driver_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fc_baseline_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of each series, and of the portfolio, in one pass."""
     parts = F.array(*(F.struct(F.lit(k).alias("driver"), F.expr(v).alias("value")) for k, v in _PARTS.items()))
     rows = _evals(spark, sf_dir).withColumn("x", F.explode(parts)).select(*KEYS, F.col("x.driver").alias("driver"), F.col("x.value").alias("v"))
@@ -413,31 +413,6 @@ def cls_quality_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(*KEYS, name.alias("class"), F.when(F.col("own") >= F.col("whole"), "series").otherwise("publication").alias("caused_by"))
 
 
-@query(None)
-def fc_quantile_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P50 and P90 of the coming week by boosted trees over the panel, fitted before 2000 and judged after.
-
-    The trees predict the ratio to the 13-week mean; residual quantiles of the fitted weeks, by
-    market, turn that into P50 and P90. Without SQL: tests hold the later error below the naive one's.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    inputs = ["lag_1", "lag_4", "lag_13", "lag_52", "mean_4", "mean_8", "mean_13", "dev_4", "dev_13", "zero_share_52", "trend_4v13"]
-    rows = features.baselines(_panel(spark, sf_dir)).where("target_1 is not null and mean_13 > 0 and lag_13 is not null")
-    rows = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in inputs} | {"season": F.weekofyear("week").cast("double"), "label": F.col("target_1") / F.col("mean_13")})
-    stages = [StringIndexer(inputCol=k, outputCol=f"{k}_no", handleInvalid="keep") for k in KEYS]
-    stages += [VectorAssembler(inputCols=[*inputs, "season", *(f"{k}_no" for k in KEYS)], outputCol="features"), GBTRegressor(maxIter=12, maxDepth=4, maxBins=64, seed=7)]
-    fitted = Pipeline(stages=stages).fit(rows.where("week < date'2000-01-01'"))
-    told = fitted.transform(rows).withColumn("middle", F.greatest(F.lit(0.0), F.col("prediction") * F.col("mean_13")))
-    rest = (F.col("target_1") - F.col("middle")) / F.col("mean_13")
-    spread = told.where("week < date'2000-01-01'").groupBy("market").agg(F.percentile(rest, 0.5).alias("o50"), F.percentile(rest, 0.9).alias("o90"))
-    out = told.where("week >= date'2000-01-01'").join(spread, "market")
-    low, high = (F.col("middle") + F.col(o) * F.col("mean_13") for o in ("o50", "o90"))
-    return out.select(*KEYS, "week", F.col("target_1").cast("double").alias("actual"), "naive", F.greatest(F.lit(0.0), low).alias("p50"), F.greatest(F.lit(0.0), low, high).alias("p90"))
-
-
 @query("SELECT market, n, round(q90, 6) AS factor, n >= 20 AS own_head FROM (SELECT market, count(*) AS n, quantile_cont(actual / nullif(ma8, 0), 0.9) AS q90 FROM evals WHERE cold AND ma8 > 0 GROUP BY market)")
 def fc_cold_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upper quantile of series without a year of history has a head of its own where rows suffice."""
