@@ -89,6 +89,28 @@ def horizon_rows(origins: DataFrame, keys: list[str], *, horizons: int = HORIZON
     )
 
 
+def blended(rows: DataFrame) -> DataFrame:
+    """rows with `middle`: half the week a year before each coming week and half the 13-week mean, the mean alone without a year."""
+    return rows.withColumn("middle", F.when(F.col("seasonal").isNull(), F.col("mean_13")).otherwise((F.col("seasonal") + F.col("mean_13")) / 2))
+
+
+def baseline_forecasts(weeks: DataFrame, keys: list[str], group: str, *, horizons: int = HORIZONS, history: int = 52, level: float = 0.9) -> DataFrame:
+    """keys, origin, h, p50 and p90 of the coming weeks after the last week of dense weeks(keys, week, units).
+
+    P50 is the blended baseline; P90 adds the quantile, by group and horizon, of what the same
+    baseline missed at the origins of the last `history` weeks, relative to each series' level. A
+    series of under 13 weeks has no forecast.
+    """
+    origins = origin_rows(weeks, keys, horizons=horizons).where("age >= 13")
+    last = origins.agg(F.max("week").alias("_last"))  # one row
+    each = origins.crossJoin(F.broadcast(last)).where(F.col("week") > F.date_sub("_last", 7 * history)).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizons))))
+    rows = blended(each.withColumns({"seasonal": F.get("year_ago", F.col("h") - 1).cast("double"), "actual": F.get("ahead", F.col("h") - 1).cast("double"), "scale": F.greatest(F.col("mean_13"), F.lit(1.0))}))
+    missed = rows.where("actual is not null").groupBy(group, "h").agg(F.percentile((F.col("actual") - F.col("middle")) / F.col("scale"), level).alias("_q"))
+    now = rows.where("week = _last").join(missed, [group, "h"], "left")
+    spread = F.greatest(F.coalesce("_q", F.lit(0.0)), F.lit(0.0)) * F.col("scale")
+    return now.select(*keys, F.col("week").alias("origin"), "h", F.col("middle").alias("p50"), (F.col("middle") + spread).alias("p90"))
+
+
 @dataclass
 class QuantileTrees:
     """Trees with the quantiles of each leaf and, for the first of them, what each split adds."""

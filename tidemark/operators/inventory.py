@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running_before
+
 
 def trailing_daily(lines: DataFrame, until: str, days: int = 91) -> DataFrame:
     """Mean daily units of each cell over the days up to a date."""
@@ -32,11 +34,10 @@ def health(cells: DataFrame, under: float = 7, over: float = 45) -> DataFrame:
 
 def abc(values: DataFrame, group: str, keys: list[str], value: str, a: float = 0.80, b: float = 0.95) -> DataFrame:
     """Class by the share of value before the row, ranked by value, then keys; null values have none."""
-    rank = Window.partitionBy(group).orderBy(F.desc_nulls_last(value), *keys).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum(value).over(Window.partitionBy(group))
-    before = F.coalesce(F.sum(value).over(rank) / total, F.lit(0.0))
+    ranked = running_before(values, [group], [F.desc_nulls_last(value), *(F.asc(k) for k in keys)], value, "_before", "_total")
+    before = F.coalesce(F.col("_before") / F.col("_total"), F.lit(0.0))
     # null values come last, so they change no sum before a valued row
-    return values.withColumn("abc", F.when(F.col(value).isNull(), None).when(before < a, "A").when(before < b, "B").otherwise("C"))
+    return ranked.withColumn("abc", F.when(F.col(value).isNull(), None).when(before < a, "A").when(before < b, "B").otherwise("C")).drop("_before", "_total")
 
 
 def service_z(level: float) -> float:
@@ -46,23 +47,53 @@ def service_z(level: float) -> float:
     return NormalDist().inv_cdf(level)
 
 
-def horizon_weights(days: Column, weeks: int) -> list[Column]:
-    """Share of each of the next weeks that a window of days covers."""
-    return [F.least(F.lit(1.0), F.greatest(F.lit(0.0), days / 7.0 - h)) for h in range(weeks)]
+def forecast_arrays(forecasts: DataFrame, keys: list[str], decided: str, level: float = 0.90) -> DataFrame:
+    """keys, origin, p50 and dev of forecasts(keys, origin, h, p50, p90): arrays by horizon of the latest origin up to a day.
+
+    dev is the deviation that the distance of P90 to P50 stands for. An array has a week for each horizon.
+    """
+    known = forecasts.where(F.col("origin") <= F.lit(decided).cast("date"))
+    by_origin = known.groupBy(*keys, "origin").agg(F.array_sort(F.collect_list(F.struct("h", "p50", "p90"))).alias("w"))
+    latest = by_origin.groupBy(*keys).agg(F.max("origin").alias("origin"), F.max_by("w", "origin").alias("w"))
+    z = NormalDist().inv_cdf(level)
+    return latest.select(*keys, "origin", F.transform("w", lambda x: x["p50"]).alias("p50"), F.transform("w", lambda x: (x["p90"] - x["p50"]) / z).alias("dev"))
+
+
+def horizon_weight(days: Column, h: Column, weeks: Column) -> Column:
+    """Share of week h, from 0, that a window of days covers; the last week stands for all that is beyond it."""
+    left = F.greatest(F.lit(0.0), days / 7.0 - h)
+    return F.when(h < weeks - 1, F.least(F.lit(1.0), left)).otherwise(left)
 
 
-def horizon_sum(values: list[Column], days: Column) -> Column:
-    return sum((w * v for w, v in zip(horizon_weights(days, len(values)), values)), F.lit(0.0))
+def horizon_sum(values: Column, days: Column) -> Column:
+    """Sum of an array of weeks over a window of days, cut within a week."""
+    return F.aggregate(F.transform(values, lambda v, h: horizon_weight(days, h, F.size(values)) * v), F.lit(0.0), lambda s, v: s + v)
 
 
-def horizon_rss(values: list[Column], days: Column) -> Column:
+def horizon_rss(values: Column, days: Column) -> Column:
     """Root of the weighted sum of squares over the window."""
-    return F.sqrt(sum((w * v * v for w, v in zip(horizon_weights(days, len(values)), values)), F.lit(0.0)))
+    return F.sqrt(F.aggregate(F.transform(values, lambda v, h: horizon_weight(days, h, F.size(values)) * v * v), F.lit(0.0), lambda s, v: s + v))
+
+
+def protected(cells: DataFrame, forecasts: DataFrame, keys: list[str], decided: str, level: float) -> DataFrame:
+    """cells(keys, daily, days, variance) with need, sigma, weekly, next_week and safety from the forecasts of their series.
+
+    A cell has the share of its series' forecast that it has of the series' recent demand; of the
+    deviation, the root of that share, as cells miss independently. Cells of a series without a
+    forecast known by the decision day are left out.
+    """
+    units = F.sum(F.round(F.col("daily") * 91).cast("long"))
+    whole = cells.groupBy(*keys).agg(units.alias("_whole"))
+    known = forecast_arrays(forecasts, keys, decided)
+    rows = cells.join(whole.join(known, keys), keys).withColumn("share", F.round(F.col("daily") * 91).cast("long") / F.col("_whole"))
+    days, share = F.col("days"), F.col("share")
+    rows = rows.withColumns({"need": share * horizon_sum(F.col("p50"), days), "sigma": F.sqrt(share) * horizon_rss(F.col("dev"), days), "next_week": share * F.get("p50", F.lit(0))})
+    rows = rows.withColumn("weekly", F.col("need") / (days / 7.0))
+    return rows.withColumn("safety", safety_stock(F.col("sigma"), F.col("weekly"), F.col("variance"), level)).drop("_whole", "p50", "dev", "origin")
 
 
-def safety_stock(spread: Column, mean_weekly: Column, lead_variance: Column, level: float) -> Column:
+def safety_stock(sigma: Column, mean_weekly: Column, lead_variance: Column, level: float) -> Column:
     """Demand and lead-time parts in quadrature; an unknown variance adds nothing."""
-    sigma = spread / NormalDist().inv_cdf(0.90)
     lead = mean_weekly * F.sqrt(F.coalesce(lead_variance, F.lit(0.0)))
     return service_z(level) * F.sqrt(sigma * sigma + lead * lead)
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import canonical as canon
+from ..operators import horizons, supply
 from ..operators import inventory as inv
-from ..operators import supply
-from ..sources.tables import locations, products, sale_lines, scratch
+from ..sources.tables import category_weeks, locations, products, sale_lines, scratch
 from .registration import Registry
 
 TODAY = "2000-12-31"
@@ -22,8 +22,20 @@ health AS (SELECT *, CASE WHEN coalesce(daily, 0) = 0 THEN 'dead' WHEN atp = 0 T
   CASE WHEN coalesce(daily, 0) = 0 AND NOT active THEN 'DEAD_STOCK_DEASSORTED' WHEN coalesce(daily, 0) = 0 THEN 'DEAD_STOCK_NO_DEMAND' END AS reason FROM cellx),
 lots AS (SELECT t.sku, t.location, l.market, t.category, g.cost, t.units, date_diff('day', received_on, DATE '{TODAY}') AS age_days, date_diff('day', DATE '{TODAY}', expires_on) AS days_left
   FROM lot t JOIN locations l USING (location) JOIN goods g ON g.sku = t.sku WHERE received_on <= DATE '{TODAY}' AND received_on > DATE '{TODAY}' - 365),
+fweeks AS (SELECT category, market, CAST(date_trunc('week', business_date) AS DATE) AS week, CAST(sum(units) AS BIGINT) AS units FROM msales JOIN products USING (sku)
+  WHERE date_trunc('week', business_date) + INTERVAL 6 DAY <= DATE '{TODAY}' GROUP BY ALL),
+fgrid AS (SELECT category, market, CAST(unnest(generate_series(a, (SELECT max(week) FROM fweeks), INTERVAL 7 DAY)) AS DATE) AS week FROM (SELECT category, market, min(week) AS a FROM fweeks GROUP BY ALL)),
+fdense AS (SELECT g.category, g.market, g.week, coalesce(units, 0) AS units FROM fgrid g LEFT JOIN fweeks c ON c.category = g.category AND c.market = g.market AND c.week = g.week),
+forigin AS (SELECT category, market, week, avg(units) OVER (PARTITION BY category, market ORDER BY week ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS mean_13, row_number() OVER (PARTITION BY category, market ORDER BY week) AS age FROM fdense),
+frows AS (SELECT o.category, o.market, o.week, h, greatest(o.mean_13, 1.0) AS scale, CAST(t.units AS DOUBLE) AS actual, CASE WHEN o.age >= 52 THEN (CAST(y.units AS DOUBLE) + o.mean_13) / 2 ELSE o.mean_13 END AS middle
+  FROM forigin o CROSS JOIN (SELECT unnest(generate_series(1, 26)) AS h) LEFT JOIN fdense t ON t.category = o.category AND t.market = o.market AND t.week = CAST(o.week + to_days(CAST(7 * h AS INTEGER)) AS DATE)
+  LEFT JOIN fdense y ON y.category = o.category AND y.market = o.market AND y.week = CAST(o.week + to_days(CAST(7 * h - 364 AS INTEGER)) AS DATE) WHERE o.age >= 13 AND o.week > (SELECT max(week) FROM fdense) - INTERVAL 364 DAY),
+fmissed AS (SELECT market, h, quantile_cont((actual - middle) / scale, 0.9) AS q FROM frows WHERE actual IS NOT NULL GROUP BY ALL),
+fcast AS (SELECT category, market, week AS origin, h, middle AS p50, middle + greatest(coalesce(q, 0), 0) * scale AS p90 FROM frows LEFT JOIN fmissed USING (market, h) WHERE week = (SELECT max(week) FROM fdense)),
 sterms AS (SELECT location, CAST(s AS DOUBLE) / n AS days, CASE WHEN n >= 8 THEN (n * q - s * s) / (n * n) / 49.0 END AS variance, moq FROM (
-  SELECT location, count(*) AS n, CAST(sum(lead_days) AS BIGINT) AS s, CAST(sum(lead_days * lead_days) AS BIGINT) AS q, min(units) AS moq FROM ship WHERE state = 'received' AND lead_days BETWEEN 1 AND 60 GROUP BY location))
+  SELECT location, count(*) AS n, CAST(sum(lead_days) AS BIGINT) AS s, CAST(sum(lead_days * lead_days) AS BIGINT) AS q, min(units) AS moq FROM ship WHERE state = 'received' AND lead_days >= 1 GROUP BY location)),
+farrays AS (SELECT category, market, list(p50 ORDER BY h) AS p50, list((p90 - p50) / {inv.service_z(0.90)!r} ORDER BY h) AS dev FROM fcast GROUP BY ALL),
+fwhole AS (SELECT category, market, CAST(sum(CAST(round(daily * 91) AS BIGINT)) AS BIGINT) AS units FROM cellx WHERE daily > 0 GROUP BY ALL)
 """
 
 query = Registry(INV_SQL)
@@ -50,8 +62,8 @@ def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _site_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Protection days, their variance in weeks and the least order of each site, from what it received within sixty days."""
-    rows = supply.shipments(spark, sf_dir).where("state = 'received' and lead_days between 1 and 60")
+    """Protection days, their variance in weeks and the least order of each site, from all it received a day or more after the order."""
+    rows = supply.shipments(spark, sf_dir).where("state = 'received' and lead_days >= 1")
     sums = rows.groupBy("location").agg(F.count("*").alias("n"), F.sum("lead_days").alias("s"), F.sum(F.col("lead_days") * F.col("lead_days")).alias("q"), F.min("units").alias("moq"))
     n, s, q = F.col("n"), F.col("s"), F.col("q")
     return sums.select("location", (s.cast("double") / n).alias("days"), F.when(n >= 8, (n * q - s * s) / (n * n) / 49.0).alias("variance"), "moq")
@@ -109,22 +121,34 @@ def inv_abc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.abc(values, "market", ["sku"], "value")
 
 
-_WEEKS = ", ".join(f"(daily * 7 * (1 + {h} / 10.0)) AS w{h}" for h in range(4))
 _Z = repr(inv.service_z(0.96))
-_Q = repr(inv.service_z(0.90))
-_HW = [f"least(1.0, greatest(0.0, days / 7.0 - {h}))" for h in range(4)]
-_SAFETY = f"""(SELECT *, {" + ".join(f"{w} * w{h}" for h, w in enumerate(_HW))} AS need, sqrt({" + ".join(f"{w} * (w{h} * 0.4) * (w{h} * 0.4)" for h, w in enumerate(_HW))}) / {_Q} AS sigma,
-  ((w0 + w1 + w2 + w3) / 4) * sqrt(coalesce(variance, 0)) AS lead_part
-  FROM (SELECT cellx.*, coalesce(days, 14.0) AS days, variance, coalesce(moq, 1) AS least_units, {_WEEKS} FROM cellx LEFT JOIN sterms USING (location) WHERE daily > 0))"""
+_W = "(CASE WHEN h < 25 THEN least(1.0, greatest(0.0, days / 7.0 - h)) ELSE greatest(0.0, days / 7.0 - h) END)"
+_SAFETY = f"""(SELECT *, need / (days / 7.0) * sqrt(coalesce(variance, 0)) AS lead_part FROM (
+  SELECT *, share * list_sum(list_transform(range(26), lambda h: {_W} * p50[h + 1])) AS need, sqrt(share) * sqrt(list_sum(list_transform(range(26), lambda h: {_W} * dev[h + 1] * dev[h + 1]))) AS sigma, share * p50[1] AS next_week
+  FROM (SELECT cellx.*, CAST(round(daily * 91) AS BIGINT) / fwhole.units AS share, p50, dev, coalesce(days, 14.0) AS days, variance, coalesce(moq, 1) AS least_units
+    FROM cellx JOIN fwhole USING (category, market) JOIN farrays USING (category, market) LEFT JOIN sterms USING (location) WHERE daily > 0)))"""
+MAX_COVER = 150
 
 
-def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cell_forecasts(spark: SparkSession, sf_dir: str, decided: str = TODAY) -> DataFrame:
+    """category, market, origin, h, p50 and p90 from the weeks that had ended by the decision day."""
+    lines = sale_lines(spark, sf_dir).join(locations(spark, sf_dir).select("location", "market"), "location")
+    weeks = category_weeks(lines, products(spark, sf_dir)).where(F.date_add("week", 6) <= F.lit(decided).cast("date"))
+    return horizons.baseline_forecasts(horizons.dense_series(weeks, ["category", "market"]), ["category", "market"], "market")
+
+
+def _supply(spark: SparkSession, sf_dir: str, forecasts: DataFrame | None = None) -> DataFrame:
+    """Cells with demand, their terms, and need and buffer over the protection days by forecasts(category, market, origin, h, p50, p90)."""
     rows = _cells(spark, sf_dir).where("daily > 0").join(_site_terms(spark, sf_dir), "location", "left").withColumns({"days": F.coalesce("days", F.lit(14.0)), "moq": F.coalesce("moq", F.lit(1)).cast("double")})
-    rows = rows.withColumns({f"w{h}": F.col("daily") * 7 * (1 + F.lit(h) / 10.0) for h in range(4)})
-    weeks = [F.col(f"w{h}") for h in range(4)]
-    spread = inv.horizon_rss([w * 0.4 for w in weeks], F.col("days"))
-    buffer = inv.safety_stock(spread, sum(weeks[1:], weeks[0]) / 4, F.col("variance"), 0.96)
-    return rows.withColumns({"need": inv.horizon_sum(weeks, F.col("days")), "safety": buffer})
+    told = cell_forecasts(spark, sf_dir) if forecasts is None else forecasts
+    return inv.protected(rows, told, ["category", "market"], TODAY, 0.96)
+
+
+def ordered(spark: SparkSession, sf_dir: str, forecasts: DataFrame | None = None) -> DataFrame:
+    """_supply with order_units and reason: up to need, buffer and a week of review, by least quantity, pack and cover cap."""
+    rows = _supply(spark, sf_dir, forecasts).withColumns({"raw": F.col("need") + F.col("safety") + F.col("next_week") - F.col("position"), "pack": F.greatest(F.lit(1).cast("long"), F.col("pack_qty")).cast("double")})
+    units, reason = inv.order_quantity(F.col("raw"), F.col("moq"), F.col("pack"), F.col("position"), F.col("daily"), MAX_COVER)
+    return rows.withColumns({"order_units": units, "reason": reason})
 
 
 @query(f"SELECT sku, location, round(need, 6) AS need, round({_Z} * sqrt(sigma * sigma + lead_part * lead_part), 6) AS safety, round(need + {_Z} * sqrt(sigma * sigma + lead_part * lead_part), 6) AS reorder_point FROM {_SAFETY}")
@@ -133,8 +157,8 @@ def inv_safety_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _supply(spark, sf_dir).select("sku", "location", F.round("need", 6).alias("need"), F.round("safety", 6).alias("safety"), F.round(F.col("need") + F.col("safety"), 6).alias("reorder_point"))
 
 
-_ORDERS = f"""(SELECT *, ceil(greatest(raw, moq) / pack) * pack AS wanted, ceil(moq / pack) * pack AS least_order, daily * 60 - position AS cap, floor((daily * 60 - position) / pack) * pack AS shrunk
-  FROM (SELECT *, need + {_Z} * sqrt(sigma * sigma + lead_part * lead_part) + w0 - position AS raw, CAST(least_units AS DOUBLE) AS moq, CAST(greatest(1, pack_qty % 12) AS DOUBLE) AS pack FROM {_SAFETY}))"""
+_ORDERS = f"""(SELECT *, ceil(greatest(raw, moq) / pack) * pack AS wanted, ceil(moq / pack) * pack AS least_order, daily * {MAX_COVER} - position AS cap, floor((daily * {MAX_COVER} - position) / pack) * pack AS shrunk
+  FROM (SELECT *, need + {_Z} * sqrt(sigma * sigma + lead_part * lead_part) + next_week - position AS raw, CAST(least_units AS DOUBLE) AS moq, CAST(greatest(1, pack_qty) AS DOUBLE) AS pack FROM {_SAFETY}))"""
 _NONE = "(raw <= 0 OR cap <= 0)"
 _CONFLICT = "(wanted > cap AND (wanted = least_order OR shrunk < moq OR shrunk <= 0))"
 
@@ -142,11 +166,7 @@ _CONFLICT = "(wanted > cap AND (wanted = least_order OR shrunk < moq OR shrunk <
 @query(f"SELECT sku, location, CAST(CASE WHEN {_NONE} OR {_CONFLICT} THEN 0 WHEN wanted > cap THEN shrunk ELSE wanted END AS BIGINT) AS order_units, CASE WHEN NOT {_NONE} AND {_CONFLICT} THEN 'CAP_CONFLICT' END AS reason FROM {_ORDERS}")
 def inv_replenish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order quantities up to the level, by least quantity, pack and cover cap."""
-    rows = _supply(spark, sf_dir).withColumns(
-        {"raw": F.col("need") + F.col("safety") + F.col("w0") - F.col("position"), "pack": F.greatest(F.lit(1).cast("long"), F.col("pack_qty") % 12).cast("double")}
-    )
-    units, reason = inv.order_quantity(F.col("raw"), F.col("moq"), F.col("pack"), F.col("position"), F.col("daily"), 60)
-    return rows.select("sku", "location", units.alias("order_units"), reason.alias("reason"))
+    return ordered(spark, sf_dir).select("sku", "location", "order_units", "reason")
 
 
 @query("SELECT market, category, count(*) AS cells, CAST(sum(CAST(ceil(greatest(0, daily * 28 * 1.3 - atp)) AS BIGINT)) AS BIGINT) AS risk_units, CAST(sum(CAST(ceil(greatest(0, daily * 28 * 1.3 - atp)) AS BIGINT) * cost) AS BIGINT) AS risk_minor FROM cellx WHERE daily > 0 GROUP BY ALL")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..operators import inventory as inv
+from ..operators.prefix import running_before
 from ..operators import supply
 from ..sources.tables import locations, products, read, sale_lines
-from .inventory import _NONE, _CONFLICT, _ORDERS, _Z, INV_SQL, TODAY, _cells, _health, _lots, _site_terms, _supply
+from .inventory import _NONE, _CONFLICT, _ORDERS, _Z, INV_SQL, TODAY, _cells, _health, _lots, _site_terms, _supply, ordered
 from .registration import Registry
 from .supply import _CAPACITY, _MOVES, _WASTE, _capacity, _moves, _sites, _waste
 
@@ -157,13 +158,13 @@ def inv_resolve_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c.sku, c.location, coalesce(a.d, b.d, k.d) AS lead_days, CASE WHEN a.d IS NOT NULL THEN 'sku' WHEN b.d IS NOT NULL THEN 'dept' WHEN k.d IS NOT NULL THEN 'category' END AS scope FROM cells c JOIN products p USING (sku)
-  LEFT JOIN (SELECT location, sku, CAST(max(lead_days) AS BIGINT) AS d FROM ship WHERE state = 'received' AND lead_days BETWEEN 1 AND 60 GROUP BY ALL) a ON a.location = c.location AND a.sku = c.sku
-  LEFT JOIN (SELECT location, dept, CAST(max(lead_days) AS BIGINT) AS d FROM ship JOIN products USING (sku) WHERE state = 'received' AND lead_days BETWEEN 1 AND 60 GROUP BY ALL) b ON b.location = c.location AND b.dept = p.dept
-  LEFT JOIN (SELECT location, category, CAST(max(lead_days) AS BIGINT) AS d FROM ship JOIN products USING (sku) WHERE state = 'received' AND lead_days BETWEEN 1 AND 60 GROUP BY ALL) k ON k.location = c.location AND k.category = p.category""")
+  LEFT JOIN (SELECT location, sku, CAST(max(lead_days) AS BIGINT) AS d FROM ship WHERE state = 'received' AND lead_days >= 1 GROUP BY ALL) a ON a.location = c.location AND a.sku = c.sku
+  LEFT JOIN (SELECT location, dept, CAST(max(lead_days) AS BIGINT) AS d FROM ship JOIN products USING (sku) WHERE state = 'received' AND lead_days >= 1 GROUP BY ALL) b ON b.location = c.location AND b.dept = p.dept
+  LEFT JOIN (SELECT location, category, CAST(max(lead_days) AS BIGINT) AS d FROM ship JOIN products USING (sku) WHERE state = 'received' AND lead_days >= 1 GROUP BY ALL) k ON k.location = c.location AND k.category = p.category""")
 def inv_resolve_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cell's lead time by the narrowest scope that has one: product, department, category."""
     goods = products(spark, sf_dir).select("sku", "dept", "category")
-    rows = supply.shipments(spark, sf_dir).where("state = 'received' and lead_days between 1 and 60").join(goods, "sku")
+    rows = supply.shipments(spark, sf_dir).where("state = 'received' and lead_days >= 1").join(goods, "sku")
     out = _cells(spark, sf_dir).select("sku", "location").join(goods, "sku")
     for scope in ("sku", "dept", "category"):
         out = out.join(rows.groupBy("location", scope).agg(F.max("lead_days").alias(f"by_{scope}")), ["location", scope], "left")
@@ -171,13 +172,13 @@ def inv_resolve_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sku", "location", F.coalesce("by_sku", "by_dept", "by_category").alias("lead_days"), scope.alias("scope"))
 
 
-@query("SELECT sku, c.location, market, round(coalesce(days, 14.0), 6) AS protection_days, least(8, greatest(1, CAST(ceil(coalesce(days, 14.0) / 7) AS BIGINT))) AS weeks, coalesce(moq, 1) AS moq, greatest(1, pack_qty % 12) AS pack, days IS NULL AS assumed FROM cellx c LEFT JOIN sterms USING (location)")
+@query("SELECT sku, c.location, market, round(coalesce(days, 14.0), 6) AS protection_days, least(26, greatest(1, CAST(ceil(coalesce(days, 14.0) / 7) AS BIGINT))) AS weeks, coalesce(moq, 1) AS moq, greatest(1, pack_qty) AS pack, days IS NULL AS assumed FROM cellx c LEFT JOIN sterms USING (location)")
 def inv_cell_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route terms of every cell: protection days, weeks, least order and pack; assumed where the site has none."""
     rows = _cells(spark, sf_dir).join(_site_terms(spark, sf_dir), "location", "left")
     days = F.coalesce("days", F.lit(14.0))
-    weeks = F.least(F.lit(8), F.greatest(F.lit(1), F.ceil(days / 7).cast("long")))
-    return rows.select("sku", "location", "market", F.round(days, 6).alias("protection_days"), weeks.alias("weeks"), F.coalesce("moq", F.lit(1)).alias("moq"), F.greatest(F.lit(1), F.col("pack_qty") % 12).alias("pack"), F.col("days").isNull().alias("assumed"))
+    weeks = F.least(F.lit(26), F.greatest(F.lit(1), F.ceil(days / 7).cast("long")))
+    return rows.select("sku", "location", "market", F.round(days, 6).alias("protection_days"), weeks.alias("weeks"), F.coalesce("moq", F.lit(1)).alias("moq"), F.greatest(F.lit(1), F.col("pack_qty")).alias("pack"), F.col("days").isNull().alias("assumed"))
 
 
 @query(f"SELECT origin, destination, carried FROM {_LANES}")
@@ -190,9 +191,7 @@ def inv_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT sku, location, round(need, 6) AS need, round(sigma, 6) AS spread FROM {_ORDERS}")
 def inv_horizon_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly demand over a fractional window of days, summed and in quadrature."""
-    rows = _supply(spark, sf_dir)
-    spread = inv.horizon_rss([F.col(f"w{h}") * 0.4 for h in range(4)], F.col("days")) / inv.service_z(0.90)
-    return rows.select("sku", "location", F.round("need", 6).alias("need"), F.round(spread, 6).alias("spread"))
+    return _supply(spark, sf_dir).select("sku", "location", F.round("need", 6).alias("need"), F.round("sigma", 6).alias("spread"))
 
 
 @query("SELECT location_key, state, count(*) AS lines, CAST(sum(units) AS BIGINT) AS units, min(due_date) AS first_due FROM ship JOIN xwalk USING (location) GROUP BY ALL")
@@ -220,16 +219,10 @@ def inv_lead_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _site_terms(spark, sf_dir).select("location", F.round("days", 6).alias("days"), F.round("variance", 6).alias("variance"), F.col("variance").isNotNull().alias("enough"))
 
 
-@query(f"SELECT sku, location, round(point, 6) AS reorder_point, round(point + w0, 6) AS order_up_to, position < point AS below FROM (SELECT *, need + {_Z} * sqrt(sigma * sigma + lead_part * lead_part) AS point FROM {_ORDERS})")
+@query(f"SELECT sku, location, round(point, 6) AS reorder_point, round(point + next_week, 6) AS order_up_to, position < point AS below FROM (SELECT *, need + {_Z} * sqrt(sigma * sigma + lead_part * lead_part) AS point FROM {_ORDERS})")
 def inv_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = F.col("need") + F.col("safety")
-    return _supply(spark, sf_dir).select("sku", "location", F.round(point, 6).alias("reorder_point"), F.round(point + F.col("w0"), 6).alias("order_up_to"), (F.col("position") < point).alias("below"))
-
-
-def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _supply(spark, sf_dir).withColumns({"raw": F.col("need") + F.col("safety") + F.col("w0") - F.col("position"), "pack": F.greatest(F.lit(1).cast("long"), F.col("pack_qty") % 12).cast("double")})
-    units, reason = inv.order_quantity(F.col("raw"), F.col("moq"), F.col("pack"), F.col("position"), F.col("daily"), 60)
-    return rows.withColumns({"order_units": units, "reason": reason})
+    return _supply(spark, sf_dir).select("sku", "location", F.round(point, 6).alias("reorder_point"), F.round(point + F.col("next_week"), 6).alias("order_up_to"), (F.col("position") < point).alias("below"))
 
 
 _ORDERED = f"(SELECT *, CAST(CASE WHEN {_NONE} OR {_CONFLICT} THEN 0 WHEN wanted > cap THEN shrunk ELSE wanted END AS BIGINT) AS order_units, CASE WHEN NOT {_NONE} AND {_CONFLICT} THEN 'CAP_CONFLICT' END AS reason, need + {_Z} * sqrt(sigma * sigma + lead_part * lead_part) AS point FROM {_ORDERS})"
@@ -238,7 +231,7 @@ _ORDERED = f"(SELECT *, CAST(CASE WHEN {_NONE} OR {_CONFLICT} THEN 0 WHEN wanted
 @query(f"SELECT market, category, count(*) AS cells, count(*) FILTER (WHERE order_units > 0) AS orders, count(*) FILTER (WHERE order_units > 0 AND order_units % CAST(pack AS BIGINT) <> 0) AS broken_packs, count(*) FILTER (WHERE order_units > 0 AND order_units < moq) AS below_moq, count(*) FILTER (WHERE reason IS NOT NULL) AS conflicts FROM {_ORDERED} GROUP BY ALL")
 def inv_order_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How orders keep to packs and least quantities, and how many cells admit none."""
-    rows = _ordered(spark, sf_dir)
+    rows = ordered(spark, sf_dir)
     return rows.groupBy("market", "category").agg(
         F.count("*").alias("cells"), n_if("order_units > 0").alias("orders"), n_if("order_units > 0 and order_units % cast(pack as bigint) <> 0").alias("broken_packs"),
         n_if("order_units > 0 and order_units < moq").alias("below_moq"), n_if("reason is not null").alias("conflicts"),
@@ -305,7 +298,7 @@ def inv_artifact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row rules of three artifacts; each is read once."""
     out = None
     for name, rows, negative, unsound in (
-        ("cells", _cells(spark, sf_dir), "atp < 0", "position < atp"), ("lots", _lots(spark, sf_dir), "units < 0", "age_days < 0"), ("orders", _ordered(spark, sf_dir), "order_units < 0", "order_units > 0 and reason is not null")
+        ("cells", _cells(spark, sf_dir), "atp < 0", "position < atp"), ("lots", _lots(spark, sf_dir), "units < 0", "age_days < 0"), ("orders", ordered(spark, sf_dir), "order_units < 0", "order_units > 0 and reason is not null")
     ):
         part = rows.agg(F.count("*").alias("n"), n_if(negative).alias("negative"), n_if(unsound).alias("unsound")).select(F.lit(name).alias("artifact"), "n", "negative", "unsound")
         out = part if out is None else out.unionByName(part)
@@ -388,7 +381,7 @@ _EXCEPTIONS = f"(SELECT sku, location, 'stock' AS side, health AS class, CASE he
 def _exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = F.when(F.col("health") == "stockout", "high").when(F.col("health") == "understock", "medium").otherwise("low")
     stock = _health(spark, sf_dir).where("health in ('stockout', 'understock', 'overstock')").select("sku", "location", F.lit("stock").alias("side"), F.col("health").alias("class"), severity.alias("severity"))
-    orders = _ordered(spark, sf_dir).where("reason is not null").select("sku", "location", F.lit("supply").alias("side"), F.lower("reason").alias("class"), F.lit("high").alias("severity"))
+    orders = ordered(spark, sf_dir).where("reason is not null").select("sku", "location", F.lit("supply").alias("side"), F.lower("reason").alias("class"), F.lit("high").alias("severity"))
     return stock.unionByName(orders)
 
 
@@ -415,7 +408,7 @@ def rpt_rows_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
   DATE '{TODAY}' + CAST(ceil(o.days) AS INTEGER) AS expected_on FROM {_ORDERED} o JOIN (SELECT sku, location, health FROM health) h ON h.sku = o.sku AND h.location = o.location JOIN (SELECT location, location_name FROM locations) n ON n.location = o.location JOIN (SELECT sku, product_name FROM products) p ON p.sku = o.sku WHERE order_units > 0""")
 def rpt_rows_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommended orders with names, stock, buffer, class, type and the day they should arrive."""
-    rows = inv.health(_ordered(spark, sf_dir).where("order_units > 0"))
+    rows = inv.health(ordered(spark, sf_dir).where("order_units > 0"))
     rows = rows.join(locations(spark, sf_dir).select("location", "location_name"), "location").join(products(spark, sf_dir).select("sku", "product_name"), "sku")
     kind = F.when(F.col("health") == "stockout", "urgent").when(F.col("order_units") > F.col("moq"), "regular").otherwise("minimum")
     buffer = (F.col("need") + F.col("safety")) - F.col("need")
@@ -474,7 +467,7 @@ def rpt_kpi_inventory_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT count(*) FILTER (WHERE order_units > 0) AS orders, CAST(sum(order_units) AS BIGINT) AS units, count(*) FILTER (WHERE order_units > 0 AND order_units >= moq) AS keeps_moq, count(*) FILTER (WHERE order_units > 0 AND atp = 0) AS urgent, count(DISTINCT location) FILTER (WHERE order_units > 0) AS sources, CAST(sum(order_units * cost) AS BIGINT) AS value_minor FROM {_ORDERED}")
 def rpt_kpi_replenishment_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = F.col("order_units") > 0
-    return _ordered(spark, sf_dir).agg(F.count_if(some).alias("orders"), F.sum("order_units").alias("units"), n_if("order_units > 0 and order_units >= moq").alias("keeps_moq"), n_if("order_units > 0 and atp = 0").alias("urgent"), F.countDistinct(F.when(some, F.col("location"))).alias("sources"), F.sum(F.col("order_units") * F.col("cost")).alias("value_minor"))
+    return ordered(spark, sf_dir).agg(F.count_if(some).alias("orders"), F.sum("order_units").alias("units"), n_if("order_units > 0 and order_units >= moq").alias("keeps_moq"), n_if("order_units > 0 and atp = 0").alias("urgent"), F.countDistinct(F.when(some, F.col("location"))).alias("sources"), F.sum(F.col("order_units") * F.col("cost")).alias("value_minor"))
 
 
 @query(f"SELECT count(*) AS n, round({d('point - need')}, 3) AS buffer_units, count(*) FILTER (WHERE position >= point) AS covered FROM {_ORDERED}")
@@ -584,9 +577,9 @@ def rpt_lead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT market, sku, location, value, spent <= 50000000 AS within FROM (SELECT market, sku, location, order_units * cost AS value, sum(order_units * cost) OVER (PARTITION BY market ORDER BY order_units * cost DESC, sku, location ROWS UNBOUNDED PRECEDING) AS spent FROM {_ORDERED} WHERE order_units > 0)")
 def rpt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by value until a market's weekly budget is spent."""
-    rows = _ordered(spark, sf_dir).where("order_units > 0").withColumn("value", F.col("order_units") * F.col("cost"))
-    spent = F.sum("value").over(Window.partitionBy("market").orderBy(F.desc("value"), "sku", "location").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("market", "sku", "location", "value", (spent <= 50000000).alias("within"))
+    rows = ordered(spark, sf_dir).where("order_units > 0").withColumn("value", F.col("order_units") * F.col("cost"))
+    spent = running_before(rows.select("market", "sku", "location", "value"), ["market"], [F.desc("value"), F.asc("sku"), F.asc("location")], "value")
+    return spent.select("market", "sku", "location", "value", (F.col("before") + F.col("value") <= 50000000).alias("within"))
 
 
 @query("SELECT pair, rate, day FROM (SELECT event_type || '/USD' AS pair, value / 100 AS rate, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value > 0) WHERE r = 1", base=False)
