@@ -48,20 +48,40 @@ def test_replay_fold(spark):
         assert got == {i: plain(d, o, t, lead) for i, d, o, t in rows}
 
 
-def test_greedy_transfers(spark):
+def test_transfers_match_intervals_round_by_round(spark):
     r = random.Random(3)
-    rows = []
-    for sku in range(6):
-        free, need = {s: r.randint(1, 9) for s in range(4)}, {t: r.randint(1, 9) for t in range(4, 8)}
-        rows += [("m", sku, f"{s}>{t}", s, t, min(free[s], need[t]), r.randint(1, 5), r.randint(1, 3), free[s], need[t]) for s in free for t in need]
-    df = spark.createDataFrame(rows, "market string, sku long, lane string, source long, target long, units long, benefit long, transit long, source_free long, target_need long")
-    want, left, lack = set(), {}, {}
-    for m, sku, lane, s, t, units, benefit, transit, free, need in sorted(rows, key=lambda x: (x[1], -x[6], x[7], x[2])):
-        moved = min(units, left.get((sku, s), free), lack.get((sku, t), need))
-        if moved > 0:
-            left[sku, s], lack[sku, t] = left.get((sku, s), free) - moved, lack.get((sku, t), need) - moved
-            want.add((m, sku, lane, s, t, moved))
-    assert {tuple(x) for x in inventory.transfers(df).collect()} == want
+    areas = "abc"
+    lanes = [(0, x, x) for x in areas] + [(1, "a", "b"), (1, "a", "c"), (1, "b", "a")]
+    free = [(sku, r.choice(areas), site, r.randint(0, 9)) for sku in range(8) for site in range(6)]
+    need = [(sku, r.choice(areas), site, r.randint(0, 9)) for sku in range(8) for site in range(10, 17)]
+
+    def plain():
+        left, lack, moves = {(k, s): n for k, _, s, n in free}, {(k, t): n for k, _, t, n in need}, set()
+        for k in (0, 1):
+            then, owed = dict(left), dict(lack)
+            for sku in range(8):
+                for origin in areas:
+                    to = {d for n, o, d in lanes if n == k and o == origin}
+                    sources = sorted(([-then[sku, s], s] for q, a, s, _ in free if q == sku and a == origin and then[sku, s] > 0))
+                    targets = sorted(([-owed[sku, t], t] for q, a, t, _ in need if q == sku and a in to and owed[sku, t] > 0))
+                    while sources and targets:
+                        moved = min(-sources[0][0], -targets[0][0])
+                        moves.add((k, sku, sources[0][1], targets[0][1], moved))
+                        left[sku, sources[0][1]] -= moved
+                        lack[sku, targets[0][1]] -= moved
+                        for side in (sources, targets):
+                            side[0][0] += moved
+                            if side[0][0] == 0:
+                                side.pop(0)
+        return moves, left, lack
+
+    moves, left, lack = plain()
+    supply = spark.createDataFrame(free, "sku long, area string, source long, free long")
+    demand = spark.createDataFrame(need, "sku long, area string, target long, need long")
+    got = inventory.transfers(supply, demand, spark.createDataFrame(lanes, "round int, origin string, destination string"), 2).collect()
+    assert {tuple(x) for x in got} == moves and len(got) == len(moves) and any(x[0] for x in moves)
+    assert min(left.values()) >= 0 and min(lack.values()) >= 0
+    assert inventory.transfers(supply.limit(0), demand, spark.createDataFrame(lanes, "round int, origin string, destination string"), 2).count() == 0
 
 
 def test_largest_remainder_sums_to_the_total(spark):

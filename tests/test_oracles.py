@@ -44,4 +44,4 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_has_sql_or_a_reason():
     without = {name for m in registry.MODULES for name in m.QUERIES if name not in m.ORACLES}
-    assert without == {"entity_control", "fc_bootstrap", "fc_driver_series", "fc_driver_share", "fc_quantile_model", "transfer_greedy", "replay_market"}
+    assert without == {"entity_control", "fc_bootstrap", "fc_driver_series", "fc_driver_share", "fc_quantile_model", "replay_market"}

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
 from .prefix import running_before
 
 
@@ -116,32 +117,51 @@ def allocate(demand: DataFrame, group: list[str], wanted: str, pool: str, order:
     return demand.withColumn("allocated", F.least(F.col(wanted), F.greatest(F.lit(0), F.col(pool) - before)))
 
 
-def transfers(candidates: DataFrame) -> DataFrame:
-    """Greedy moves by benefit, transit and keys under what sources hold and targets lack.
+def match_intervals(supply: DataFrame, demand: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, source, target and moved: supply(keys, source, free) given to demand(keys, target, need) within each group of keys.
 
-    candidates: market, sku, lane, source, target, units, benefit, transit, source_free, target_need.
-    Limits are per location and sku, so each (market, sku) is settled on its own. Candidates come
-    sorted within their partition and pass through in batches; what is kept is what one (market,
-    sku) has given and got so far, a number for each of its sites.
+    Sources by free, targets by need, both from the largest down, ties by name, are laid end to end on
+    one line of units; a move is where a source's stretch meets a target's. The ends of all stretches
+    cut the line into pieces, and a running window finds the source and target that hold each piece, so
+    a group of s sources and t targets takes s + t rows and makes fewer moves than that, never pairs.
     """
 
-    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, free, need = None, {}, {}
-        for frame in frames:
-            moved = []
-            for r in frame.itertuples():
-                if (r.market, r.sku) != at:
-                    at, free, need = (r.market, r.sku), {}, {}
-                left, lack = free.get(r.source, r.source_free), need.get(r.target, r.target_need)
-                units = min(r.units, left, lack)
-                if units > 0:
-                    free[r.source], need[r.target] = left - units, lack - units
-                    moved.append((r.market, r.sku, r.lane, r.source, r.target, units))
-            yield pd.DataFrame(moved, columns=["market", "sku", "lane", "source", "target", "moved"])
-
-    shape = "market string, sku long, lane string, source long, target long, moved long"
-    ordered = candidates.repartition("market", "sku").sortWithinPartitions("market", "sku", F.desc("benefit"), "transit", "lane")
-    return ordered.mapInPandas(settle, shape)
+    def ends(rows: DataFrame, name: str, size: str) -> DataFrame:
+        walk = Window.partitionBy(*keys).orderBy(F.desc(size), name).rowsBetween(Window.unboundedPreceding, 0)
+        held = {c: F.col(c) if c == name else F.lit(None).cast(rows.schema[name].dataType) for c in ("source", "target")}
+        return rows.where(F.col(size) > 0).withColumn("at", F.sum(size).over(walk)).select(*keys, "at", *(v.alias(c) for c, v in held.items()))
+
+    cuts = ends(supply, "source", "free").unionByName(ends(demand, "target", "need"))
+    cuts = cuts.groupBy(*keys, "at").agg(F.max("source").alias("source"), F.max("target").alias("target"))
+    back = Window.partitionBy(*keys).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("at", 1, 0).over(Window.partitionBy(*keys).orderBy("at"))
+    pieces = cuts.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in ("source", "target")} | {"moved": F.col("at") - before})
+    return pieces.where("source is not null and target is not null").select(*keys, "source", "target", "moved")
+
+
+def transfers(supply: DataFrame, demand: DataFrame, lanes: DataFrame, rounds: int) -> DataFrame:
+    """round, sku, source, target and moved: supply(sku, area, source, free) moved to demand(sku, area, target, need) over lanes(round, origin, destination).
+
+    Round by round, from 0, what is still free in a lane's origin is matched with what its destinations
+    still lack; a destination has one origin a round, so a source or target is in one group a round.
+    Each round's moves are written before the next reads them.
+    """
+    spark = supply.sparkSession
+    done = None
+    for k in range(rounds):
+        lane = lanes.where(F.col("round") == k).select("origin", "destination")
+        free, need = supply.withColumnRenamed("area", "origin"), demand.withColumnRenamed("area", "destination")
+        if done is not None:
+            given = done.groupBy("sku", "source").agg(F.sum("moved").alias("_gone"))
+            got = done.groupBy("sku", "target").agg(F.sum("moved").alias("_gone"))
+            free = free.join(given, ["sku", "source"], "left").withColumn("free", F.col("free") - F.coalesce("_gone", F.lit(0)))
+            need = need.join(got, ["sku", "target"], "left").withColumn("need", F.col("need") - F.coalesce("_gone", F.lit(0)))
+        asked = need.join(lane, "destination").select("sku", "origin", "target", "need")
+        path = scratch(spark, "moves")
+        match_intervals(free.select("sku", "origin", "source", "free"), asked, ["sku", "origin"]).select(F.lit(k).alias("round"), "sku", "source", "target", "moved").write.parquet(path)
+        moved = spark.read.parquet(path)
+        done = moved if done is None else done.unionByName(moved)
+    return done
 
 
 def replay_cells(cells: DataFrame, weeks: int, keys: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import inventory as inv
 from ..operators import supply
 from ..operators.supply import SUPPLY_SQL
+from ..sources import landing
+from ..sources.serving import ServingTable
 from ..sources.tables import locations, products, read, sale_lines, scratch
 from .evaluation import _quality, _QUALITY, error, tot, total
 from .forecast import _CAL, KEYS, PANEL_SQL, _calibrated, _evals, _panel
@@ -325,40 +327,40 @@ def infer_source_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT dataset, files_match AS files_match, rows FROM (SELECT 'events' AS dataset, true AS files_match, count(*) AS rows FROM events UNION ALL SELECT 'supplier', true, count(*) FROM supplier)", base=False)
+@query("""SELECT object, declared, landed, status FROM (SELECT CAST(y AS VARCHAR) AS object, n AS declared, CASE WHEN y <> 1993 THEN n END AS landed, CASE y WHEN 1993 THEN 'missing' WHEN 1995 THEN 'altered' ELSE 'intact' END AS status FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1)
+  UNION ALL SELECT 'stray', NULL, count(*), 'extra' FROM orders WHERE year(o_orderdate) = 1996)""", base=False)
 def object_hash_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes and digest of each landed file against a manifest taken when it was written, and the rows read from it."""
-    out = None
-    for name in ("events", "supplier"):
-        path, noted = scratch(spark, f"land-{name}"), scratch(spark, f"manifest-{name}")
-        read(spark, sf_dir, name).write.parquet(path)
-        own = lambda: spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", F.sha2("content", 256).alias("digest"), "length")  # noqa: B023, E731
-        own().write.parquet(noted)
-        manifest = spark.read.parquet(noted).select("path", F.col("digest").alias("noted"), F.col("length").alias("noted_length"))
-        match = F.coalesce((F.col("digest") == F.col("noted")) & (F.col("length") == F.col("noted_length")), F.lit(False))
-        files = own().join(manifest, "path", "full").agg(F.coalesce(F.bool_and(match), F.lit(True)).alias("files_match"))
-        part = files.crossJoin(spark.read.parquet(path).agg(F.count("*").alias("rows"))).select(F.lit(name).alias("dataset"), "files_match", "rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Orders landed by year against the manifest of what was sent, with three faults on the way: a year lost, a cent changed in one order of another, a folder that nobody sent."""
+    sent = read(spark, sf_dir, "orders").withColumn("object", F.year("o_orderdate").cast("string"))
+    manifest = landing.declare(sent)
+    first = sent.where("object = '1995'").agg(F.min("o_orderkey").alias("_first"))  # one row
+    touched = sent.where("object <> '1993'").crossJoin(F.broadcast(first))
+    arrived = touched.withColumn("o_totalprice", F.when(F.col("o_orderkey") == F.col("_first"), F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice"))).drop("_first")
+    stray = sent.where("object = '1996'").withColumn("object", F.lit("stray"))
+    path = landing.land_objects(arrived.unionByName(stray))
+    return landing.check_objects(spark.read.parquet(manifest), spark.read.option("basePath", path).schema(sent.schema).parquet(path))
 
 
 @query(f"SELECT category, market, week, round(ma13, 4) AS forecast FROM evals WHERE year(week) = 2001")
 def select_active_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts written under their year as version; a pointer table names the one that is read."""
-    path = scratch(spark, "versions")
-    _evals(spark, sf_dir).select(*KEYS, "week", F.round("ma13", 4).alias("forecast"), F.year("week").alias("version_id")).write.partitionBy("version_id").parquet(path)
-    active = spark.read.parquet(path).agg(F.max("version_id").alias("version_id"))  # one row: exactly one version is active
-    return spark.read.parquet(path).join(F.broadcast(active), "version_id").select(*KEYS, "week", "forecast")
+    """Forecasts of two years published as versions; then the earlier is activated again and the later once more, and one written and never activated stays unseen."""
+    table = ServingTable(spark, scratch(spark, "versions"))
+    rows = _evals(spark, sf_dir).select(*KEYS, "week", F.round("ma13", 4).alias("forecast"))
+    older, newer = (table.publish(rows.where(F.year("week") == y)) for y in (2000, 2001))
+    table.activate(older)
+    table.activate(newer)
+    table.write(rows.limit(1))
+    return table.read()
 
 
 @query(f"SELECT market, count(*) AS rows, round({tot('p50')}, 4) AS p50, round({tot('p90')}, 4) AS p90 FROM ({_CAL}) GROUP BY market")
 def sink_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forecast published by market partitions, twice: the second write replaces the first, and readers see one copy."""
+    """A forecast published by market partitions, twice: the second version takes the place of the first when it is whole, and readers see one copy."""
     rows = _calibrated(spark, sf_dir).select("market", "category", "week", "p50", "p90")
-    path = scratch(spark, "published")
-    rows.write.partitionBy("market").parquet(path)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("market").parquet(path)
-    return spark.read.parquet(path).groupBy("market").agg(F.count("*").alias("rows"), F.round(total(F.col("p50")), 4).alias("p50"), F.round(total(F.col("p90")), 4).alias("p90"))
+    table = ServingTable(spark, scratch(spark, "published"))
+    for _ in range(2):
+        table.publish(rows, ["market"])
+    return table.read().groupBy("market").agg(F.count("*").alias("rows"), F.round(total(F.col("p50")), 4).alias("p50"), F.round(total(F.col("p90")), 4).alias("p90"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import canonical as canon
@@ -10,6 +10,7 @@ from ..operators import horizons, supply
 from ..operators import inventory as inv
 from ..sources.tables import category_weeks, locations, products, sale_lines, scratch
 from .registration import Registry
+from .supply import _MOVES, _moves
 
 TODAY = "2000-12-31"
 
@@ -185,19 +186,53 @@ def inv_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.allocate(demand, ["location", "sku"], "wanted", "pool", ["channel"]).select("location", "sku", "channel", "wanted", "allocated")
 
 
-@query(None)
+LANE_ROUNDS = 3
+_LANES = f"""lanes AS (SELECT 0 AS round, nation AS origin, nation AS destination FROM (SELECT DISTINCT nation FROM locations)
+  UNION ALL SELECT r, origin, destination FROM (SELECT origin, destination, row_number() OVER (PARTITION BY destination ORDER BY units DESC, origin) AS r
+    FROM (SELECT origin, destination, sum(units) AS units FROM {_MOVES} WHERE origin <> destination GROUP BY ALL)) WHERE r < {LANE_ROUNDS})"""
+
+
+def _round_sql(k: int) -> str:
+    """The CTEs of a round: what is left, the ends of all stretches, and the moves."""
+    past = " UNION ALL ".join(f"SELECT * FROM moves{j}" for j in range(k)) or "SELECT 0 AS round, 0 AS sku, 0 AS source, 0 AS target, 0 AS moved WHERE false"
+    return f"""past{k} AS ({past}),
+free{k} AS (SELECT s.sku, s.nation AS origin, s.location AS source, s.free - coalesce(g, 0) AS free FROM spare s LEFT JOIN (SELECT sku, source, sum(moved) AS g FROM past{k} GROUP BY ALL) p ON p.sku = s.sku AND p.source = s.location),
+need{k} AS (SELECT t.sku, l.origin, t.location AS target, t.need - coalesce(g, 0) AS need FROM short t JOIN lanes l ON l.destination = t.nation AND l.round = {k} LEFT JOIN (SELECT sku, target, sum(moved) AS g FROM past{k} GROUP BY ALL) p ON p.sku = t.sku AND p.target = t.location),
+cuts{k} AS (SELECT sku, origin, cut, max(source) AS source, max(target) AS target FROM (
+    SELECT sku, origin, source, NULL AS target, sum(free) OVER (PARTITION BY sku, origin ORDER BY free DESC, source ROWS UNBOUNDED PRECEDING) AS cut FROM free{k} WHERE free > 0
+    UNION ALL SELECT sku, origin, NULL, target, sum(need) OVER (PARTITION BY sku, origin ORDER BY need DESC, target ROWS UNBOUNDED PRECEDING) FROM need{k} WHERE need > 0) GROUP BY ALL),
+pieces{k} AS (SELECT sku, origin, cut - lag(cut, 1, 0) OVER (PARTITION BY sku, origin ORDER BY cut) AS moved, first_value(source IGNORE NULLS) OVER (PARTITION BY sku, origin ORDER BY cut ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS source,
+    first_value(target IGNORE NULLS) OVER (PARTITION BY sku, origin ORDER BY cut ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS target FROM cuts{k}),
+moves{k} AS (SELECT {k} AS round, sku, source, target, CAST(moved AS BIGINT) AS moved FROM pieces{k} WHERE source IS NOT NULL AND target IS NOT NULL)"""
+
+
+_TRANSFERS = f""", spare AS (SELECT sku, nation, location, atp - CAST(ceil(coalesce(daily, 0) * 28) AS BIGINT) AS free FROM cellx JOIN (SELECT location, nation FROM locations) USING (location) WHERE atp > ceil(coalesce(daily, 0) * 28)),
+short AS (SELECT sku, nation, location, CAST(ceil(daily * 28) AS BIGINT) - atp AS need FROM cellx JOIN (SELECT location, nation FROM locations) USING (location) WHERE daily > 0 AND ceil(daily * 28) > atp),
+{_LANES}, {", ".join(_round_sql(k) for k in range(LANE_ROUNDS))}"""
+_MOVED = "(" + " UNION ALL ".join(f"SELECT * FROM moves{k}" for k in range(LANE_ROUNDS)) + ")"
+lane_query = Registry(INV_SQL + _TRANSFERS)
+
+
+@lane_query(f"SELECT round, sku, source, target, moved FROM {_MOVED}")
 def transfer_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moves of free stock to cells that lack it, over lanes to the next sites of a market."""
-    path = scratch(spark, "cells")  # both sides read them
-    _cells(spark, sf_dir).select("market", "sku", "location", "atp", "daily", "cost").write.parquet(path)
-    cells = spark.read.parquet(path)
-    spare = cells.withColumn("source_free", F.col("atp") - F.ceil(F.coalesce("daily", F.lit(0.0)) * 28)).where("source_free > 0").select("market", "sku", F.col("location").alias("source"), "source_free")
-    short = cells.where("daily > 0").withColumn("target_need", F.ceil(F.col("daily") * 28) - F.col("atp")).where("target_need > 0").select("market", "sku", F.col("location").alias("target"), "target_need", F.col("cost"))
-    pairs = spare.join(short, ["market", "sku"]).where("source <> target")
-    gap = F.abs(F.col("source") - F.col("target"))
-    rows = pairs.select("market", "sku", F.concat_ws(">", "source", "target").alias("lane"), "source", "target", F.least("source_free", "target_need").alias("units"),
-                        (F.least("source_free", "target_need") * F.col("cost")).alias("benefit"), (1 + gap % 7).alias("transit"), "source_free", "target_need")
-    return inv.transfers(rows)
+    """Moves of free stock to cells that lack it: within the nation first, then over the lanes that carried most to it.
+
+    Free is what exceeds four weeks of demand, need what four weeks lack.
+    """
+    path = scratch(spark, "cells")  # both sides of each round read them
+    sites = locations(spark, sf_dir).select("location", "nation")
+    _cells(spark, sf_dir).join(sites, "location").select("nation", "sku", "location", "atp", "daily").write.parquet(path)
+    weeks = F.ceil(F.coalesce("daily", F.lit(0.0)) * 28)
+    cells = spark.read.parquet(path).withColumns({"area": F.col("nation"), "left": F.col("atp") - weeks})
+    spare = cells.where("left > 0").select("sku", "area", F.col("location").alias("source"), F.col("left").alias("free"))
+    short = cells.where("daily > 0 and left < 0").select("sku", "area", F.col("location").alias("target"), (-F.col("left")).alias("need"))
+    carried = _moves(spark, sf_dir).where("origin <> destination").groupBy("origin", "destination").agg(F.sum("units").alias("units"))
+    rank = F.row_number().over(Window.partitionBy("destination").orderBy(F.desc("units"), "origin"))
+    lanes = carried.withColumn("round", rank).where(F.col("round") < LANE_ROUNDS).select("round", "origin", "destination")
+    own = sites.select(F.lit(0).alias("round"), F.col("nation").alias("origin"), F.col("nation").alias("destination")).distinct()
+    known = scratch(spark, "lanes")  # each round reads them
+    own.unionByName(lanes).write.parquet(known)
+    return inv.transfers(spare, short, spark.read.parquet(known), LANE_ROUNDS)
 
 
 @query("SELECT location, n, round(on_time, 6) AS on_time, CASE WHEN on_time < 0.55 OR n < 20 THEN 'high' WHEN on_time < 0.65 THEN 'medium' ELSE 'low' END AS risk, list_filter([CASE WHEN on_time < 0.55 THEN 'LATE' END, CASE WHEN n < 20 THEN 'FEW_OBSERVATIONS' END], lambda x: x IS NOT NULL) AS reasons FROM (SELECT location, count(*) AS n, avg(CASE WHEN date_diff('day', business_date, CAST(known_as_of AS DATE)) <= 60 THEN 1.0 ELSE 0.0 END) AS on_time FROM sales GROUP BY location)")
@@ -276,4 +311,4 @@ def rpt_value_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _health(spark, sf_dir).groupBy("market", "category").agg(F.sum(value).alias("value_minor"), dead.alias("dead_minor"), F.round(dead / F.sum(value), 6).alias("dead_share"))
 
 
-QUERIES, ORACLES = query.queries, query.oracles
+QUERIES, ORACLES = query.queries | lane_query.queries, query.oracles | lane_query.oracles

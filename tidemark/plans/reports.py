@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import money, text
 from ..operators import inventory as inv
 from ..operators.prefix import running_before
-from ..operators import supply
+from ..operators import supply, topology
 from ..sources.tables import locations, products, read, sale_lines
-from .inventory import _NONE, _CONFLICT, _ORDERS, _Z, INV_SQL, TODAY, _cells, _health, _lots, _site_terms, _supply, ordered
+from .inventory import _NONE, _CONFLICT, _ORDERS, _Z, INV_SQL, TODAY, _cells, _health, _lots, _SAFETY, _site_terms, _supply, cell_forecasts, ordered
 from .registration import Registry
 from .supply import _CAPACITY, _MOVES, _WASTE, _capacity, _moves, _sites, _waste
 
@@ -94,14 +94,29 @@ def inv_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _capacity(spark, sf_dir).groupBy("location").agg(F.max("year").alias("year"), F.max_by("ceiling", "year").alias("ceiling"), F.when(F.count("*") >= 3, "observed").otherwise("sparse").alias("evidence"))
 
 
-_NODES = f"(SELECT CAST(location AS VARCHAR) AS node, 'store' AS kind, {d('daily * 7')} AS weekly, count(*) AS cells FROM cellx WHERE daily > 0 GROUP BY location UNION ALL SELECT market, 'market', {d('daily * 7')}, count(*) FROM cellx WHERE daily > 0 GROUP BY market)"
+_EDGES = "edges AS (SELECT DISTINCT CAST(location AS VARCHAR) AS child, nation AS parent FROM locations UNION ALL SELECT DISTINCT nation, market FROM locations UNION ALL SELECT DISTINCT market, 'WORLD' FROM locations)"
 
 
-@query(f"SELECT node, kind, round(weekly, 4) AS weekly, cells FROM {_NODES}")
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites, the nation's warehouse, the market's hub and the whole, as edges from child to parent."""
+    sites = locations(spark, sf_dir)
+    pairs = F.explode(F.array(*(F.struct(c.alias("child"), p.alias("parent")) for c, p in ((F.col("location").cast("string"), F.col("nation")), (F.col("nation"), F.col("market")), (F.col("market"), F.lit("WORLD"))))))
+    return sites.select(pairs.alias("x")).select("x.child", "x.parent").distinct()
+
+
+_SITE_WEEKS = f"(SELECT CAST(location AS VARCHAR) AS node, h + 1 AS h, sum(CAST(share * p50[h + 1] AS DECIMAL(28,6))) AS p50 FROM {_SAFETY}, (SELECT unnest(range(26)) AS h) GROUP BY ALL)"
+
+
+@query(f", {_EDGES}, own AS {_SITE_WEEKS} SELECT node, CAST(h AS INTEGER) AS h, CAST(sum((p50)) AS DOUBLE) AS p50 FROM (SELECT * FROM own UNION ALL SELECT e.parent, h, p50 FROM own JOIN edges e ON e.child = node"
+       " UNION ALL SELECT f.parent, h, p50 FROM own JOIN edges e ON e.child = node JOIN edges f ON f.child = e.parent UNION ALL SELECT g.parent, h, p50 FROM own JOIN edges e ON e.child = node JOIN edges f ON f.child = e.parent JOIN edges g ON g.child = f.parent) GROUP BY node, h")
 def inv_node_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly demand of each site, and of the market's pool as the sum of those it supplies; one pass, by rollup of both keys."""
-    rows = _cells(spark, sf_dir).where("daily > 0").select(F.array(F.struct(F.col("location").cast("string").alias("node"), F.lit("store").alias("kind")), F.struct(F.col("market").alias("node"), F.lit("market").alias("kind"))).alias("nodes"), (F.col("daily") * 7).alias("w"))
-    return rows.select(F.explode("nodes").alias("x"), "w").groupBy("x.node", "x.kind").agg(F.round(dsum(F.col("w")), 4).alias("weekly"), F.count("*").alias("cells"))
+    """P50 of each coming week at every site, and at the warehouses, hubs and whole that supply it, by a roll-up over the edges of the network."""
+    cells = _cells(spark, sf_dir).where("daily > 0").withColumns({"days": F.lit(7.0), "variance": F.lit(None).cast("double")})
+    told = inv.forecast_arrays(cell_forecasts(spark, sf_dir), ["category", "market"], TODAY)
+    weeks = inv.protected(cells, cell_forecasts(spark, sf_dir), ["category", "market"], TODAY, 0.96).select("location", "category", "market", "share").join(told, ["category", "market"])
+    rows = weeks.select(F.col("location").cast("string").alias("node"), "share", F.posexplode("p50").alias("at", "v")).select("node", (F.col("at") + 1).alias("h"), (F.col("share") * F.col("v")).cast("decimal(28,6)").alias("p50"))
+    total = topology.roll_up(rows, _edges(spark, sf_dir), ["p50"], ["h"])
+    return total.select("node", "h", F.col("p50").cast("double").alias("p50"))
 
 
 _LANES = f"(SELECT origin, destination, sum(units) AS carried FROM {_MOVES} WHERE business_date < DATE '2000-01-01' GROUP BY ALL HAVING count(*) >= 3)"
@@ -129,10 +144,17 @@ def inv_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).where("active or on_hand > 0 or on_order > 0").select("sku", "location", "atp", "position", F.when(F.col("active"), "active").otherwise("residual").alias("kind"))
 
 
-@query(f"SELECT market, sku, round({d('daily')}, 6) AS daily, sum(position) AS position FROM cellx GROUP BY ALL")
+@query(f", {_EDGES}, own AS (SELECT CAST(location AS VARCHAR) AS node, sku, sum(CAST(daily AS DECIMAL(28,6))) AS daily, CAST(sum(position) AS BIGINT) AS position FROM cellx GROUP BY ALL),"
+       " up1 AS (SELECT e.parent AS node, sku, sum((daily)) AS daily, CAST(sum(position) AS BIGINT) AS position FROM own JOIN edges e ON e.child = node GROUP BY ALL), up2 AS (SELECT e.parent AS node, sku, sum((daily)) AS daily, CAST(sum(position) AS BIGINT) AS position FROM up1 JOIN edges e ON e.child = node GROUP BY ALL),"
+       " up3 AS (SELECT e.parent AS node, sku, sum((daily)) AS daily, CAST(sum(position) AS BIGINT) AS position FROM up2 JOIN edges e ON e.child = node GROUP BY ALL)"
+       " SELECT node, sku, CAST(round(CAST(daily AS DOUBLE), 6) AS DOUBLE) AS daily, position FROM (SELECT * FROM up1 UNION ALL SELECT * FROM up2 UNION ALL SELECT * FROM up3)")
 def inv_node_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trailing demand of a market's warehouse: that of the sites behind it."""
-    return _cells(spark, sf_dir).groupBy("market", "sku").agg(F.round(dsum(F.col("daily")), 6).alias("daily"), F.sum("position").alias("position"))
+    """Trailing demand and stock of each product at the warehouses, hubs and whole: those of the sites behind them."""
+    rows = _cells(spark, sf_dir).select(F.col("location").cast("string").alias("node"), "sku", F.col("daily").cast("decimal(28,6)").alias("daily"), "position")
+    edges = _edges(spark, sf_dir)
+    total = topology.roll_up(rows, edges, ["daily", "position"], ["sku"])
+    upper = edges.select(F.col("parent").alias("node")).distinct()
+    return total.join(upper, "node", "left_semi").select("node", "sku", F.round(F.col("daily").cast("double"), 6).alias("daily"), "position")
 
 
 @query("SELECT sku, location, round(position / nullif(daily, 0), 6) AS days_supply, round(atp / nullif(daily, 0), 6) AS days_on_hand FROM cellx")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import canonical as canon
 from ..operators import inventory as inv
-from ..operators import supply
+from ..operators import supply, versions
 from ..sources import files
 from ..sources.tables import locations, products, read, sale_lines, scratch
 from .basics import market_sales
@@ -85,10 +85,33 @@ def location_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.select(F.col("location").alias("s_suppkey"), F.concat_ws("/", "market", "nation", F.col("location").cast("string")).alias("location_key"))
 
 
-@query("SELECT sku, product_name, category, dept FROM products")
+_BANDS = """, seen AS (SELECT s.sku, CAST(date_trunc('quarter', business_date) AS DATE) AS quarter, CASE WHEN sum(gross_minor) < sum(s.units) * any_value(price_minor) THEN 'below' WHEN sum(gross_minor) < 2 * sum(s.units) * any_value(price_minor) THEN 'list' ELSE 'above' END AS price_band,
+    max(known_as_of) AS known FROM sales s JOIN products p ON p.sku = s.sku GROUP BY ALL),
+starts AS (SELECT * FROM (SELECT *, lag(price_band) OVER (PARTITION BY sku ORDER BY quarter) AS before FROM seen) WHERE before IS NULL OR before <> price_band),
+versions AS (SELECT sku, row_number() OVER (PARTITION BY sku ORDER BY quarter) AS version_no, price_band, quarter AS valid_from, lead(quarter) OVER (PARTITION BY sku ORDER BY quarter) AS valid_to, known AS known_from FROM starts)"""
+versioned = Registry(_BANDS)
+
+
+def product_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of each product by the band in which its quarters' prices lie against its list price."""
+    lines = sale_lines(spark, sf_dir).join(products(spark, sf_dir).select("sku", "price_minor"), "sku")
+    sums = lines.groupBy("sku", F.to_date(F.trunc("business_date", "quarter")).alias("quarter")).agg(F.sum("gross_minor").alias("g"), F.sum(F.col("units") * F.col("price_minor")).alias("l"), F.max("known_as_of").alias("known"))
+    band = F.when(F.col("g") < F.col("l"), "below").when(F.col("g") < 2 * F.col("l"), "list").otherwise("above")
+    return versions.compress(sums.select("sku", "quarter", band.alias("price_band"), "known"), ["sku"], "quarter", ["price_band"], "known")
+
+
+@versioned("SELECT sku, product_name, category, dept, version_no, price_band, valid_from, valid_to, known_from FROM versions JOIN products USING (sku)")
 def canon_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest row of each product; versions here are its one row."""
-    return canon.latest(products(spark, sf_dir), ["sku"], ["price_minor", "product_name"]).select("sku", "product_name", "category", "dept")
+    """Versions of every product that sold: a quarter whose prices lie in another band starts one; a version is known when the last line of its first quarter is."""
+    names = products(spark, sf_dir).select("sku", "product_name", "category", "dept")
+    return product_versions(spark, sf_dir).join(names, "sku").select("sku", "product_name", "category", "dept", "version_no", "price_band", "valid_from", "valid_to", "known_from")
+
+
+@versioned("SELECT price_band, version_no, count(*) AS lines, CAST(sum(units) AS BIGINT) AS units FROM sales s JOIN versions v ON v.sku = s.sku AND business_date >= valid_from AND (valid_to IS NULL OR business_date < valid_to) GROUP BY ALL")
+def canon_product_at_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and units by the version that was valid on the day of the sale: every line finds one."""
+    rows = versions.effective(sale_lines(spark, sf_dir).select("sku", "business_date", "units"), product_versions(spark, sf_dir), ["sku"], "business_date")
+    return rows.groupBy("price_band", "version_no").agg(F.count("*").alias("lines"), F.sum("units").alias("units"))
 
 
 @query("SELECT location, location_name, market FROM locations WHERE location IN (SELECT location FROM sales WHERE business_date > DATE '2001-01-01')")
@@ -234,4 +257,4 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"))
 
 
-QUERIES, ORACLES = query.queries, query.oracles
+QUERIES, ORACLES = query.queries | versioned.queries, query.oracles | versioned.oracles
