@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import horizons as hz
+from ..operators.sketches import RANK_ERROR, SketchStore, fallback
 from ..sources.tables import category_weeks, products, scratch
 from .basics import market_sales
 from .forecast import KEYS
@@ -158,4 +159,37 @@ def fc_driver_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(*(F.coalesce(k, F.lit("portfolio")).alias(k) for k in KEYS), "origin", "driver", "contribution")
 
 
+_MISSES = """(SELECT market, year, units - mean AS miss FROM (SELECT market, year(week) AS year, units, avg(units) OVER (PARTITION BY sku, market ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS mean
+  FROM (SELECT sku, market, CAST(date_trunc('week', business_date) AS DATE) AS week, sum(units) AS units FROM msales GROUP BY ALL)) WHERE mean IS NOT NULL)"""
+
+
+def _sku_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mean of its last eight weeks with sales missed of each product's week in a market."""
+    weeks = market_sales(spark, sf_dir).groupBy("sku", "market", F.to_date(F.date_trunc("week", "business_date")).alias("week")).agg(F.sum("units").alias("units"))
+    mean = F.avg("units").over(Window.partitionBy("sku", "market").orderBy("week").rowsBetween(-8, -1))
+    return weeks.withColumn("mean", mean).where("mean is not null").select("market", F.year("week").alias("year"), (F.col("units") - F.col("mean")).alias("miss"))
+
+
+@query(f"SELECT market, count(*) AS n, true AS own, true AS p50_within, true AS p90_within FROM {_MISSES} GROUP BY market")
+def fc_calibrate_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P50 and P90 offsets of each market at product grain from yearly sketches, held against the exact ranks of all misses.
+
+    A quantile is within bounds when the share of misses up to it is within RANK_ERROR of its level, ties counted either way.
+    """
+    path = scratch(spark, "misses")
+    _sku_misses(spark, sf_dir).write.partitionBy("year").parquet(path)
+    rows = spark.read.parquet(path)
+    store, whole = SketchStore(spark, scratch(spark, "sketches"), ["market"], "miss", "year"), SketchStore(spark, scratch(spark, "sketches"), [], "miss", "year")
+    for s in (store, whole):
+        s.add(rows)
+    told = fallback(store.quantiles([0.5, 0.9]), whole.quantiles([0.5, 0.9]), ["market"], 20)
+    judged = rows.join(F.broadcast(told), "market")  # a row for each market
+    within = {}
+    for k, level in enumerate((0.5, 0.9)):
+        q = F.col("q")[k]
+        up_to, below = F.avg((F.col("miss") <= q).cast("double")), F.avg((F.col("miss") < q).cast("double"))
+        within[f"p{int(level * 100)}_within"] = (up_to >= level - RANK_ERROR) & (below <= level + RANK_ERROR)
+    return judged.groupBy("market").agg(F.max("n").alias("n"), F.bool_and("own").alias("own"), *(v.alias(k) for k, v in within.items()))
+
+
 QUERIES, ORACLES = query.queries, query.oracles
