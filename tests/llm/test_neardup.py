@@ -78,3 +78,24 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "u long, v long")
     got = dict(connected_components(edges).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_a_repeated_doc_id_is_one_document_and_null_ids_link_by_text(spark):
+    r = random.Random(2)
+    vocab = [f"v{i}" for i in range(5000)]
+    one, two, far = ([r.choice(vocab) for _ in range(200)] for _ in range(3))
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (5, " ".join(far)), (None, near(far)), (None, "quite alone here"), (None, "quite alone here"), (None, None), (9, "quite alone here too"), (9, "quite alone here too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shuffled in (df, df.repartition(4), df.orderBy("text")):
+        got = sorted(((x.doc_id, x.component_id, x.kept) for x in near_duplicates(shuffled).collect()), key=str)
+        want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True), (9, 9, True), (9, 9, True), (None, 5, False), (None, None, True), (None, None, True), (None, None, True)]
+        assert got == sorted(want, key=str)
+
+
+def test_carried_columns_judge_rows_by_their_text(spark):
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, words, b"a"), (1, "other text of five words", b"b"), (2, words, b"c"), (None, None, b"d")]
+    got = {x.key: (x.component_id, x.group) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, key binary"), carry=("key",)).collect()}
+    groups = {bytes(k): g for k, (_, g) in got.items()}
+    assert groups[b"a"] == groups[b"c"] != groups[b"b"] and groups[b"d"] is None

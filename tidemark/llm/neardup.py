@@ -84,8 +84,8 @@ def _signed(width: int, n_perm: int, rows: int):
                 sketches.append((signatures[-1] & 0xFF).astype(np.uint8).tobytes())
             keys = band_keys(np.array(signatures, dtype=np.uint32).reshape(len(sizes), n_perm), rows)
             lists = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.ravel()))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "bands", "sketch"])
+            columns = [batch.column(0), *batch.columns[2:], pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *batch.schema.names[2:], "n_shingles", "print", "bands", "sketch"])
 
     return run
 
@@ -95,7 +95,9 @@ def _set_rows(width: int):
         hasher = Hasher()
         for batch in batches:
             sets = [x.tobytes() for x in _each_set(batch, width, hasher)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "members"])
+            # a text of the same doc_id and hash may still be another one
+            own = pa.array([hashlib.blake2b(x, digest_size=16).digest() == p for x, p in zip(sets, batch.column(2).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "members"]).filter(own)
 
     return run
 
@@ -210,10 +212,14 @@ def _settle(compare, bound: int):
     return run
 
 
-def _sets_of(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+def _sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """id and members of the classes that occur in pairs(u, v): the set of the text that stands for each."""
+    ids = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
     # ids grow with the corpus: both sides are shuffled, whatever the size
-    return written(texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_set_rows(width), "id long, members binary"))
+    asked = classes.join(ids.hint("merge"), "rep", "left_semi").select("rep", "print", F.col("doc_id").alias("of"), F.col("h").alias("of_h"))
+    found = texts.join(asked.hint("merge"), (F.col("h") == F.col("of_h")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    sets = found.select("rep", "text", "print").mapInArrow(_set_rows(width), "id long, members binary")
+    return written(sets.dropDuplicates(["id"]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,45 +272,78 @@ def _between_parts(placed: DataFrame, sets: DataFrame, compare, bound: int) -> D
     return to_main.union(_block_links(open_rows, open_rows.where("part <> low"), sets, compare, bound))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, n_perm: int = 192, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, n_perm: int = 192, rows: int = 6, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
 
     Documents link when 100 * |A & B| >= percent * |A | B| over their sets of `width`-word
     shingles (lower-cased A-Z); a text of fewer words is one shingle; a null, empty or blank text
     has none and links with nothing. component_id is the least doc_id that links reach, itself
-    included; kept marks that document. Rows that repeat a doc_id are one document for links and
-    each get a row. Extra columns are ignored; an empty table gives an empty one.
+    included; kept marks that document. Extra columns are ignored; an empty table gives an empty one.
+
+    Rows that repeat a doc_id are one document: what links to one of its texts is linked to all of
+    them, and each row has its own n_shingles. A null doc_id says nothing of identity: such rows link
+    by their texts, take the least doc_id of their component, which is null where it has none, and are
+    kept only where it is null.
+
+    With `carry`, these columns of docs come too, each row is judged by its text alone, whatever its
+    doc_id, and `group` tells the component of a row: null for texts without shingles.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_signed(width, n_perm, rows), "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary"))
+    apart = bool(carry)
+    text = F.col("text").cast("string")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), *carry)
+    texts = given.select("doc_id", "text", "h")
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
+    signed = given.mapInArrow(_signed(width, n_perm, rows), f"doc_id long, h long{kinds}, n_shingles long, print binary, bands array<long>, sketch binary")
+    signed = written(signed.withColumn("row", F.monotonically_increasing_id()))
+    # a class has the row of its least doc_id as its number; it stays that row, as signed is written
+    lead = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "row")).alias("lead")
     # written, so that both sides of the join below are plain shuffles and a large class can be split
-    classes = written(signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep")))
+    classes = written(signed.where("print is not null").groupBy("print").agg(lead).select("print", "lead.doc_id", "lead.h", F.col("lead.row").alias("rep")))
     members = written(
         signed.where("print is not null")
-        .join(classes, "print")
-        .select("doc_id", "n_shingles", "rep", *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "sketch")))
+        .join(classes.select("print", "rep"), "print")
+        .select("doc_id", "n_shingles", "rep", *carry, *(F.when(F.col("row") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "sketch")))
     )
     banded = members.where("bands is not null").select("rep", F.explode("bands").alias("key"))
     leads = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
     crowd = written(banded.join(leads, "key"))
 
     met = crowd.where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
-    sketches = members.where("sketch is not null").select("rep", "sketch").dropDuplicates(["rep"])
+    sketches = members.where("sketch is not null").select("rep", "sketch")  # one for each class
     least = _least_agreement(n_perm, percent)
     pairs = written(_likely_pairs(met, sketches, least))
-    sets = _sets_of(texts, pairs, width)
+    sets = _sets_of(texts, classes, pairs, width)
     links = written(_confirmed(pairs, sets, percent))
     parts = written(connected_components(links))
 
     placed = written(crowd.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("part")))
     # documents unlike their leads too: whatever the sketches say may link across parts gets its full set
     alike = written(_between_parts(placed, sketches.select(F.col("rep").alias("id"), F.col("sketch").alias("members")), _alike, least))
+    more = None
     if alike.head(1):
-        more = written(_between_parts(placed, _sets_of(texts, alike, width), _across, percent))
-        if more.head(1):
-            parts = written(connected_components(links.union(more)))
-
-    whole = members.select("doc_id", "n_shingles", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    found = whole.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    alone = signed.where("print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        more = written(_between_parts(placed, _sets_of(texts, classes, alike, width), _across, percent))
+    # classes of one doc_id are one document
+    same = None if apart else written(_same_documents(members))
+    every = [links, *(x for x in (more, same) if x is not None and x.head(1))]
+    if len(every) > 1:
+        joined = every[0].select("u", "v")
+        for x in every[1:]:
+            joined = joined.union(x.select("u", "v"))
+        parts = written(connected_components(joined))
+
+    # the least doc_id of each component of several classes
+    of_part = parts.withColumnRenamed("id", "rep").join(classes.select("rep", "doc_id"), "rep")
+    names = of_part.groupBy("component_id").agg(F.min("doc_id").alias("name"))
+    named = written(of_part.select("rep", "component_id").join(names, "component_id").select("rep", F.col("component_id").alias("part"), "name"))
+    whole = members.select("doc_id", "n_shingles", "rep", *carry).join(named, "rep", "left").join(classes.select("rep", F.col("doc_id").alias("own")), "rep")
+    found = whole.select("doc_id", "n_shingles", F.when(F.col("part").isNull(), F.col("own")).otherwise(F.col("name")).alias("component_id"), F.coalesce("part", "rep").alias("group"), *carry)
+    alone = signed.where("print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"), *carry)
+    out = found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out if apart else out.drop("group")
+
+
+def _same_documents(members: DataFrame) -> DataFrame:
+    """Links between the classes of each doc_id that has several: its least class with each other one."""
+    of = members.where("doc_id is not null").groupBy("doc_id", "rep").agg(F.lit(1).alias("one"))
+    first = of.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last").select("doc_id", "v")
+    return of.join(first, "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
