@@ -36,11 +36,13 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apart and rows without an id by their text. Of rows alike in both, that with the least lang,
     source and n_chars stays, nulls first. Null and empty texts are in no group.
     """
-    keyed = docs.select(*COLUMNS).withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
-    groups = neardup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
-    ids = groups.distinct().join(keyed.select("key", "doc_id").distinct(), "key")
+    text = F.when(F.col("text").isNull(), "-").otherwise(F.concat(F.lit("="), "text"))
+    # 128 bits: at any number of documents no two of them share a key
+    keyed = docs.select(*COLUMNS).withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))))
+    groups = neardup.near_duplicates(keyed, carry=("key",)).select("doc_id", "key", "group")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
-    stay = ids.groupBy("component_id").agg(first.alias("key")).select("key")
+    alone = groups.where("group is null").select("key").distinct()
+    stay = groups.where("group is not null").groupBy("group").agg(first.alias("key")).select("key").union(alone)
     rows = keyed.join(stay, "key").groupBy("key").agg(F.min(F.struct("doc_id", "lang", "source", "n_chars", "text")).alias("row"))
     return rows.select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
 
