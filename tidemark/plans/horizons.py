@@ -100,7 +100,7 @@ def _judged(rows: DataFrame, sets: list[list[str]], *keys: str) -> DataFrame:
     return found.select(*keys, "n", *ratios, best.alias("champion"))
 
 
-@query(f"SELECT market, category, h, n, {_SQL_RATIO}, {_SQL_BEST} AS champion FROM (SELECT market, category, h, count(*) AS n, sum(CAST(actual AS DECIMAL(18,6))) AS act, {_SQL_ERR} FROM hevals GROUP BY GROUPING SETS ((), (h), (market, h), (category, h)))")
+@query(f"SELECT market, category, CAST(h AS INTEGER) AS h, n, {_SQL_RATIO}, {_SQL_BEST} AS champion FROM (SELECT market, category, h, count(*) AS n, sum(CAST(actual AS DECIMAL(18,6))) AS act, {_SQL_ERR} FROM hevals GROUP BY GROUPING SETS ((), (h), (market, h), (category, h)))")
 def fc_horizon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error and bias of every baseline at each horizon, whole and by market or category, and the champion of each."""
     return _judged(horizon_evals(spark, sf_dir), [[], ["h"], ["market", "h"], ["category", "h"]], "market", "category", "h")

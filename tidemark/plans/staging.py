@@ -88,7 +88,7 @@ def location_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BANDS = """, seen AS (SELECT s.sku, CAST(date_trunc('quarter', business_date) AS DATE) AS quarter, CASE WHEN sum(gross_minor) < sum(s.units) * any_value(price_minor) THEN 'below' WHEN sum(gross_minor) < 2 * sum(s.units) * any_value(price_minor) THEN 'list' ELSE 'above' END AS price_band,
     max(known_as_of) AS known FROM sales s JOIN products p ON p.sku = s.sku GROUP BY ALL),
 starts AS (SELECT * FROM (SELECT *, lag(price_band) OVER (PARTITION BY sku ORDER BY quarter) AS before FROM seen) WHERE before IS NULL OR before <> price_band),
-versions AS (SELECT sku, row_number() OVER (PARTITION BY sku ORDER BY quarter) AS version_no, price_band, quarter AS valid_from, lead(quarter) OVER (PARTITION BY sku ORDER BY quarter) AS valid_to, known AS known_from FROM starts)"""
+versions AS (SELECT sku, CAST(row_number() OVER (PARTITION BY sku ORDER BY quarter) AS INTEGER) AS version_no, price_band, quarter AS valid_from, lead(quarter) OVER (PARTITION BY sku ORDER BY quarter) AS valid_to, known AS known_from FROM starts)"""
 versioned = Registry(_BANDS)
 
 
