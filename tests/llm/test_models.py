@@ -174,6 +174,25 @@ def test_held_out_score_passes_the_base_on_the_table(spark):
     assert held[0] > held[1]
 
 
+def test_texts_sum_to_one_while_the_class_is_unsure(spark):
+    """All texts of up to four of five words, where one word is frequent and the others are counted and spelled."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    ids = [i for i in range(2000) if not held(i)]
+    rows = [(i, "x", "a") for i in ids[:40]] + [(i, f"r{i % 4}", "b") for i in ids[40:84]]
+    tried = [i for i in range(2000, 9000) if held(i)]
+    texts = [" ".join(t) for n in range(5) for t in itertools.product(("x", "r0", "r1", "r2", "r3"), repeat=n)]
+    assert len(texts) == 781
+    rows += [(i, t, None) for i, t in zip(tried, texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (1, 2, 1 << 10):
+        total = lm.score_texts(df, most_words=most).where(F.col("doc_id") >= 2000).agg(F.sum(F.pow(F.lit(10.0), "score"))).first()[0]
+        assert 0.5 < total <= 1 + 1e-5
+
+
 def test_odd_rows_of_models(spark):
     rows = [(None, "the water", "en", 1), (5, "the water", "en", 2), (5, "the water", "en", 2), (6, None, None, 3), (7, "x" * 30000, "en", 4), (8, "\x00 a", "fr", 5), (9, "𐐀𐐁 𠀀 𰀀", None, 6)]
     rows += [(i, "the other water", "en", 0) for i in range(20, 40)]
