@@ -1,3 +1,4 @@
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -66,6 +67,13 @@ def brute_rules(rows, support, confidence, lift):
     return out
 
 
+def brute_elsewhere(hosts, least, confidence):
+    """Whether a rule, with (rows, right) by host, is right in the hosts it can be known without."""
+    of, good = sum(n for n, _ in hosts), sum(r for _, r in hosts)
+    tried = [(n, r) for n, r in hosts if of > n and good - r >= least and good - r >= confidence * (of - n)]
+    return sum(r for _, r in tried) >= confidence * sum(n for n, _ in tried)
+
+
 def test_mined_rules_decide_pages_of_the_table_and_equal_brute_force(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = urls.filter_urls(pages).cache()
@@ -73,20 +81,29 @@ def test_mined_rules_decide_pages_of_the_table_and_equal_brute_force(spark):
     decided = out.where("rule is null and mined_confidence is not null")
     assert decided.count() > 20 and {r["verdict"] for r in decided.select("verdict").distinct().collect()} == {"allow", "block"}
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
-    rows = pages.select("url", urls.url_tokens(host, path).alias("tokens"), urls.fixed_verdict(host, path, urls.RULES)["verdict"].alias("v"), (F.pmod(F.xxhash64("url", F.lit(7)), F.lit(4)) == 0).alias("held")).distinct().collect()
+    rows = pages.select("url", host.alias("host"), urls.url_tokens(host, path).alias("tokens"), urls.fixed_verdict(host, path, urls.RULES)["verdict"].alias("v"), (F.pmod(F.xxhash64("url", F.lit(7)), F.lit(4)) == 0).alias("held")).distinct().collect()
     fits = [(set(r["tokens"]), r["v"]) for r in rows if r["v"] and not r["held"]]
     extents = {}
     for t in set().union(*(x for x, _ in fits)):
         own = frozenset(i for i, (x, _) in enumerate(fits) if t in x)
         if len(own) >= 0.005 * len(fits):
             extents.setdefault(own, []).append(t)
-    kept = {min(x) for x in extents.values()}
+    beyond = Counter(t for r in rows if not r["v"] for t in r["tokens"])
+    kept = {min(x, key=lambda t: (beyond[t], t)) for x in extents.values()}
     rules = brute_rules([(x & kept, v) for x, v in fits], 0.005, 0.9, 1.02)
     tried = [(set(r["tokens"]), r["v"]) for r in rows if r["v"] and r["held"]]
     for part, v in list(rules):
         met = [w == v for x, w in tried if set(part) <= x]
         if not met or sum(met) / len(met) < 0.9:
             del rules[part, v]
+            continue
+        hosts, reached = {}, [r for r in rows if set(part) <= set(r["tokens"])]
+        for r in reached:
+            if r["v"]:
+                hosts.setdefault(r["host"], []).append(r["v"] == v)
+        elsewhere = brute_elsewhere([(len(x), sum(x)) for x in hosts.values()], 0.005 * sum(bool(r["v"]) for r in rows), 0.9)
+        if not elsewhere or sum(map(len, hosts.values())) < 0.5 * len(reached):
+            del rules[part, v]
     want = {}
     for r in rows:
         found = [(sure, v == "allow", v) for (part, v), sure in rules.items() if set(part) <= set(r["tokens"])]
@@ -101,3 +118,34 @@ def test_a_long_shared_path_is_one_item(spark):
     labels = spark.range(400).selectExpr(f"concat('http://x.test/{start}/', if(id % 2 = 0, 'bad', 'good'), '/', id) as url", "id % 2 = 0 as blocked")
     got = urls.filter_urls(labels.selectExpr("1L as page_id", "url"), rules=[], labels=labels)
     assert {(r["verdict"], r["count"]) for r in got.groupBy("verdict").count().collect()} == {("allow", 200), ("block", 200)}
+
+
+def test_labels_of_one_corner_say_nothing_of_the_rest(spark):
+    # everything labelled in *.corner.test lies under /de/; the rest of it has no labels
+    pages = [f"http://s{i % 9}.corner.test/de/{i}" for i in range(90)] + [f"http://s{i % 9}.corner.test/fr/{i % 90}?v={i}" for i in range(360)]
+    pages += [f"http://s{i % 9}.fine.test/fr/{i}" for i in range(200)]
+    labels = [(u, True) for u in pages[:90]] + [(u, False) for u in pages[450:]]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(pages)] + [(1000, "http://new.corner.test/de/5"), (1001, "http://new.corner.test/fr/5")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(df, rules=[], labels=spark.createDataFrame(labels, "url string, blocked boolean")).collect()}
+    assert got[1000] == "block" and got[1001] == "allow"
+    assert all(got[i] == "allow" for i in range(90, 650)) and all(got[i] == "block" for i in range(90))
+
+
+def test_rules_are_tried_in_hosts_they_were_not_learned_from(spark):
+    # /x/ is blocked in each of twenty hosts; one host blocks all else, which holds nowhere else
+    rows = [(f"http://h{i % 20}.test/x/{i}", True) for i in range(400)] + [(f"http://h{i % 20}.test/y/{i}", i % 20 == 3) for i in range(400)]
+    labels = spark.createDataFrame(rows, "url string, blocked boolean")
+    tries = [(1, "http://new.test/x/1", "block"), (2, "http://new.test/y/1", "allow"), (3, "http://h3.test/y/3333", "block"), (4, "http://h4.test/y/3333", "allow")]
+    pages = labels.selectExpr("0L as page_id", "url").union(spark.createDataFrame([t[:2] for t in tries], "page_id long, url string"))
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, rules=[], labels=labels).where("page_id > 0").collect()}
+    assert got == {i: v for i, _, v in tries}
+
+
+def test_hot_and_null_urls_keep_their_rows(spark):
+    rows = [(f"http://s{i % 7}.ads.test/track/{i}", True) for i in range(200)] + [(f"http://s{i % 7}.news.test/read/{i}", False) for i in range(200)]
+    labels = spark.createDataFrame(rows, "url string, blocked boolean")
+    hot = spark.range(3000).selectExpr("id as page_id", "'http://s1.ads.test/track/1' as url", "'x' as mined", "1 as confidence")
+    null = spark.range(3000, 5000).selectExpr("id as page_id", "cast(null as string) as url", "'x' as mined", "1 as confidence")
+    out = urls.filter_urls(hot.union(null).union(labels.selectExpr("-1L", "url", "'x'", "1")), rules=[], labels=labels).cache()
+    assert out.count() == 5400 and out.where("page_id >= 0").select("page_id").distinct().count() == 5000
+    assert {(r["verdict"], r["count"]) for r in out.where("page_id >= 0").groupBy("verdict").count().collect()} == {("block", 3000), ("allow", 2000)}
