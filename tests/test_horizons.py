@@ -61,3 +61,24 @@ def test_origins_see_no_later_week_and_dense_series_have_every_week(spark):
     assert origins["a", week(50)]["year_ago"] is None and origins["a", week(51)]["year_ago"] is not None
     rows = {r["h"]: r for r in hz.horizon_rows(hz.origin_rows(dense, ["k"]), ["k"]).where(F.col("origin") == F.lit(week(60))).collect()}
     assert rows[1]["actual"] == 0.0 and rows[2]["actual"] == 72.0 and rows[26]["actual"] is None and rows[26]["seasonal"] == 44.0
+
+
+def test_blend_weight_falls_back_to_its_group_and_to_all(spark):
+    # (group, h, low, high, actual, used): `low` is right in a, `high` in b; c has too few rows, d none that count
+    rows = [("a", 1, 10.0, 0.0, 10.0, True)] * 4 + [("a", 2, 10.0, 0.0, 10.0, True)] + [("b", 1, 10.0, 0.0, 0.0, True)] * 9 + [("c", 1, 5.0, 1.0, 5.0, True)] + [("d", 1, 5.0, 1.0, 5.0, False)] * 9
+    df = spark.createDataFrame(rows, "g string, h int, low double, high double, actual double, used boolean")
+    got = {(r.g, r.h): (r.n, r.source, r.weight) for r in hz.blend_weights(df, "g", "low", "high", least_rows=4).collect()}
+    assert got == {("a", 1): (4, "own", 1.0), ("a", 2): (1, "group", 1.0), ("b", 1): (9, "own", 0.0), ("c", 1): (1, "all", 0.0), ("d", 1): (0, "all", 0.0)}
+    assert hz.blend_weights(df.limit(0), "g", "low", "high").count() == 0
+
+
+def test_characterise_over_made_weeks(spark):
+    from tidemark.operators import features
+
+    sold = [("a", datetime.date(2020, 1, 6), 8, 1, 1), ("a", datetime.date(2020, 1, 27), 2, 1, 0), ("b", datetime.date(2020, 1, 27), 3, 2, 0)]
+    dense = hz.dense_series(spark.createDataFrame(sold, "k string, week date, units long, lines long, promo_lines long"), ["k"], ("lines", "promo_lines"))
+    got = {r.k: r for r in features.characterise(features.panel(dense, ["k"]), ["k"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.observed_weeks, a.sold_weeks, a.zero_share, a.mean_units) == (4, 2, 0.5, 2.5)
+    assert abs(a.event_ratio - 8 / (2 / 3)) < 1e-6 and a.slow_mover and abs(a.current_zero_share - 2 / 3) < 1e-6
+    assert (b.observed_weeks, b.event_ratio, b.autocorrelation, b.slow_mover) == (1, None, None, False)

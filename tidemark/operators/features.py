@@ -73,17 +73,27 @@ def additive_metrics(actual: Column, predicted: Column) -> dict[str, Column]:
     }
 
 
-def characterise(weeks: DataFrame, keys: list[str]) -> DataFrame:
-    """Lifecycle stage, zero share, dispersion and lag-1 autocorrelation of each series."""
-    prior = F.lag("units").over(Window.partitionBy(*keys).orderBy("week"))
-    n = F.count("*")
-    return weeks.withColumn("prior", prior).groupBy(*keys).agg(
+def characterise(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Lifecycle stage, zero shares, dispersion, lag-1 autocorrelation and event ratio of each series of panel rows.
+
+    The event ratio is the mean of weeks with promoted lines to that of the others; null where a
+    series has only one kind. A series is a slow mover if most weeks of its last year are empty.
+    """
+    n, units, share = F.count("*"), F.col("units"), F.col("zero_share_52")
+    last_share = F.max_by(share, F.when(share.isNotNull(), F.col("week")))
+    follows = F.corr("units", "lag_1")
+    event, other = (F.avg(F.when(c, units)) for c in (F.col("promo_lines") > 0, F.col("promo_lines") == 0))
+    return rows.groupBy(*keys).agg(
         F.min("week").alias("first_week"),
         F.max("week").alias("last_week"),
         n.alias("observed_weeks"),
+        F.count_if(F.col("lines") > 0).alias("sold_weeks"),
         F.when(n < 52, "cold_start").when(n < 104, "developing").otherwise("established").alias("stage"),
-        F.round(F.avg(F.when(F.col("units") == 0, 1.0).otherwise(0.0)), 6).alias("zero_share"),
-        F.round(F.avg("units"), 6).alias("mean_units"),
-        F.round(F.var_samp("units") / F.nullif(F.avg("units"), F.lit(0.0)), 5).alias("dispersion"),
-        F.round(F.corr("units", "prior"), 6).alias("autocorrelation"),
+        F.round(F.avg(F.when(units == 0, 1.0).otherwise(0.0)), 6).alias("zero_share"),
+        last_share.alias("current_zero_share"),
+        F.coalesce(last_share > 0.6, F.lit(False)).alias("slow_mover"),
+        F.round(F.avg(units), 6).alias("mean_units"),
+        F.round(F.var_samp(units) / F.nullif(F.avg(units), F.lit(0.0)), 5).alias("dispersion"),
+        F.round(F.when(~F.isnan(follows), follows), 6).alias("autocorrelation"),
+        F.round(event / F.nullif(other, F.lit(0.0)), 6).alias("event_ratio"),
     )

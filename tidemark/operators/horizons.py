@@ -25,17 +25,19 @@ BANDS = {"near": 4, "mid": 13, "far": 26}
 INPUTS = ("horizon", "season", "season_mean", "last", "mean_4", "mean_8", "mean_26", "mean_52", "dev_13", "zero_share_52", "trend", "week_of_year")
 
 
-def dense_series(weeks: DataFrame, keys: list[str]) -> DataFrame:
+def dense_series(weeks: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> DataFrame:
     """weeks(keys, week, units) with every Monday week of a series from its first to the last of all series, zero where it sold nothing.
 
-    The last week of the table is one row; a series that stopped selling goes on with zeros.
+    The last week of the table is one row; a series that stopped selling goes on with zeros. Columns
+    in `more` are counted like units.
     """
     last = weeks.agg(F.max("week").alias("_end"))  # one row
     walk = Window.partitionBy(*keys).orderBy("week")
-    rows = weeks.select(*keys, "week", "units").crossJoin(F.broadcast(last))
+    rows = weeks.select(*keys, "week", "units", *more).crossJoin(F.broadcast(last))
     until = F.coalesce(F.date_sub(F.lead("week").over(walk), 7), F.col("_end"))
     each = rows.withColumn("_until", until).withColumn("at", F.explode(F.sequence("week", "_until", F.expr("interval 7 days"))))
-    return each.select(*keys, F.col("at").alias("week"), F.when(F.col("at") == F.col("week"), F.col("units")).otherwise(0).cast("long").alias("units"))
+    sold = F.col("at") == F.col("week")
+    return each.select(*keys, F.col("at").alias("week"), *(F.when(sold, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("units", *more)))
 
 
 def origin_rows(weeks: DataFrame, keys: list[str], *, horizons: int = HORIZONS) -> DataFrame:
@@ -89,6 +91,34 @@ def horizon_rows(origins: DataFrame, keys: list[str], *, horizons: int = HORIZON
     )
 
 
+def blend_weights(rows: DataFrame, group: str, low: str, high: str, *, steps: int = 20, least_rows: int = 2000) -> DataFrame:
+    """group, h, n, source and weight of `low` in its mix with `high`, of steps + 1 weights the one of least absolute error.
+
+    Rows have the group, h, both forecasts, `actual` and `used`; only used ones count, a group and
+    horizon without any gets a row too. With fewer than `least_rows` the weight is that of all
+    horizons of the group (source `group`), with fewer even there that of all rows (source `all`).
+    Of equal errors the smaller weight wins. Weights are columns of one aggregate, so rows don't
+    multiply; the windows go over a row for each group and horizon.
+    """
+
+    def missed(k: int) -> Column:
+        value = F.lit(k / steps) * F.col(low) + F.lit(1 - k / steps) * F.col(high) - F.col("actual")
+        return F.coalesce(F.sum(F.when(F.col("used"), F.abs(value).cast("decimal(18,6)"))), F.lit(0).cast("decimal(28,6)"))
+
+    names = [f"_e{k}" for k in range(steps + 1)]
+    sums = rows.groupBy(group, "h").agg(F.count_if("used").alias("n"), *(missed(k).alias(e) for k, e in enumerate(names)))
+    wide = {"group": Window.partitionBy(group), "all": Window.partitionBy()}
+    sums = sums.withColumns({f"{c}_{k}": F.sum(c).over(w) for k, w in wide.items() for c in ("n", *names)})
+
+    def best(suffix: str) -> Column:
+        return F.array_min(F.array(*(F.struct(F.col(e + suffix).alias("e"), F.lit(k).alias("k")) for k, e in enumerate(names))))["k"] / steps
+
+    own, grouped = F.col("n") >= least_rows, F.col("n_group") >= least_rows
+    source = F.when(own, "own").when(grouped, "group").otherwise("all")
+    weight = F.when(own, best("")).when(grouped, best("_group")).otherwise(best("_all"))
+    return sums.select(group, "h", "n", source.alias("source"), weight.alias("weight"))
+
+
 def blended(rows: DataFrame) -> DataFrame:
     """rows with `middle`: half the week a year before each coming week and half the 13-week mean, the mean alone without a year."""
     return rows.withColumn("middle", F.when(F.col("seasonal").isNull(), F.col("mean_13")).otherwise((F.col("seasonal") + F.col("mean_13")) / 2))

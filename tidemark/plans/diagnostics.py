@@ -20,13 +20,10 @@ def fc_eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evals(spark, sf_dir).where("dev_13 is not null").select(*KEYS, "week", "actual", "ma13", F.abs(e).alias("abs_error"), e.alias("signed_error"), (F.col("actual") <= F.col("ma13") + 1.2816 * F.col("dev_13")).alias("covered"))
 
 
-@query("SELECT s.category, s.market, w.week FROM (SELECT DISTINCT category, market FROM cweeks) s CROSS JOIN (SELECT DISTINCT week FROM cweeks) w LEFT JOIN cweeks c ON c.category = s.category AND c.market = s.market AND c.week = w.week WHERE c.week IS NULL")
-def fc_schedule_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weeks that a series lacks: its expected weeks are made in its own row from the one list of weeks."""
-    rows = _panel(spark, sf_dir).select(*KEYS, "week")
-    weeks = rows.select("week").distinct().agg(F.collect_list("week").alias("weeks"))  # one value a week of history
-    expected = rows.select(*KEYS).distinct().crossJoin(weeks).select(*KEYS, F.explode("weeks").alias("week"))
-    return expected.join(rows, [*KEYS, "week"], "left_anti")
+@query("SELECT category, market, week FROM panel WHERE lines = 0")
+def fc_missing_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks since its first in which a series sold nothing: the panel made them."""
+    return _panel(spark, sf_dir).where("lines = 0").select(*KEYS, "week")
 
 
 @query("SELECT market, CASE WHEN cold THEN 'cold_start' ELSE 'established' END AS cohort, count(*) AS n, count(DISTINCT category) AS series, round(sum(actual), 4) AS actual FROM evals GROUP BY ALL")
@@ -49,12 +46,6 @@ def fc_gate_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evals(spark, sf_dir).where("cold").groupBy("market").agg(F.round(ours / F.sum("actual"), 6).alias("wape"), F.round(theirs / F.sum("actual"), 6).alias("comparator"), (ours <= theirs).alias("passes"))
 
 
-@query("SELECT market, category, cold, grouping_id(market, category, cold) AS slice, count(*) AS n, CAST(round(sum(CAST(abs(ma13 - actual) AS DECIMAL(18,6))), 4) AS DOUBLE) AS abs_error FROM evals GROUP BY GROUPING SETS ((market), (category), (cold), (market, cold))")
-def fc_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = [["market"], ["category"], ["cold"], ["market", "cold"]]
-    return _evals(spark, sf_dir).groupingSets(sets, "market", "category", "cold").agg(F.grouping_id("market", "category", "cold").alias("slice"), F.count("*").alias("n"), F.round(F.sum(F.abs(F.col("ma13") - F.col("actual")).cast("decimal(18,6)")), 4).cast("double").alias("abs_error"))
-
-
 @query("SELECT bias, count(*) AS slices FROM (SELECT category, market, CASE WHEN sum(ma13 - actual) > 0.02 * sum(actual) THEN 'over' WHEN sum(ma13 - actual) < -0.02 * sum(actual) THEN 'under' ELSE 'neutral' END AS bias FROM evals GROUP BY ALL) GROUP BY bias")
 def fc_bias_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed, actual = F.sum(F.col("ma13") - F.col("actual")), F.sum("actual")

@@ -241,7 +241,7 @@ def fc_baseline_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(*(F.coalesce(k, F.lit("portfolio")).alias(k) for k in KEYS), "driver", "contribution")
 
 
-_SLOW = """, hist AS (SELECT category, market, CAST(date_trunc('month', week) AS DATE) AS month, CAST(sum(units) AS DOUBLE) AS u FROM cweeks GROUP BY ALL),
+_SLOW = """, hist AS (SELECT category, market, CAST(date_trunc('month', week) AS DATE) AS month, CAST(sum(units) AS DOUBLE) AS u FROM cdense GROUP BY ALL),
 moved AS (SELECT category, market, month, u, lag(u, 12) OVER (PARTITION BY category, market ORDER BY month) AS year_ago, avg(u) OVER (PARTITION BY category, market ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS level FROM hist),
 duel AS (SELECT category, market, count(*) AS months, round(sum(abs(level - u)), 3) AS level_err, round(sum(abs(year_ago - u)), 3) AS season_err FROM moved WHERE year_ago IS NOT NULL AND level IS NOT NULL GROUP BY ALL)"""
 slow = Registry(PANEL_SQL + _SLOW)
@@ -312,7 +312,7 @@ def fc_segment_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT category, market, first_week, last_week, weeks, CASE WHEN weeks >= 156 AND last_week >= DATE '2001-10-01' THEN 'replayable' WHEN weeks >= 52 THEN 'partial' ELSE 'insufficient' END AS grade FROM (SELECT category, market, min(week) AS first_week, max(week) AS last_week, count(DISTINCT week) AS weeks FROM cweeks GROUP BY ALL)")
 def sig_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a series' evidence reaches far enough to be replayed."""
-    rows = _panel(spark, sf_dir).groupBy(*KEYS).agg(F.min("week").alias("first_week"), F.max("week").alias("last_week"), F.countDistinct("week").alias("weeks"))
+    rows = _panel(spark, sf_dir).where("lines > 0").groupBy(*KEYS).agg(F.min("week").alias("first_week"), F.max("week").alias("last_week"), F.countDistinct("week").alias("weeks"))
     grade = F.when((F.col("weeks") >= 156) & (F.col("last_week") >= F.lit("2001-10-01").cast("date")), "replayable").when(F.col("weeks") >= 52, "partial").otherwise("insufficient")
     return rows.withColumn("grade", grade)
 
@@ -413,11 +413,4 @@ def cls_quality_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(*KEYS, name.alias("class"), F.when(F.col("own") >= F.col("whole"), "series").otherwise("publication").alias("caused_by"))
 
 
-@query("SELECT market, n, round(q90, 6) AS factor, n >= 20 AS own_head FROM (SELECT market, count(*) AS n, quantile_cont(actual / nullif(ma8, 0), 0.9) AS q90 FROM evals WHERE cold AND ma8 > 0 GROUP BY market)")
-def fc_cold_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upper quantile of series without a year of history has a head of its own where rows suffice."""
-    rows = _evals(spark, sf_dir).where("cold and ma8 > 0").groupBy("market").agg(F.count("*").alias("n"), F.percentile(F.col("actual") / F.col("ma8"), 0.9).alias("q"))
-    return rows.select("market", "n", F.round("q", 6).alias("factor"), (F.col("n") >= 20).alias("own_head"))
-
-
 QUERIES, ORACLES = query.queries | slow.queries, query.oracles | slow.oracles

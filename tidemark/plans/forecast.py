@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import features
-from ..sources.tables import category_weeks, products, read, sale_lines, weekly_series
+from ..operators.horizons import dense_series
+from ..sources.tables import category_weeks, products, read, sale_lines, scratch, weekly_series
 from .basics import market_sales
 from .registration import Registry
 
@@ -17,9 +18,12 @@ _ROLL = ", ".join(
     f"round(avg(units) {_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS mean_{n}, round(stddev_samp(units) {_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS dev_{n}" for n in features.ROLLS
 )
 PANEL_SQL = f"""
-, panel0 AS (SELECT *, {", ".join(f"lag(units, {n}) {_W}) AS lag_{n}" for n in features.LAGS)}, {_ROLL},
+, cgrid AS (SELECT category, market, CAST(unnest(generate_series(a, (SELECT max(week) FROM cweeks), INTERVAL 7 DAY)) AS DATE) AS week FROM (SELECT category, market, min(week) AS a FROM cweeks GROUP BY ALL)),
+cdense AS (SELECT g.category, g.market, g.week, coalesce(c.units, 0) AS units, coalesce(c.net_minor, 0) AS net_minor, coalesce(c.lines, 0) AS lines, coalesce(c.promo_lines, 0) AS promo_lines
+  FROM cgrid g LEFT JOIN cweeks c ON c.category = g.category AND c.market = g.market AND c.week = g.week),
+panel0 AS (SELECT *, {", ".join(f"lag(units, {n}) {_W}) AS lag_{n}" for n in features.LAGS)}, {_ROLL},
   round(avg(CASE WHEN units = 0 THEN 1.0 ELSE 0.0 END) {_W} ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING), 6) AS zero_share_52,
-  {", ".join(f"lead(units, {n}) {_W}) AS target_{n}" for n in range(1, 5))} FROM cweeks),
+  {", ".join(f"lead(units, {n}) {_W}) AS target_{n}" for n in range(1, 5))} FROM cdense),
 panel AS (SELECT *, round(mean_4 / nullif(mean_13, 0), 6) AS trend_4v13 FROM panel0),
 base AS (SELECT *, greatest(coalesce(CAST(lag_1 AS DOUBLE), 0), 0) AS naive, CASE WHEN lag_52 IS NOT NULL THEN greatest(CAST(lag_52 AS DOUBLE), 0) END AS seasonal_naive,
   greatest(coalesce(mean_8, 0), 0) AS ma8, greatest(coalesce(mean_13, 0), 0) AS ma13 FROM panel),
@@ -28,9 +32,19 @@ evals AS (SELECT category, market, week, CAST(target_1 AS DOUBLE) AS actual, nai
 
 query = Registry(PANEL_SQL)
 
+#: The written panel of each session and input, as most forecast and report queries read it.
+_PANELS: dict[tuple[str, str], str] = {}
+
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.panel(category_weeks(market_sales(spark, sf_dir), products(spark, sf_dir)), KEYS)
+    """Features of every week of every series, missing weeks made, written once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PANELS:
+        weeks = dense_series(category_weeks(market_sales(spark, sf_dir), products(spark, sf_dir)), KEYS, ("net_minor", "lines", "promo_lines"))
+        path = scratch(spark, "panel")
+        features.panel(weeks, KEYS).write.parquet(path)
+        _PANELS[key] = path
+    return spark.read.parquet(_PANELS[key])
 
 
 def _evals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,17 +82,27 @@ def feat_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weeks.withColumns({f"days_{n}": F.lead("days", n).over(walk) for n in (1, 2, 3)})
 
 
-@query("""SELECT category, market, min(week) AS first_week, max(week) AS last_week, count(*) AS observed_weeks, CASE WHEN count(*) < 52 THEN 'cold_start' WHEN count(*) < 104 THEN 'developing' ELSE 'established' END AS stage,
-  round(avg(CASE WHEN units = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, round(avg(units), 6) AS mean_units, round(var_samp(units) / nullif(avg(units), 0), 5) AS dispersion, round(corr(units, lag_1), 6) AS autocorrelation FROM panel GROUP BY ALL""")
+_SERIES = """(SELECT category, market, min(week) AS first_week, max(week) AS last_week, count(*) AS observed_weeks, count(*) FILTER (WHERE lines > 0) AS sold_weeks,
+  CASE WHEN count(*) < 52 THEN 'cold_start' WHEN count(*) < 104 THEN 'developing' ELSE 'established' END AS stage, round(avg(CASE WHEN units = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share,
+  arg_max(zero_share_52, week) AS current_zero_share, coalesce(arg_max(zero_share_52, week) > 0.6, false) AS slow_mover, round(avg(units), 6) AS mean_units, round(var_samp(units) / nullif(avg(units), 0), 5) AS dispersion,
+  round(CASE WHEN isfinite(corr(units, lag_1)) THEN corr(units, lag_1) END, 6) AS autocorrelation, round(avg(units) FILTER (WHERE promo_lines > 0) / nullif(avg(units) FILTER (WHERE promo_lines = 0), 0), 6) AS event_ratio
+  FROM panel GROUP BY category, market)"""
+
+
+@query(f"SELECT * FROM {_SERIES}")
 def feat_characterise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.characterise(category_weeks(market_sales(spark, sf_dir), products(spark, sf_dir)), KEYS)
+    return features.characterise(_panel(spark, sf_dir), KEYS)
+
 
+_MEDIANS = ("zero_share", "dispersion", "autocorrelation", "event_ratio")
 
-@query("SELECT market, stage, count(*) AS n_series, median(weeks) AS median_weeks, median(units) AS median_units FROM (SELECT location, market, sku % 50 AS grp, count(DISTINCT date_trunc('week', business_date)) AS weeks, CAST(sum(units) AS BIGINT) AS units, CASE WHEN count(DISTINCT date_trunc('week', business_date)) < 10 THEN 'cold_start' ELSE 'established' END AS stage FROM msales GROUP BY ALL) GROUP BY ALL")
+
+@query(f"SELECT market, count(*) AS n_series, count(*) FILTER (WHERE slow_mover) AS slow_movers, {', '.join(f"count(*) FILTER (WHERE stage = '{k}') AS {k}" for k in ('cold_start', 'developing', 'established'))}, {', '.join(f'round(median({c}), 8) AS {c}' for c in _MEDIANS)} FROM {_SERIES} GROUP BY market")
 def feat_characterise_market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = market_sales(spark, sf_dir).groupBy("location", "market", (F.col("sku") % 50).alias("grp")).agg(F.countDistinct(F.date_trunc("week", "business_date")).alias("weeks"), F.sum("units").alias("units"))
-    rows = rows.withColumn("stage", F.when(F.col("weeks") < 10, "cold_start").otherwise("established"))
-    return rows.groupBy("market", "stage").agg(F.count("*").alias("n_series"), F.median("weeks").alias("median_weeks"), F.median("units").alias("median_units"))
+    """Series of each market by stage, its slow movers and the medians of what characterises them."""
+    stages = [F.count_if(F.col("stage") == k).alias(k) for k in ("cold_start", "developing", "established")]
+    rows = features.characterise(_panel(spark, sf_dir), KEYS).groupBy("market")
+    return rows.agg(F.count("*").alias("n_series"), F.count_if("slow_mover").alias("slow_movers"), *stages, *(F.round(F.median(c), 8).alias(c) for c in _MEDIANS))
 
 
 @query("SELECT " + ", ".join(f"count({c}) AS {c}" for c in ("lag_1", "lag_52", "mean_13", "dev_13", "target_1", "target_4")) + ", count(*) AS n FROM panel")
@@ -136,38 +160,19 @@ def fc_croston(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("values", values).select("sku", F.round(features.croston(F.col("values")), 6).alias("forecast"))
 
 
-_SCOPES = "GROUPING SETS ((), (market), (category), (market, category))"
-_SUMS = ", ".join(f"CAST(round(sum(CAST(abs({b} - actual) AS DECIMAL(18,6))), 4) AS DOUBLE) AS abs_{b}, CAST(round(sum(CAST({b} - actual AS DECIMAL(18,6))), 4) AS DOUBLE) AS signed_{b}" for b in ("naive", "ma8", "ma13"))
-
-
-@query(f"SELECT market, category, count(*) AS n, round(sum(actual), 4) AS actual, {_SUMS} FROM evals GROUP BY {_SCOPES}")
-def fc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Additive error sums of every baseline at all scopes in one pass."""
-    sums = []
-    for b in ("naive", "ma8", "ma13"):
-        error = F.col(b) - F.col("actual")
-        # sums of decimals don't depend on the order of rows
-        sums += [F.round(F.sum(x.cast("decimal(18,6)")), 4).cast("double").alias(n) for x, n in ((F.abs(error), f"abs_{b}"), (error, f"signed_{b}"))]
-    rows = _evals(spark, sf_dir).groupingSets([[], ["market"], ["category"], ["market", "category"]], "market", "category")
-    return rows.agg(F.count("*").alias("n"), F.round(F.sum("actual"), 4).alias("actual"), *sums)
+OWN_ROWS = 200
 
 
-@query("SELECT market, round(sum(abs(ma13 - actual)) / sum(actual), 6) AS wape_ma13, round(sum(abs(naive - actual)) / sum(actual), 6) AS wape_naive, round(1 - sum(abs(ma13 - actual)) / sum(abs(naive - actual)), 6) AS gain FROM evals GROUP BY market")
-def fc_value_added(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ma, naive = (F.sum(F.abs(F.col(b) - F.col("actual"))) for b in ("ma13", "naive"))
-    return _evals(spark, sf_dir).groupBy("market").agg(F.round(ma / F.sum("actual"), 6).alias("wape_ma13"), F.round(naive / F.sum("actual"), 6).alias("wape_naive"), F.round(1 - ma / naive, 6).alias("gain"))
-
-
-@query("SELECT market, week, round(sum(actual), 4) AS actual, CAST(round(abs(sum(CAST(ma13 AS DECIMAL(18,6))) - sum(CAST(actual AS DECIMAL(18,6)))), 4) AS DOUBLE) AS abs_error FROM evals GROUP BY ALL")
-def fc_metrics_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed to the market before the error is taken."""
-    return _evals(spark, sf_dir).groupBy("market", "week").agg(F.round(F.sum("actual"), 4).alias("actual"), F.round(F.abs(F.sum(F.col("ma13").cast("decimal(18,6)")) - F.sum(F.col("actual").cast("decimal(18,6)"))), 4).cast("double").alias("abs_error"))
-
-
-@query("SELECT market, quantile_cont(actual - ma13, 0.5) AS offset_p50, quantile_cont(actual - ma13, 0.9) AS offset_p90 FROM evals GROUP BY market")
+@query(f"""SELECT market, n, n >= {OWN_ROWS} AS own, round(CASE WHEN n >= {OWN_ROWS} THEN o50 ELSE g50 END, 6) AS offset_p50, round(CASE WHEN n >= {OWN_ROWS} THEN o90 ELSE g90 END, 6) AS offset_p90 FROM
+  (SELECT market, count(*) AS n, quantile_cont(actual - ma13, 0.5) AS o50, quantile_cont(actual - ma13, 0.9) AS o90 FROM evals GROUP BY market) CROSS JOIN (SELECT quantile_cont(actual - ma13, 0.5) AS g50, quantile_cont(actual - ma13, 0.9) AS g90 FROM evals)""")
 def fc_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rest = F.col("actual") - F.col("ma13")
-    return _evals(spark, sf_dir).groupBy("market").agg(F.percentile(rest, 0.5).alias("offset_p50"), F.percentile(rest, 0.9).alias("offset_p90"))
+    """Offsets of P50 and P90 by market; a market of fewer than OWN_ROWS rows takes those of all."""
+    rest, whole = F.col("actual") - F.col("ma13"), Window.partitionBy()
+    sums = _evals(spark, sf_dir).groupingSets([["market"], []], "market").agg(F.grouping("market").alias("all"), F.count("*").alias("n"), F.percentile(rest, 0.5).alias("o50"), F.percentile(rest, 0.9).alias("o90"))
+    # a row for each market and one for all
+    told = sums.withColumns({f"g{k}": F.max(F.when(F.col("all") == 1, F.col(f"o{k}"))).over(whole) for k in (50, 90)}).where("all = 0")
+    own = F.col("n") >= OWN_ROWS
+    return told.select("market", "n", own.alias("own"), *(F.round(F.when(own, F.col(f"o{k}")).otherwise(F.col(f"g{k}")), 6).alias(f"offset_p{k}") for k in (50, 90)))
 
 
 #: offsets are fitted on the weeks before this one and judged on the others
@@ -209,16 +214,6 @@ def fc_bias_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evals(spark, sf_dir).where("week < date'2000-01-01'").groupBy("market").agg(F.round(F.least(F.lit(1.25), F.greatest(F.lit(0.8), factor)), 6).alias("factor"))
 
 
-@query("SELECT market, arg_min(g, (err, g)) / 20.0 AS weight FROM (SELECT market, g, round(sum(abs((g / 20.0) * naive + (1 - g / 20.0) * ma13 - actual)), 6) AS err FROM evals CROSS JOIN (SELECT unnest(range(21)) AS g) GROUP BY ALL) GROUP BY market")
-def fc_blend_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of 21 weights by absolute error; weights are columns of one aggregate, rows don't multiply."""
-    rows = _evals(spark, sf_dir)
-    errors = [F.round(F.sum(F.abs((g / 20) * F.col("naive") + (1 - g / 20) * F.col("ma13") - F.col("actual"))), 6).alias(f"e{g}") for g in range(21)]
-    sums = rows.groupBy("market").agg(*errors)
-    best = F.array_min(F.array(*(F.struct(F.col(f"e{g}").alias("e"), F.lit(g).alias("g")) for g in range(21))))["g"]
-    return sums.select("market", (best / 20.0).alias("weight"))
-
-
 @query("""SELECT category, market, week, round(ma13, 4) AS bottom_up, round(t * w, 4) AS top_down, round(CASE WHEN b > 0 THEN ma13 * t / b END, 4) AS proportional FROM (
   SELECT *, CAST(sum(CAST(ma13 AS DECIMAL(18,6))) OVER (PARTITION BY market, week) AS DOUBLE) AS b, CAST(sum(lag_u) OVER (PARTITION BY market, week) AS DOUBLE) AS t,
     CAST(sum(lag_u) OVER (PARTITION BY category, market ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / nullif(sum(lag_u) OVER (PARTITION BY market ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS w

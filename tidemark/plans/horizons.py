@@ -12,14 +12,22 @@ from .basics import market_sales
 from .forecast import KEYS
 from .registration import Registry
 
-#: The written forecasts of each session and input, as several queries read them.
+#: The written origins and forecasts of each session and input, as several queries read them.
+_ORIGINS: dict[tuple[str, str], str] = {}
 _ARTIFACTS: dict[tuple[str, str], str] = {}
 EVERY, HELD_WEEKS, TRAIN_WEEKS = 2, 52, 104
+#: a head or weight of its own takes so many rows
+OWN_ROWS = 2000
 
 
 def series_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every week of every series of (category, market), missing weeks made, with what is known at its end."""
-    return hz.origin_rows(hz.dense_series(category_weeks(market_sales(spark, sf_dir), products(spark, sf_dir)), KEYS), KEYS)
+    """Every week of every series of (category, market), missing weeks made, with what is known at its end; written once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ORIGINS:
+        path = scratch(spark, "origins")
+        hz.origin_rows(hz.dense_series(category_weeks(market_sales(spark, sf_dir), products(spark, sf_dir)), KEYS), KEYS).write.parquet(path)
+        _ORIGINS[key] = path
+    return spark.read.parquet(_ORIGINS[key])
 
 
 def week_no(day: str) -> Column:
@@ -36,9 +44,7 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ARTIFACTS:
-        path = scratch(spark, "origins")
-        series_origins(spark, sf_dir).write.parquet(path)
-        origins = spark.read.parquet(path)
+        origins = series_origins(spark, sf_dir)
         end = origins.agg(F.max(week_no("week")).alias("w")).first()["w"]
         rows = hz.horizon_rows(origins, KEYS).where("age >= 13 and actual is not null")
         at, target = week_no("origin"), week_no("target_week")
@@ -61,20 +67,30 @@ horigin AS (SELECT category, market, week, units, avg(units) OVER (PARTITION BY
 hrows AS (SELECT o.category, o.market, o.week AS origin, h, CAST(t.units AS DOUBLE) AS actual, CASE WHEN o.age >= 52 THEN CAST(y.units AS DOUBLE) END AS seasonal, CAST(o.units AS DOUBLE) AS naive, o.mean_8 AS ma8, o.mean_13 AS ma13
   FROM horigin o CROSS JOIN (SELECT unnest(generate_series(1, 26)) AS h) LEFT JOIN hdense t ON t.category = o.category AND t.market = o.market AND t.week = CAST(o.week + to_days(CAST(7 * h AS INTEGER)) AS DATE)
   LEFT JOIN hdense y ON y.category = o.category AND y.market = o.market AND y.week = CAST(o.week + to_days(CAST(7 * h - 364 AS INTEGER)) AS DATE) WHERE o.age >= 13),
-hevals AS (SELECT * FROM hrows WHERE actual IS NOT NULL AND seasonal IS NOT NULL)
+hall AS (SELECT *, CASE WHEN seasonal IS NULL THEN ma13 ELSE (seasonal + ma13) / 2 END AS blend FROM hrows WHERE actual IS NOT NULL),
+hevals AS (SELECT * FROM hall WHERE seasonal IS NOT NULL)
 """
 
 query = Registry(_HZ_SQL)
 BASELINES = ("naive", "seasonal", "ma8", "ma13")
 
 
-def horizon_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baselines of every origin and horizon that has an actual and a year of history."""
-    rows = series_origins(spark, sf_dir).where("age >= 52").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(hz.HORIZONS))))
+def all_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines of every origin of 13 weeks or more and every horizon that has an actual; without a year of history `seasonal` is null.
+
+    `blend` is half the seasonal value and half the 13-week mean, the mean alone where there is no year.
+    """
+    rows = series_origins(spark, sf_dir).where("age >= 13").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(hz.HORIZONS))))
     double = lambda c: c.cast("double")
     rows = rows.select(*KEYS, F.col("week").alias("origin"), "h", double(F.get("ahead", F.col("h") - 1)).alias("actual"), double(F.get("year_ago", F.col("h") - 1)).alias("seasonal"),
                        double(F.col("units")).alias("naive"), F.col("mean_8").alias("ma8"), F.col("mean_13").alias("ma13"))
-    return rows.where("actual is not null")
+    blend = F.when(F.col("seasonal").isNull(), F.col("ma13")).otherwise((F.col("seasonal") + F.col("ma13")) / 2)
+    return rows.where("actual is not null").withColumn("blend", blend)
+
+
+def horizon_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of a year of history, which all baselines have."""
+    return all_evals(spark, sf_dir).where("seasonal is not null")
 
 
 def _total(value: Column) -> Column:
@@ -87,17 +103,139 @@ _SQL_BEST = "CASE least(" + ", ".join(f"e_{b}" for b in BASELINES) + ") " + " ".
 _SQL_RATIO = ", ".join(f"CAST(round(CAST(e_{b} AS DOUBLE) / nullif(CAST(act AS DOUBLE), 0), 6) AS DOUBLE) AS wape_{b}, CAST(round(CAST(s_{b} AS DOUBLE) / nullif(CAST(act AS DOUBLE), 0), 6) AS DOUBLE) AS bias_{b}" for b in BASELINES)
 
 
-def _judged(rows: DataFrame, sets: list[list[str]], *keys: str) -> DataFrame:
-    """Errors of every baseline at all scopes in one pass, with the champion: least absolute error, first of equal ones."""
+_SQL_SUMS = ", ".join(f"CAST(round(e_{b}, 4) AS DOUBLE) AS abs_{b}, CAST(round(s_{b}, 4) AS DOUBLE) AS signed_{b}" for b in BASELINES)
+
+
+def _errors(rows: DataFrame, sets: list[list[str]], *keys: str) -> DataFrame:
+    """Error sums of every baseline at all scopes in one pass, with the champion: least absolute error, first of equal ones."""
     sums = [F.count("*").alias("n"), _total(F.col("actual")).alias("act")]
     for b in BASELINES:
         sums += [_total(F.abs(F.col(b) - F.col("actual"))).alias(f"e_{b}"), _total(F.col(b) - F.col("actual")).alias(f"s_{b}")]
     found = rows.groupingSets(sets, *keys).agg(*sums)
     least = F.least(*(F.col(f"e_{b}") for b in BASELINES))
-    best = F.coalesce(*(F.when(F.col(f"e_{b}") == least, F.lit(b)) for b in BASELINES))
+    return found.withColumn("champion", F.coalesce(*(F.when(F.col(f"e_{b}") == least, F.lit(b)) for b in BASELINES)))
+
+
+def _judged(rows: DataFrame, sets: list[list[str]], *keys: str) -> DataFrame:
+    """The ratios of those sums to the actual."""
     act = F.nullif(F.col("act").cast("double"), F.lit(0.0))
     ratios = [F.round(F.col(f"{k}_{b}").cast("double") / act, 6).alias(f"{n}_{b}") for b in BASELINES for k, n in (("e", "wape"), ("s", "bias"))]
-    return found.select(*keys, "n", *ratios, best.alias("champion"))
+    return _errors(rows, sets, *keys).select(*keys, "n", *ratios, "champion")
+
+
+def _share(part: str, whole: str) -> Column:
+    return F.col(part).cast("double") / F.nullif(F.col(whole).cast("double"), F.lit(0.0))
+
+
+def _sql_share(part: str, whole: str) -> str:
+    return f"CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0)"
+
+
+def _sql_total(value: str) -> str:
+    return f"sum(CAST({value} AS DECIMAL(18,6)))"
+
+
+@query(f"SELECT market, category, CAST(h AS INTEGER) AS h, n, CAST(round(act, 4) AS DOUBLE) AS actual, {_SQL_SUMS}, {_SQL_BEST} AS champion FROM (SELECT market, category, h, count(*) AS n, {_sql_total('actual')} AS act, {_SQL_ERR} FROM hevals GROUP BY GROUPING SETS ((), (h), (market), (market, h), (category, h)))")
+def fc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additive error sums of every baseline whole, by horizon, market and category, with the champion of each scope, in one pass."""
+    found = _errors(horizon_evals(spark, sf_dir), [[], ["h"], ["market"], ["market", "h"], ["category", "h"]], "market", "category", "h")
+    sums = [F.round(f"{k}_{b}", 4).cast("double").alias(f"{n}_{b}") for b in BASELINES for k, n in (("e", "abs"), ("s", "signed"))]
+    return found.select("market", "category", "h", "n", F.round("act", 4).cast("double").alias("actual"), *sums, "champion")
+
+
+@query(f"""SELECT market, category, CAST(h AS INTEGER) AS h, n, paired, round({_sql_share("e_blend", "act")}, 6) AS wape, round(1 - {_sql_share("e_blend", "e_ma13")}, 6) AS gain_ma13, round(1 - {_sql_share("p_blend", "p_seasonal")}, 6) AS gain_seasonal FROM (
+  SELECT market, category, h, count(*) AS n, count(seasonal) AS paired, {_sql_total("actual")} AS act, {_sql_total("abs(blend - actual)")} AS e_blend, {_sql_total("abs(ma13 - actual)")} AS e_ma13,
+    {_sql_total("CASE WHEN seasonal IS NOT NULL THEN abs(blend - actual) END")} AS p_blend, {_sql_total("abs(seasonal - actual)")} AS p_seasonal FROM hall GROUP BY GROUPING SETS ((), (market), (h), (market, h), (category)))""")
+def fc_value_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain of the blended forecast over the 13-week mean on all rows and over the seasonal naive one on the rows that have it, by scope."""
+    missed = lambda b: F.abs(F.col(b) - F.col("actual"))
+    rows = all_evals(spark, sf_dir).groupingSets([[], ["market"], ["h"], ["market", "h"], ["category"]], "market", "category", "h").agg(
+        F.count("*").alias("n"), F.count("seasonal").alias("paired"), _total(F.col("actual")).alias("act"), _total(missed("blend")).alias("e_blend"), _total(missed("ma13")).alias("e_ma13"),
+        _total(F.when(F.col("seasonal").isNotNull(), missed("blend"))).alias("p_blend"), _total(missed("seasonal")).alias("p_seasonal"),
+    )
+    return rows.select("market", "category", "h", "n", "paired", F.round(_share("e_blend", "act"), 6).alias("wape"), F.round(1 - _share("e_blend", "e_ma13"), 6).alias("gain_ma13"), F.round(1 - _share("p_blend", "p_seasonal"), 6).alias("gain_seasonal"))
+
+
+@query(f"""SELECT scope, slice, CAST(h AS INTEGER) AS h, count(*) AS n, CAST(round(sum((act)), 4) AS DOUBLE) AS actual, CAST(round(sum(abs(told - act)), 4) AS DOUBLE) AS abs_error FROM (
+  SELECT CASE WHEN category IS NULL THEN 'market' ELSE 'category' END AS scope, coalesce(market, category) AS slice, h, origin, {_sql_total("actual")} AS act, {_sql_total("blend")} AS told FROM hall GROUP BY GROUPING SETS ((market, origin, h), (category, origin, h))) GROUP BY scope, slice, h""")
+def fc_metrics_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of sums: forecasts and actuals of each origin and horizon are summed to the market, or to the category, before the error is taken."""
+    sums = all_evals(spark, sf_dir).groupingSets([["market", "origin", "h"], ["category", "origin", "h"]], "market", "category", "origin", "h").agg(_total(F.col("actual")).alias("act"), _total(F.col("blend")).alias("told"))
+    named = sums.withColumns({"scope": F.when(F.col("category").isNull(), "market").otherwise("category"), "slice": F.coalesce("market", "category")})
+    return named.groupBy("scope", "slice", "h").agg(F.count("*").alias("n"), F.round(F.sum("act"), 4).cast("double").alias("actual"), F.round(F.sum(F.abs(F.col("told") - F.col("act"))), 4).cast("double").alias("abs_error"))
+
+
+JUDGED = "2000-01-01"
+_SLICES = {
+    "market": ("market", F.col), "category": ("category", F.col), "series": ("category || '/' || market", F.expr), "cohort": ("cohort", F.col),
+    "horizon": ("CAST(h AS VARCHAR)", lambda _: F.col("h").cast("string")), "band": ("band", F.col), "route": ("route", F.col), "role": ("role", F.col),
+}
+_SQL_BAND = f"CASE WHEN h <= {hz.BANDS['near']} THEN 'near' WHEN h <= {hz.BANDS['mid']} THEN 'mid' ELSE 'far' END"
+
+
+def _band() -> Column:
+    return F.when(F.col("h") <= hz.BANDS["near"], "near").when(F.col("h") <= hz.BANDS["mid"], "mid").otherwise("far")
+
+
+@query(f"""SELECT scope, slice, CAST(sum((n)) AS BIGINT) AS n, CAST(round(sum((act)), 4) AS DOUBLE) AS actual, CAST(round(sum((err)), 4) AS DOUBLE) AS abs_error, CAST(round(sum((sgn)), 4) AS DOUBLE) AS signed_error, round({_sql_share("sum((err))", "sum((act))")}, 6) AS wape FROM (
+  SELECT unnest([{", ".join(f"'{k}'" for k in _SLICES)}]) AS scope, unnest([{", ".join(v for v, _ in _SLICES.values())}]) AS slice, n, act, err, sgn FROM (
+    SELECT market, category, h, CASE WHEN seasonal IS NULL THEN 'cold_start' ELSE 'established' END AS cohort, {_SQL_BAND} AS band, CASE WHEN ma8 = 0 THEN 'silent' WHEN seasonal IS NULL THEN 'recent' WHEN ma13 < 5 THEN 'intermittent' ELSE 'seasonal' END AS route,
+      CASE WHEN origin < DATE '{JUDGED}' THEN 'fit' ELSE 'judged' END AS role, count(*) AS n, {_sql_total("actual")} AS act, {_sql_total("abs(blend - actual)")} AS err, {_sql_total("blend - actual")} AS sgn FROM hall GROUP BY ALL)) GROUP BY scope, slice""")
+def fc_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error sums by market, category, series, cohort, horizon, band, route and role of the origin; rows are summed to their finest slice before they multiply."""
+    cold = F.col("seasonal").isNull()
+    route = F.when(F.col("ma8") == 0, "silent").when(cold, "recent").when(F.col("ma13") < 5, "intermittent").otherwise("seasonal")
+    error = F.col("blend") - F.col("actual")
+    rows = all_evals(spark, sf_dir).withColumns({"cohort": F.when(cold, "cold_start").otherwise("established"), "band": _band(), "route": route, "role": F.when(F.col("origin") < F.lit(JUDGED).cast("date"), "fit").otherwise("judged")})
+    fine = rows.groupBy("market", "category", "h", "cohort", "band", "route", "role").agg(F.count("*").alias("n"), _total(F.col("actual")).alias("act"), _total(F.abs(error)).alias("err"), _total(error).alias("sgn"))
+    each = fine.withColumn("x", F.explode(F.array(*(F.struct(F.lit(k).alias("scope"), make(v).alias("slice")) for k, (v, make) in _SLICES.items()))))
+    sums = each.groupBy("x.scope", "x.slice").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in ("act", "err", "sgn")))
+    return sums.select("scope", "slice", "n", *(F.round(c, 4).cast("double").alias(k) for c, k in (("act", "actual"), ("err", "abs_error"), ("sgn", "signed_error"))), F.round(_share("err", "act"), 6).alias("wape"))
+
+
+@query("""SELECT market, CAST(h AS INTEGER) AS h, expected, present, sold, expected = present AS complete FROM (SELECT o.market, g.h, count(*) AS expected, count(t.week) AS present, count(*) FILTER (WHERE t.units > 0) AS sold FROM horigin o
+  CROSS JOIN (SELECT unnest(generate_series(1, 26)) AS h) g LEFT JOIN hdense t ON t.category = o.category AND t.market = o.market AND t.week = CAST(o.week + to_days(CAST(7 * g.h AS INTEGER)) AS DATE)
+  WHERE o.age >= 13 AND o.week <= (SELECT last FROM hspan) - 182 GROUP BY o.market, g.h)""")
+def fc_schedule_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every origin that is half a year back has a target at every horizon, and how many of these are weeks with sales."""
+    origins = series_origins(spark, sf_dir)
+    last = origins.agg(F.max("week").alias("last"))  # one row
+    due = origins.where("age >= 13").crossJoin(F.broadcast(last)).where(F.col("week") <= F.date_sub("last", 182))
+    each = due.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(hz.HORIZONS)))).withColumn("target", F.get("ahead", F.col("h") - 1))
+    rows = each.groupBy("market", "h").agg(F.count("*").alias("expected"), F.count("target").alias("present"), F.count_if(F.col("target") > 0).alias("sold"))
+    return rows.withColumn("complete", F.col("expected") == F.col("present"))
+
+
+@query(f""", bc AS (SELECT market, h, g, count(*) AS n, {_sql_total("abs((g / 20.0) * naive + (1 - g / 20.0) * ma13 - actual)")} AS err FROM hall CROSS JOIN (SELECT unnest(range(21)) AS g) WHERE seasonal IS NULL GROUP BY ALL),
+bl AS (SELECT x.market, x.h, y.g, coalesce(n, 0) AS n, coalesce(err, 0) AS err FROM (SELECT DISTINCT market, h FROM hall) x CROSS JOIN (SELECT unnest(range(21)) AS g) y LEFT JOIN bc ON bc.market = x.market AND bc.h = x.h AND bc.g = y.g),
+b2 AS (SELECT *, sum(n) OVER (PARTITION BY market, g) AS n_m, sum(err) OVER (PARTITION BY market, g) AS err_m, sum(err) OVER (PARTITION BY g) AS err_a FROM bl)
+SELECT market, CAST(h AS INTEGER) AS h, max(n) AS n, CASE WHEN max(n) >= {OWN_ROWS} THEN 'own' WHEN max(n_m) >= {OWN_ROWS} THEN 'group' ELSE 'all' END AS source,
+  CASE WHEN max(n) >= {OWN_ROWS} THEN arg_min(g, (err, g)) WHEN max(n_m) >= {OWN_ROWS} THEN arg_min(g, (err_m, g)) ELSE arg_min(g, (err_a, g)) END / 20.0 AS weight FROM b2 GROUP BY market, h""")
+def fc_blend_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For series without a year of history, the weight of the last week in its mix with the 13-week mean, by market and horizon."""
+    rows = all_evals(spark, sf_dir).withColumn("used", F.col("seasonal").isNull())
+    return hz.blend_weights(rows, "market", "naive", "ma13", least_rows=OWN_ROWS)
+
+
+@query(f""", ch AS (SELECT market, {_SQL_BAND} AS band, actual, greatest(ma8, 1.0) AS level, (date_diff('day', DATE '1970-01-05', origin) // 7) % 2 = 0 AS fit FROM hall WHERE seasonal IS NULL),
+own AS (SELECT market, band, count(*) FILTER (WHERE fit) AS n, quantile_cont(actual / level, 0.9) FILTER (WHERE fit) AS q FROM ch GROUP BY ALL), gen AS (SELECT band, quantile_cont(actual / level, 0.9) FILTER (WHERE fit) AS g FROM ch GROUP BY band),
+heads AS (SELECT market, band, n, n >= {OWN_ROWS} AS own_head, CASE WHEN n >= {OWN_ROWS} THEN q ELSE g END AS factor FROM own JOIN gen USING (band))
+SELECT market, band, n, own_head, round(factor, 6) AS factor, judged, round(covered / judged, 6) AS coverage FROM heads JOIN (SELECT market, band, count(*) FILTER (WHERE NOT fit) AS judged, count(*) FILTER (WHERE NOT fit AND actual <= factor * level + 0.000001) AS covered FROM ch JOIN heads USING (market, band) GROUP BY ALL) USING (market, band)""")
+def fc_cold_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P90 of series without a year of history: a factor of their 8-week level by market and band, that of all markets where rows are few.
+
+    Fitted on every second origin; coverage is the share of the other origins' actuals that it holds.
+    """
+    rows = all_evals(spark, sf_dir).where("seasonal is null").select("market", _band().alias("band"), "actual", F.greatest("ma8", F.lit(1.0)).alias("level"), (week_no("origin") % 2 == 0).alias("fit"))
+    upper = F.percentile(F.when(F.col("fit"), F.col("actual") / F.col("level")), 0.9)
+    sums = rows.groupingSets([["market", "band"], ["band"]], "market", "band").agg(F.grouping("market").alias("all"), F.count_if("fit").alias("n"), upper.alias("q"))
+    # a row for each market and band
+    heads = sums.withColumn("g", F.max(F.when(F.col("all") == 1, F.col("q"))).over(Window.partitionBy("band"))).where("all = 0")
+    own = F.col("n") >= OWN_ROWS
+    heads = heads.select("market", "band", "n", own.alias("own_head"), F.when(own, F.col("q")).otherwise(F.col("g")).alias("factor"))
+    within = F.count_if(F.col("actual") <= F.col("factor") * F.col("level") + 0.000001)
+    told = rows.where("not fit").join(F.broadcast(heads), ["market", "band"]).groupBy("market", "band").agg(F.max("n").alias("n"), F.bool_and("own_head").alias("own_head"), F.max("factor").alias("factor"), F.count("*").alias("judged"), within.alias("covered"))
+    return told.select("market", "band", "n", "own_head", F.round("factor", 6).alias("factor"), "judged", F.round(F.col("covered") / F.col("judged"), 6).alias("coverage"))
 
 
 @query(f"SELECT market, category, CAST(h AS INTEGER) AS h, n, {_SQL_RATIO}, {_SQL_BEST} AS champion FROM (SELECT market, category, h, count(*) AS n, sum(CAST(actual AS DECIMAL(18,6))) AS act, {_SQL_ERR} FROM hevals GROUP BY GROUPING SETS ((), (h), (market, h), (category, h)))")

@@ -88,11 +88,11 @@ def weekly_series(sales: DataFrame) -> DataFrame:
 
 
 def category_weeks(sales: DataFrame, goods: DataFrame) -> DataFrame:
-    """Units and money by category, market and Monday week: the dense series of the forecasts."""
+    """Units, money, lines and promoted lines by category, market and Monday week; weeks without sales have no row."""
     return (
         sales.join(goods.select("sku", "category"), "sku")
         .groupBy("category", "market", F.to_date(F.date_trunc("week", "business_date")).alias("week"))
-        .agg(F.sum("units").alias("units"), F.sum("net_minor").alias("net_minor"), F.count("*").alias("lines"))
+        .agg(F.sum("units").alias("units"), F.sum("net_minor").alias("net_minor"), F.count("*").alias("lines"), F.count_if(F.col("discount_pct") >= 8).alias("promo_lines"))
     )
 
 
@@ -118,5 +118,5 @@ weeks AS (
          count(*) AS lines, max(known_as_of) AS known_as_of FROM sales GROUP BY ALL),
 cweeks AS (
   SELECT category, market, CAST(date_trunc('week', business_date) AS DATE) AS week, CAST(sum(units) AS BIGINT) AS units, CAST(sum(net_minor) AS BIGINT) AS net_minor,
-         count(*) AS lines FROM msales JOIN products USING (sku) GROUP BY ALL)
+         count(*) AS lines, count(*) FILTER (WHERE discount_pct >= 8) AS promo_lines FROM msales JOIN products USING (sku) GROUP BY ALL)
 """
