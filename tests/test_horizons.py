@@ -75,7 +75,7 @@ def test_blend_weight_falls_back_to_its_group_and_to_all(spark):
 def test_characterise_over_made_weeks(spark):
     from tidemark.operators import features
 
-    sold = [("a", datetime.date(2020, 1, 6), 8, 1, 1), ("a", datetime.date(2020, 1, 27), 2, 1, 0), ("b", datetime.date(2020, 1, 27), 3, 2, 0)]
+    sold = [("a", dt.date(2020, 1, 6), 8, 1, 1), ("a", dt.date(2020, 1, 27), 2, 1, 0), ("b", dt.date(2020, 1, 27), 3, 2, 0)]
     dense = hz.dense_series(spark.createDataFrame(sold, "k string, week date, units long, lines long, promo_lines long"), ["k"], ("lines", "promo_lines"))
     got = {r.k: r for r in features.characterise(features.panel(dense, ["k"]), ["k"]).collect()}
     a, b = got["a"], got["b"]

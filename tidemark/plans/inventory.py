@@ -104,12 +104,13 @@ def inv_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lots(spark, sf_dir).groupBy("location").agg(total(units, left < 0).alias("expired"), total(units, left.between(0, 30)).alias("expiring"), total(units * F.col("cost"), left <= 30).alias("exposure_minor"))
 
 
-@query("SELECT market, category, bool_and(category <> 'PROMO' OR on_hand < 40) AS complete, CASE WHEN bool_and(category <> 'PROMO' OR on_hand < 40) THEN CAST(sum(on_hand * cost) AS BIGINT) END AS value_minor, count(*) FILTER (WHERE category = 'PROMO' AND on_hand >= 40) AS uncosted FROM cellx WHERE on_hand > 0 GROUP BY ALL")
+@query(f"SELECT market, category, bool_and(c IS NOT NULL) AS complete, CASE WHEN bool_and(c IS NOT NULL) THEN CAST(sum(on_hand * c) AS BIGINT) END AS value_minor, count(*) FILTER (WHERE c IS NULL) AS uncosted FROM cellx LEFT JOIN (SELECT sku, CAST(sum(units * unit_cost) AS BIGINT) // CAST(sum(units) AS BIGINT) AS c FROM lot WHERE NOT returned AND received_on <= DATE '{TODAY}' GROUP BY sku) k USING (sku) WHERE on_hand > 0 GROUP BY market, category")
 def inv_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value by category, only where every held cell has a cost (large offers have none)."""
-    costed = (F.col("category") != "PROMO") | (F.col("on_hand") < 40)
-    held = _cells(spark, sf_dir).where("on_hand > 0")
-    sums = held.groupBy("market", "category").agg(F.bool_and(costed).alias("complete"), F.sum(F.col("on_hand") * F.col("cost")).alias("v"), F.count_if(~costed).alias("uncosted"))
+    """Value by category at the mean cost of what was received and stayed, only where every held product has such a cost."""
+    kept = supply.lots(spark, sf_dir).where(~F.col("returned") & (F.col("received_on") <= F.lit(TODAY).cast("date")))
+    costs = kept.groupBy("sku").agg(F.sum(F.col("units") * F.col("unit_cost")).alias("m"), F.sum("units").alias("u")).select("sku", F.expr("m div u").alias("c"))
+    held = _cells(spark, sf_dir).where("on_hand > 0").join(costs, "sku", "left")
+    sums = held.groupBy("market", "category").agg(F.bool_and(F.col("c").isNotNull()).alias("complete"), F.sum(F.col("on_hand") * F.col("c")).alias("v"), F.count_if(F.col("c").isNull()).alias("uncosted"))
     return sums.select("market", "category", "complete", F.when(F.col("complete"), F.col("v")).alias("value_minor"), "uncosted")
 
 

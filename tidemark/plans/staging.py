@@ -14,6 +14,7 @@ from ..sources.tables import locations, products, read, sale_lines, scratch
 from .basics import market_sales
 from .inventory import INV_SQL, _cells, _health, _lots
 from .registration import Registry
+from .supply import _TERMS, _terms
 
 query = Registry(INV_SQL)
 
@@ -34,12 +35,12 @@ def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("customers"))
 
 
-@query("SELECT sku, location, CASE WHEN location % 10 = 0 THEN 'warehouse' ELSE 'store' END AS kind, on_hand, committed FROM cells")
+@query("SELECT sku, c.location, CASE WHEN d.location IS NULL THEN 'store' ELSE 'warehouse' END AS kind, on_hand, committed FROM cells c LEFT JOIN depot d ON d.location = c.location")
 def stage_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warehouse and store snapshots united by name into one role."""
+    """Snapshots of warehouses, which are the nations' depots, and of stores in one role."""
     cells = canon.stock_cells(sale_lines(spark, sf_dir)).select("sku", "location", "on_hand", "committed")
-    depots = cells.where("location % 10 = 0").withColumn("kind", F.lit("warehouse"))
-    return depots.unionByName(cells.where("location % 10 <> 0").withColumn("kind", F.lit("store")))
+    depots = supply.depots(spark, sf_dir).select("location", F.lit("warehouse").alias("role"))
+    return cells.join(depots, "location", "left").select("sku", "location", F.coalesce("role", F.lit("store")).alias("kind"), "on_hand", "committed")
 
 
 @query("SELECT s.order_id, s.line_no, s.sku, s.location, s.units AS received_units, o_orderstatus AS order_status, gross_minor // s.units AS unit_cost FROM sales s LEFT JOIN orders ON o_orderkey = s.order_id WHERE fulfilled")
@@ -79,10 +80,17 @@ def inv_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy(state.alias("state")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
 
 
-@query("SELECT s_suppkey, market || '/' || nation || '/' || s_suppkey AS location_key FROM supplier JOIN locations ON location = s_suppkey")
+@query("""SELECT 'site' AS source, CAST(s_suppkey AS VARCHAR) AS source_key, market, location_key, 'identity' AS mapped_by FROM supplier JOIN xwalk ON location = s_suppkey UNION ALL
+  SELECT 'customer', CAST(k AS VARCHAR), r_name, d.location_key, CASE WHEN d.location_key IS NULL THEN 'none' ELSE 'topology' END FROM (SELECT DISTINCT c_nationkey AS k FROM customer) JOIN nation ON n_nationkey = k JOIN region ON n_regionkey = r_regionkey LEFT JOIN depot d ON d.nation = n_name""")
 def location_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = locations(spark, sf_dir)
-    return sites.select(F.col("location").alias("s_suppkey"), F.concat_ws("/", "market", "nation", F.col("location").cast("string")).alias("location_key"))
+    """Source keys under canonical locations: a site's key is its own, a customer's nation goes to the depot of that nation, if there is one."""
+    own = supply.crosswalk(spark, sf_dir).select(F.lit("site").alias("source"), F.col("location").cast("string").alias("source_key"), "market", "location_key", F.lit("identity").alias("mapped_by"))
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("nation"), F.col("r_name").alias("market"))
+    asked = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey")).distinct().join(places, "n_nationkey")
+    found = asked.join(supply.depots(spark, sf_dir).select("nation", "location_key"), "nation", "left")
+    mapped = F.when(F.col("location_key").isNull(), "none").otherwise("topology")
+    return own.unionByName(found.select(F.lit("customer").alias("source"), F.col("n_nationkey").cast("string").alias("source_key"), "market", "location_key", mapped.alias("mapped_by")))
 
 
 _BANDS = """, seen AS (SELECT s.sku, CAST(date_trunc('quarter', business_date) AS DATE) AS quarter, CASE WHEN sum(gross_minor) < sum(s.units) * any_value(price_minor) THEN 'below' WHEN sum(gross_minor) < 2 * sum(s.units) * any_value(price_minor) THEN 'list' ELSE 'above' END AS price_band,
@@ -132,10 +140,12 @@ def canon_fulfilments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_lines(spark, sf_dir).where("fulfilled").join(sites, "location").join(who, "customer").select("order_id", "line_no", "sku", "demand_market", "supply_market", "units")
 
 
-@query("SELECT l.location, l.market, 7 + l.location % 15 AS lead_days, 1 + count(*) OVER (PARTITION BY l.market) AS fan_out FROM locations l")
+@query(f"SELECT t.location AS vendor, t.category, d.market, d.location_key AS warehouse, CAST(ceil(t.lead_days) AS BIGINT) AS lead_days, t.moq, t.valid_from FROM {_TERMS} t JOIN locations l ON l.location = t.location JOIN depot d ON d.market = l.market")
 def canon_lead_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.count("*").over(Window.partitionBy("market"))
-    return locations(spark, sf_dir).select("location", "market", (7 + F.col("location") % 15).alias("lead_days"), (size + 1).alias("fan_out"))
+    """Terms of every vendor and category, fanned out to each warehouse of the vendor's market."""
+    terms = _terms(spark, sf_dir).join(locations(spark, sf_dir).select("location", "market"), "location")
+    houses = supply.depots(spark, sf_dir).select("market", F.col("location_key").alias("warehouse"))
+    return terms.join(houses, "market").select(F.col("location").alias("vendor"), "category", "market", "warehouse", F.ceil("lead_days").cast("long").alias("lead_days"), "moq", "valid_from")
 
 
 @query("SELECT location, month, n, CASE WHEN late * 2 > n THEN 'high' WHEN late * 4 > n THEN 'medium' ELSE 'low' END AS band, round(100.0 * late / n, 4) AS late_percent FROM (SELECT location, CAST(date_trunc('month', business_date) AS DATE) AS month, count(*) AS n, count(*) FILTER (WHERE date_diff('day', business_date, CAST(known_as_of AS DATE)) > 60) AS late FROM sales GROUP BY ALL)")
@@ -146,13 +156,26 @@ def canon_supplier_perf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("location", "month", "n", band.alias("band"), F.round(100.0 * F.col("late") / F.col("n"), 4).alias("late_percent"))
 
 
-@query("SELECT 'location' AS dimension, CAST(location AS VARCHAR) AS dimension_key, sha256('location|' || location) AS row_hash FROM locations UNION ALL SELECT 'product', CAST(sku AS VARCHAR), sha256('product|' || sku) FROM products")
-def dimension_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def rows(df: DataFrame, name: str, key: str) -> DataFrame:
-        text = F.col(key).cast("string")
-        return df.select(F.lit(name).alias("dimension"), text.alias("dimension_key"), F.sha2(F.concat_ws("|", F.lit(name), text), 256).alias("row_hash"))
+_DIMENSIONS = {
+    "location": ("locations", "location", ("market", "nation", "location_name")),
+    "product": ("products", "sku", ("category", "dept", "product_name", "pack_qty", "price_minor")),
+    "customer": ("customer", "c_custkey", ("c_name", "c_mktsegment", "c_nationkey")),
+}
+
 
-    return rows(locations(spark, sf_dir), "location", "location").unionByName(rows(products(spark, sf_dir), "product", "sku"))
+def _payload_sql(columns: tuple[str, ...]) -> str:
+    return "CAST(json_object(" + ", ".join(f"'{c}', {c}" for c in columns) + ") AS VARCHAR)"
+
+
+@query("SELECT dimension, dimension_key, payload, sha256(dimension || '|' || dimension_key || '|' || payload) AS row_hash FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS dimension, CAST({k} AS VARCHAR) AS dimension_key, {_payload_sql(c)} AS payload FROM {t}" for n, (t, k, c) in _DIMENSIONS.items()) + ")")
+def dimension_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dimension as keyed JSON rows with a hash of name, key and content."""
+    frames = {"locations": locations(spark, sf_dir), "products": products(spark, sf_dir), "customer": read(spark, sf_dir, "customer")}
+    out = None
+    for name, (table, key, columns) in _DIMENSIONS.items():
+        rows = frames[table].select(F.lit(name).alias("dimension"), F.col(key).cast("string").alias("dimension_key"), F.to_json(F.struct(*columns)).alias("payload"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("row_hash", text.hash_key("dimension", "dimension_key", "payload"))
 
 
 @query("SELECT 'positive_pack' AS rule, count(*) AS n FROM products WHERE pack_qty < 1 UNION ALL SELECT 'known_category', count(*) FROM products WHERE category IS NULL OR dept NOT LIKE 'Brand#%'")
@@ -249,11 +272,12 @@ def rpt_safety_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand, count(*) AS n, sum(p_size) AS sizes FROM part GROUP BY p_brand", base=False)
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole JSON documents written by Spark, one row each, and read back with their schema."""
-    part = read(spark, sf_dir, "part").select("p_brand", F.col("p_size").alias("size"))
+    """Whole files that hold one JSON document each, an array of at most a thousand parts, written by Spark and read back."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").alias("size"))
+    documents = part.groupBy(F.expr("p_partkey div 1000")).agg(F.to_json(F.collect_list(F.struct("p_brand", "size"))).alias("value"))
     path = scratch(spark, "json")
-    part.write.json(path)
-    found = files.scan_json(spark, [path], part.schema, lines=True)
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    found = files.scan_json(spark, [path], part.select("p_brand", "size").schema, lines=False)
     return found.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"))
 
 

@@ -441,27 +441,54 @@ def _promos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("category", "dept", "market", F.trunc("business_date", "MM").alias("month")).agg(F.count("*").alias("lines"), F.sum("discount_minor").alias("given_minor"), F.max("discount_pct").alias("deepest"))
 
 
-@query(f"SELECT category, month, CAST(sum(given_minor) AS BIGINT) AS given_minor, max(deepest) AS deepest, month >= last - INTERVAL 90 DAY AS active FROM {_PROMO} CROSS JOIN (SELECT max(month) AS last FROM {_PROMO}) GROUP BY category, month, last")
+#: a week is promoted when its lines give away this percentage or more
+PROMOTED = 6
+promoted = Registry(SUPPLY_SQL + f"""
+, pline AS (SELECT category, dept, s.sku, market, location, CAST(date_trunc('week', business_date) AS DATE) AS week, gross_minor, discount_minor, discount_pct FROM msales s JOIN products p ON p.sku = s.sku),
+pweek AS (SELECT category, market, week FROM pline GROUP BY ALL HAVING 100 * sum(discount_minor) >= {PROMOTED} * sum(gross_minor)),
+pmark AS (SELECT *, CASE WHEN lag(week) OVER (PARTITION BY category, market ORDER BY week) = week - 7 THEN NULL ELSE week END AS first FROM pweek),
+pspan AS (SELECT category, market, week, max(first) OVER (PARTITION BY category, market ORDER BY week) AS starts_on FROM pmark),
+promo AS (SELECT l.*, starts_on, sha256(l.category || '|' || l.market || '|' || CAST(starts_on AS VARCHAR)) AS promotion_id FROM pline l JOIN pspan s ON s.category = l.category AND s.market = l.market AND s.week = l.week)
+""")
+
+
+def _promotion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of promotions: runs of promoted weeks of a category in a market, named by where and when they start."""
+    goods, week = products(spark, sf_dir).select("sku", "category", "dept"), F.to_date(F.date_trunc("week", "business_date"))
+    lines = sale_lines(spark, sf_dir).join(locations(spark, sf_dir).select("location", "market"), "location").join(goods, "sku")
+    lines = lines.select("category", "dept", "sku", "market", "location", week.alias("week"), "gross_minor", "discount_minor", "discount_pct")
+    sums = lines.groupBy("category", "market", "week").agg(F.sum("discount_minor").alias("given"), F.sum("gross_minor").alias("gross"))
+    walk = Window.partitionBy("category", "market").orderBy("week")
+    goes_on = F.coalesce(F.lag("week").over(walk) == F.date_sub("week", 7), F.lit(False))
+    weeks = sums.where(F.col("given") * 100 >= F.col("gross") * PROMOTED).withColumn("first", F.when(~goes_on, F.col("week")))
+    spans = weeks.select("category", "market", "week", F.max("first").over(walk).alias("starts_on"))
+    return lines.join(spans, ["category", "market", "week"]).withColumn("promotion_id", text.hash_key("category", "market", "starts_on"))
+
+
+@promoted("""SELECT promotion_id, category, market, starts_on, CAST(max(week) + 6 AS DATE) AS ends_on, date_diff('day', starts_on, max(week)) // 7 + 1 AS weeks, count(*) AS lines, CAST(sum(discount_minor) AS BIGINT) AS given_minor, max(discount_pct) AS deepest,
+  max(week) + 6 >= last - 90 AS active FROM promo CROSS JOIN (SELECT max(business_date) AS last FROM sales) GROUP BY promotion_id, category, market, starts_on, last""")
 def canon_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Promotions by category and month, active or historical by the last month of all."""
-    rows = _promos(spark, sf_dir)
-    last = rows.agg(F.max("month").alias("last"))  # one row
-    sums = rows.groupBy("category", "month").agg(F.sum("given_minor").alias("given_minor"), F.max("deepest").alias("deepest"))
-    return sums.crossJoin(F.broadcast(last)).select("category", "month", "given_minor", "deepest", (F.col("month") >= F.date_sub("last", 90)).alias("active"))
+    """Promotions with their span, active if they end within 90 days of the last sale."""
+    last = sale_lines(spark, sf_dir).agg(F.max("business_date").alias("last"))  # one row
+    sums = _promotion_lines(spark, sf_dir).groupBy("promotion_id", "category", "market", "starts_on").agg(F.date_add(F.max("week"), 6).alias("ends_on"), F.count("*").alias("lines"), F.sum("discount_minor").alias("given_minor"), F.max("discount_pct").alias("deepest"))
+    weeks = F.expr("(datediff(ends_on, starts_on) + 1) div 7")
+    return sums.crossJoin(F.broadcast(last)).select("promotion_id", "category", "market", "starts_on", "ends_on", weeks.alias("weeks"), "lines", "given_minor", "deepest", (F.col("ends_on") >= F.date_sub("last", 90)).alias("active"))
 
 
-@query(f"SELECT sha256(category || '|' || CAST(month AS VARCHAR) || '|' || market) AS scope_key, category, month, market, CAST(sum(lines) AS BIGINT) AS lines FROM {_PROMO} GROUP BY category, month, market")
+@promoted("SELECT sha256(promotion_id || '|' || location_key) AS scope_key, promotion_id, location_key, count(*) AS lines FROM promo p JOIN xwalk x ON x.location = p.location GROUP BY promotion_id, location_key")
 def canon_promotion_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _promos(spark, sf_dir).groupBy("category", "month", "market").agg(F.sum("lines").alias("lines"))
-    return rows.withColumn("scope_key", text.hash_key("category", "month", "market"))
+    """The sites that took part in each promotion, under a hashed key."""
+    rows = _promotion_lines(spark, sf_dir).join(_sites(spark, sf_dir).select("location", "location_key"), "location")
+    return rows.groupBy("promotion_id", "location_key").agg(F.count("*").alias("lines")).withColumn("scope_key", text.hash_key("promotion_id", "location_key"))
 
 
-@query(f"SELECT month, CASE WHEN lines >= 3 THEN 'category' ELSE 'dept' END AS target_type, CASE WHEN lines >= 3 THEN category ELSE dept END AS target, CAST(sum(given_minor) AS BIGINT) AS given_minor FROM {_PROMO} GROUP BY ALL")
+@promoted("SELECT promotion_id, CASE WHEN min(sku) = max(sku) THEN 'sku' WHEN min(dept) = max(dept) THEN 'dept' ELSE 'category' END AS target_type, CASE WHEN min(sku) = max(sku) THEN CAST(min(sku) AS VARCHAR) WHEN min(dept) = max(dept) THEN min(dept) ELSE min(category) END AS target FROM promo GROUP BY promotion_id")
 def canon_promotion_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A promotion aims at its category where it is wide, at the department otherwise."""
-    wide = F.col("lines") >= 3
-    rows = _promos(spark, sf_dir).select("month", F.when(wide, "category").otherwise("dept").alias("target_type"), F.when(wide, F.col("category")).otherwise(F.col("dept")).alias("target"), "given_minor")
-    return rows.groupBy("month", "target_type", "target").agg(F.sum("given_minor").alias("given_minor"))
+    """A promotion aims at the one product that it sold, at the one department, or at its category."""
+    one = {c: F.min(c) == F.max(c) for c in ("sku", "dept")}
+    kind = F.when(one["sku"], "sku").when(one["dept"], "dept").otherwise("category")
+    target = F.when(one["sku"], F.min("sku").cast("string")).when(one["dept"], F.min("dept")).otherwise(F.min("category"))
+    return _promotion_lines(spark, sf_dir).groupBy("promotion_id").agg(kind.alias("target_type"), target.alias("target"))
 
 
 @query("SELECT location_key, sku, channel, CAST(sum(received_units) AS BIGINT) AS allocated, CAST(sum(units) AS BIGINT) AS requested FROM ship JOIN xwalk USING (location) GROUP BY ALL")
@@ -479,4 +506,4 @@ def canon_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.join(names, "location").join(first, "location", "left").select("location_key", "location_name", "market", "nation", "first_sale")
 
 
-QUERIES, ORACLES = query.queries, query.oracles
+QUERIES, ORACLES = query.queries | promoted.queries, query.oracles | promoted.oracles
