@@ -54,3 +54,15 @@ def test_tiny_and_huge_components_change_no_other_link(spark):
         for i in keep:
             extra[i] += bool(u[i] @ v >= 0.95)
     assert [got[i] for i in keep] == [int(n) + extra[i] for i, n in zip(keep, links)]
+
+
+def test_null_and_repeated_ids(spark):
+    def at(degrees):
+        return [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+
+    # 18 degrees and less link; ids: a null between 4 and 9, a null alone, two null copies, 4 again elsewhere
+    rows = [(9, at(0)), (None, at(15)), (4, at(30)), (None, at(100)), (None, at(150)), (None, at(150)), (4, at(200)), (3, at(210)), (4, at(30)), (None, None), (None, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in near_vectors(df).collect()))
+    want = [(9, 1, 4, False), (-1, 3, 4, False), (4, 2, 4, True), (4, 2, 4, True), (-1, 0, -1, True), (-1, 1, -1, True), (-1, 1, -1, True), (4, 1, 3, False), (3, 1, 3, True), (-1, 0, -1, True), (-1, 0, -1, True)]
+    assert got == sorted(want)

@@ -25,6 +25,7 @@ from .common import shipped, written
 from .graph import connected_components
 
 BLOCK = 1024
+HOT_SHARE = 1000
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -122,12 +123,12 @@ def _compare(quantiser: Quantiser, least: float):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         index, asks = block[~block["asks"]], block[block["asks"]]
         if not len(index) or not len(asks):
-            return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
+            return pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
         centre = quantiser.coarse[int(block["list"].iloc[0])]
         x, q = np.stack(index["unit"].to_list()), np.stack(asks["unit"].to_list())
         codes = np.stack([np.frombuffer(c, np.uint8) for c in index["code"]]).astype(np.int64)
         reach = (link + index["error"].to_numpy()) ** 2
-        ids, own, weight = index["vec_id"].to_numpy(), asks["vec_id"].to_numpy(), index["copies"].to_numpy()
+        ids, own, weight = index["node"].to_numpy(), asks["node"].to_numpy(), index["copies"].to_numpy()
         links, left, right = np.zeros(len(q), dtype=np.int64), [], []
         for i in range(0, len(q), 128):
             part = q[i : i + 128]
@@ -145,8 +146,8 @@ def _compare(quantiser: Quantiser, least: float):
         place[order] = np.arange(len(nodes))
         label = _labels(len(nodes), place[np.concatenate(left)], place[np.concatenate(right) + len(own)])
         root = nodes[order][label[place]]
-        frame = pd.DataFrame({"vec_id": nodes, "links": np.concatenate([links, np.zeros(len(ids), np.int64)]), "root": root})
-        return frame[(frame["links"] > 0) | (frame["root"] != frame["vec_id"])]
+        frame = pd.DataFrame({"node": nodes, "links": np.concatenate([links, np.zeros(len(ids), np.int64)]), "root": root})
+        return frame[(frame["links"] > 0) | (frame["root"] != frame["node"])]
 
     return run
 
@@ -157,6 +158,18 @@ def _valid() -> Column:
     return value.isNotNull() & (F.size(value) > 0) & F.coalesce(sound, F.lit(False)) & F.exists(value, lambda v: v != 0)
 
 
+def _joined(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows of many with the row of their key in one(key, n, ...), n being the rows that many has of it.
+
+    A key with more than one in HOT_SHARE of the rows is joined by broadcast: there are fewer than
+    HOT_SHARE such keys.
+    """
+    large = F.col("n") * HOT_SHARE > total
+    hot = one.where(large)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(~large), key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def near_vectors(
     vectors: DataFrame, *, least: float = 0.95, sample_rows: int = 20000, list_rows: int = 256, most_lists: int = 4096, m: int = 16, codes: int = 64
 ) -> DataFrame:
@@ -165,24 +178,34 @@ def near_vectors(
     Vectors link when their cosine in double precision is `least` or more; equal vectors are one
     class and link with one another. Components of any finite size are fine. Centres and codebooks
     are fitted on at most `sample_rows` classes, drawn by hash. Null, empty or zero vectors, and those with a null or
-    non-finite component, link with nothing; vectors of unlike lengths don't link, each length has an index of its own. Rows that repeat a vec_id get a row each. Extra columns are ignored.
+    non-finite component, link with nothing; vectors of unlike lengths don't link, each length has an index of its own.
+    Every row is a vector of its own: rows that repeat a vec_id get a row each, with the links of
+    their own vector, and a repeated id joins no components. A row without an id links like any
+    other and counts for its neighbours; its component_id is the least id that it reaches, null
+    where it reaches none, and it is kept only then. Extra columns are ignored.
     """
     rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("valid", _valid()))
     # 0.0 also stands for -0.0
     sound = rows.where("valid").select("vec_id", F.transform("embedding", lambda v: v + F.lit(0.0)).alias("embedding"))
-    classes = written(sound.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
+    of_class = sound.groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    # numbered, as ids may be null or repeat; written, so that the numbers stay
+    classes = written(of_class.withColumn("node", F.monotonically_increasing_id()))
     found = [_class_links(classes.where(F.size("embedding") == r["n"]), least, sample_rows, list_rows, most_lists, m, codes)
              for r in classes.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect()]
-    shape = "vec_id long, links long, root long"
+    shape = "node long, links long, root long"
     links = vectors.sparkSession.createDataFrame([], shape)
     for part in found:
         links = links.union(part)
     links = written(links)
-    counts = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    parts = connected_components(links.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    judged = classes.join(counts, "vec_id", "left").join(parts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    of_class = judged.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    whole = sound.join(of_class, "embedding").select("vec_id", "n_links", "component_id")
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = connected_components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("id", "node")
+    judged = classes.join(counts, "node", "left").join(parts, "node", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    judged = written(judged.select("embedding", "least_id", "copies", n_links.alias("n_links"), F.coalesce("component_id", "node").alias("part")))
+    sizes = judged.agg(F.count("*").alias("classes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    ids = written(judged.groupBy("part").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")))
+    told = written(_joined(judged, ids, "part", sizes["classes"]).select("embedding", "n_links", "component_id", F.col("copies").alias("n")))
+    whole = _joined(sound, told, "embedding", sizes["rows"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return whole.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
@@ -205,9 +228,9 @@ def _class_links(classes: DataFrame, least: float, sample_rows: int, list_rows:
                 code = index.encode(rest)
                 error = np.sqrt(((rest - index.decode(code)) ** 2).sum(1))
                 away = np.sqrt((rest**2).sum(1))
-                yield pd.DataFrame({"vec_id": frame["vec_id"], "copies": frame["copies"], "unit": list(x), "code": [c.tobytes() for c in code], "error": error, "own": own.astype(np.int32), "away": away})
+                yield pd.DataFrame({"node": frame["node"], "copies": frame["copies"], "unit": list(x), "code": [c.tobytes() for c in code], "error": error, "own": own.astype(np.int32), "away": away})
 
-    homes = written(classes.mapInPandas(place, "vec_id long, copies long, unit array<double>, code binary, error double, own int, away double"))
+    homes = written(classes.mapInPandas(place, "node long, copies long, unit array<double>, code binary, error double, own int, away double"))
     radius = np.full(len(quantiser.coarse), -np.inf)
     for r in homes.groupBy("own").agg(F.max("away").alias("r")).collect():  # a row for each list: most_lists at most
         radius[r["own"]] = r["r"]
@@ -223,9 +246,9 @@ def _class_links(classes: DataFrame, least: float, sample_rows: int, list_rows:
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         return _compare(fitted(), least)(block)
 
-    shape = "vec_id long, copies long, unit array<double>, code binary, error double, own int, lists array<int>"
+    shape = "node long, copies long, unit array<double>, code binary, error double, own int, lists array<int>"
     placed = written(homes.drop("away").mapInPandas(probe, shape))
-    asked = placed.select("vec_id", F.explode("lists").alias("list"))
+    asked = placed.select("node", F.explode("lists").alias("list"))
     sizes = placed.groupBy(F.col("own").alias("list")).count().withColumnRenamed("count", "n")
     # one row for each list: bounded by most_lists
     blocks = F.broadcast(
@@ -239,8 +262,8 @@ def _class_links(classes: DataFrame, least: float, sample_rows: int, list_rows:
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    dealt = F.xxhash64("vec_id")
+    dealt = F.xxhash64("node")
     index = placed.withColumn("list", F.col("own")).join(blocks, "list").withColumns({"i": F.pmod(dealt, F.col("n_index")).cast("int"), "a": every("n_asks"), "asks": F.lit(False)})
     asks = placed.withColumn("list", F.explode("lists")).join(blocks, "list").withColumns({"a": F.pmod(dealt, F.col("n_asks")).cast("int"), "i": every("n_index"), "asks": F.lit(True)})
-    cols = ["list", "i", "a", "asks", "vec_id", "copies", "unit", "code", "error"]
-    return index.select(cols).union(asks.select(cols)).groupBy("list", "i", "a").applyInPandas(compare, "vec_id long, links long, root long")
+    cols = ["list", "i", "a", "asks", "node", "copies", "unit", "code", "error"]
+    return index.select(cols).union(asks.select(cols)).groupBy("list", "i", "a").applyInPandas(compare, "node long, links long, root long")
