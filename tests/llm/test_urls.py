@@ -3,7 +3,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import urls
+from tidemark.llm import queries, urls
 
 SF = "/root/testdata/sf0.01"
 
@@ -149,3 +149,18 @@ def test_hot_and_null_urls_keep_their_rows(spark):
     out = urls.filter_urls(hot.union(null).union(labels.selectExpr("-1L", "url", "'x'", "1")), rules=[], labels=labels).cache()
     assert out.count() == 5400 and out.where("page_id >= 0").select("page_id").distinct().count() == 5000
     assert {(r["verdict"], r["count"]) for r in out.where("page_id >= 0").groupBy("verdict").count().collect()} == {("block", 3000), ("allow", 2000)}
+
+
+def test_query_judges_by_the_rules_of_its_contract(spark, tmp_path):
+    cases = [
+        (1, "http://a.com/en/5", "com/en/", "block"),
+        (2, "http://b.EXAMPLE.com/en/70", "example.com/en/7", "allow"),
+        (3, "http://a.net/de/8", "net/de/", "allow"),
+        (4, "http://example.net/de/91", "net/de/", "allow"),
+        (5, "http://c.example.net/de/85?x", "example.net/de/8", "block"),
+        (6, "http://a.org/es/", "org/es/", "block"),
+        (7, "http://a.org/de/", None, "allow"),
+    ]
+    spark.createDataFrame([c[:2] for c in cases], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op7_url_filters(spark, str(tmp_path)).select("page_id", "rule", "verdict").collect()
+    assert sorted(tuple(r) for r in got) == [(i, r, v) for i, _, r, v in cases]

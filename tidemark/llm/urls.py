@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Fixed rules of the query: verdict, host, start of the path.
+#: Rules where a caller gives none: verdict, host, start of the path. The query gives its own.
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
