@@ -237,3 +237,40 @@ print("all ran")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "all ran" in done.stdout, done.stderr[-3000:]
+
+
+def test_first_weights_are_fitted_on_all_grams_of_the_training_documents(spark):
+    words = [w.encode() for own in WORDS.values() for w in own]
+    table = speller(words, [1] * len(words)).table
+    size = np.array([len(w) for w in words])
+    keys, _ = lm.spelled(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, np.cumsum(size))
+    kinds, n = np.unique(keys | np.uint64(1 << 40), return_counts=True)
+    begun = sorted({97 << 24 | 98 << 16 | w[0] | 1 << 40 for w in words} | {97 << 24 | 98 << 16 | w[0] << 8 | w[1] | 1 << 40 for w in words})
+    grams = spark.createDataFrame(list(zip(kinds.view(np.int64).tolist(), n.tolist())), "gram long, n long").repartition(3)
+    got = lm.first_weights(grams, spark.createDataFrame([(g, 4) for g in begun], "gram long, n long"), table)
+
+    low = (1 << 40) - 1
+    rows = [(int(g) & low, 0, float(m)) for g, m in zip(kinds, n) if (int(g) & low) >> 16]
+    share = sum(float(m) for g, m in zip(kinds, n) if not (int(g) & low) >> 16) / (4 * len(begun))
+    rows += [(g & 0xFFFF, g & low, 4 * share) for g in begun]
+    xs, ys, ms = ([[] for _ in range(lm.GATES)] for _ in range(3))
+    for key, tail, m in rows:
+        byte = key & 255
+        for d in range(table.code.length[byte]):
+            node, bit = table.code.nodes[byte, d : d + 1], int(table.code.bits[byte, d])
+            seen = [table.look(c, node)[0].astype(float) for c in lm.contexts(np.array([key], np.uint64), 1)]
+            seen.append(table.look(lm.word_context(np.array([tail], np.uint64), 1), node)[0].astype(float) if tail else np.zeros(2))
+            level = []
+            for k, c in enumerate(seen):
+                c[bit] = max(c[bit] - 1, 0)
+                level += [sum(c.sum() > b for b in (0.5, 2.5, 10.5, 60.5))] if k in (2, 3) else []
+            gate = level[0] * 5 + level[1]
+            xs[gate].append([math.log((c[1] + 0.4) / (c[0] + 0.4)) for c in seen] + [0.3])
+            ys[gate].append(bit)
+            ms[gate].append(m)
+    for gate in range(lm.GATES):
+        x, y, m = np.array(xs[gate]).reshape(-1, lm.INPUTS), np.array(ys[gate]), np.array(ms[gate])
+        loss = lambda w: (m * np.logaddexp(0, (1 - 2 * y) * (x @ w))).sum() + lm.HOLD / 2 * ((w - 0.3) ** 2).sum()  # noqa: B023, E731
+        # the loss is convex, so no weight may gain by a small move
+        moves = [loss(got[gate] + d * np.eye(lm.INPUTS)[j]) for d in (-0.02, 0.02) for j in range(lm.INPUTS)]
+        assert loss(got[gate]) <= min(moves), gate
