@@ -138,3 +138,13 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
         scratch(session("spark://host:7077", None), "x")
     assert scratch(session("spark://host:7077", "/shared/"), "x").startswith("/shared/x-")
     assert "tidemark-" in scratch(session("local[2]", None), "x")
+
+
+def test_tasks_of_the_panel_grow_with_the_lines(spark, monkeypatch):
+    from tidemark.plans import panel as plan
+    from tidemark.sources import tables
+
+    sf, lines = "/root/testdata/sf0.001", spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    monkeypatch.setattr(tables.line_tasks, "__defaults__", (200,))
+    for name in ("feat_panel", "history_full", "history_partial", "quality_inputs"):
+        assert plan.QUERIES[name](spark, sf).rdd.getNumPartitions() == -(-lines // 200) > 8

@@ -15,9 +15,12 @@ ROLLS = (4, 8, 13, 26)
 INPUTS = ("lag_1", "lag_4", "lag_13", "lag_52", "mean_4", "mean_13", "mean_26", "dev_13", "zero_share_13", "price_ratio", "trend_4v13", "weeks_since_sale")
 
 
-def dense_weeks(lines: DataFrame) -> DataFrame:
-    """Units, money and lines of each series and Monday week from its first to its last sale; weeks without one are zero."""
-    rows = lines.select(*SERIES, "market", "business_date", "units", "net_minor").repartition(*SERIES)
+def dense_weeks(lines: DataFrame, tasks: int) -> DataFrame:
+    """Units, money and lines of each series and Monday week from its first to its last sale; weeks without one are zero.
+
+    A line may stand for many missing weeks, which are sorted in its task, so there are `tasks` of them.
+    """
+    rows = lines.select(*SERIES, "market", "business_date", "units", "net_minor").repartition(tasks, *SERIES)
     sums = rows.groupBy(*SERIES, "market", F.to_date(F.date_trunc("week", "business_date")).alias("week")).agg(F.sum("units").alias("units"), F.sum("net_minor").alias("net_minor"), F.count("*").alias("lines"))
     after = F.coalesce(F.date_sub(F.lead("week").over(Window.partitionBy(*SERIES).orderBy("week")), 7), F.col("week"))
     # a sold week stands for itself and the empty ones up to the next
