@@ -148,3 +148,17 @@ def test_tasks_of_the_panel_grow_with_the_lines(spark, monkeypatch):
     monkeypatch.setattr(tables.line_tasks, "__defaults__", (200,))
     for name in ("feat_panel", "history_full", "history_partial", "quality_inputs"):
         assert plan.QUERIES[name](spark, sf).rdd.getNumPartitions() == -(-lines // 200) > 8
+
+
+def test_cells_and_forecasts_read_the_lines_once(spark):
+    from tidemark.plans import inventory as plan
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+
+    assert scans(plan._cells(spark, "/root/testdata/sf0.001")) == 1
+    # cells with demand and weeks of series are written, so neither is computed again
+    assert scans(plan._supply(spark, "/root/testdata/sf0.001")) == 0
+    found = plan._cells(spark, "/root/testdata/sf0.001").select("sku", "location", "daily").where("daily is not null")
+    want = inventory.trailing_daily(plan.sale_lines(spark, "/root/testdata/sf0.001"), plan.TODAY)
+    assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0 < want.count()

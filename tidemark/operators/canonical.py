@@ -53,14 +53,17 @@ BUCKETS = {
 }
 
 
-def stock_cells(lines: DataFrame) -> DataFrame:
-    """Stock buckets of each sku and location that ever sold, from the states of its lines at the snapshot."""
+def stock_cells(lines: DataFrame, **more: Column) -> DataFrame:
+    """Stock buckets of each sku and location that ever sold, from the states of its lines at the snapshot.
+
+    `more` has further aggregates of units, fulfilled, returned and business_date, taken in the same pass.
+    """
     day = F.lit(SNAPSHOT).cast("date")
     due = F.col("known_as_of").cast("date")
     rows = lines.select("sku", "location", "units", "fulfilled", "returned", "business_date", due.alias("due"), day.alias("snapshot"), F.datediff(day, due).alias("age"))
     sums = [F.coalesce(F.sum(F.when(F.expr(rule), F.col("units"))), F.lit(0)).cast("long").alias(name) for name, rule in BUCKETS.items()]
     active = F.max("business_date") > F.date_sub(day, 730)
-    return rows.groupBy("sku", "location").agg(*sums, active.alias("active"))
+    return rows.groupBy("sku", "location").agg(*sums, active.alias("active"), *(v.alias(k) for k, v in more.items()))
 
 
 def positions(cells: DataFrame) -> DataFrame:

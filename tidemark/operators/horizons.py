@@ -29,8 +29,11 @@ def dense_series(weeks: DataFrame, keys: list[str], more: tuple[str, ...] = ())
     """weeks(keys, week, units) with every Monday week of a series from its first to the last of all series, zero where it sold nothing.
 
     The last week of the table is one row; a series that stopped selling goes on with zeros. Columns
-    in `more` are counted like units.
+    in `more` are counted like units. The weeks that sold are written once, as they are read twice.
     """
+    path = scratch(weeks.sparkSession, "weeks")
+    weeks.select(*keys, "week", "units", *more).write.parquet(path)
+    weeks = weeks.sparkSession.read.parquet(path)
     last = weeks.agg(F.max("week").alias("_end"))  # one row
     walk = Window.partitionBy(*keys).orderBy("week")
     rows = weeks.select(*keys, "week", "units", *more).crossJoin(F.broadcast(last))

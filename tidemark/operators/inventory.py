@@ -14,10 +14,18 @@ from ..sources.tables import scratch
 from .prefix import running_before
 
 
+def _trails(until: str, days: int) -> Column:
+    return (F.col("business_date") <= F.lit(until).cast("date")) & (F.col("business_date") > F.date_sub(F.lit(until).cast("date"), days))
+
+
 def trailing_daily(lines: DataFrame, until: str, days: int = 91) -> DataFrame:
     """Mean daily units of each cell over the days up to a date."""
-    seen = lines.where((F.col("business_date") <= F.lit(until).cast("date")) & (F.col("business_date") > F.date_sub(F.lit(until).cast("date"), days)))
-    return seen.groupBy("sku", "location").agg((F.sum("units") / F.lit(days)).alias("daily"))
+    return lines.where(_trails(until, days)).groupBy("sku", "location").agg((F.sum("units") / F.lit(days)).alias("daily"))
+
+
+def trailing_mean(until: str, days: int = 91) -> Column:
+    """The same as an aggregate over all lines of a cell: null where none lies in these days."""
+    return F.sum(F.when(_trails(until, days), F.col("units"))) / F.lit(days)
 
 
 def health(cells: DataFrame, under: float = 7, over: float = 45) -> DataFrame:
@@ -81,8 +89,11 @@ def protected(cells: DataFrame, forecasts: DataFrame, keys: list[str], decided:
 
     A cell has the share of its series' forecast that it has of the series' recent demand; of the
     deviation, the root of that share, as cells miss independently. Cells of a series without a
-    forecast known by the decision day are left out.
+    forecast known by the decision day are left out. Cells are written once, as they are read twice.
     """
+    path = scratch(cells.sparkSession, "cells")
+    cells.write.parquet(path)
+    cells = cells.sparkSession.read.parquet(path)
     units = F.sum(F.round(F.col("daily") * 91).cast("long"))
     whole = cells.groupBy(*keys).agg(units.alias("_whole"))
     known = forecast_arrays(forecasts, keys, decided)

@@ -45,8 +45,8 @@ query = Registry(INV_SQL)
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = sale_lines(spark, sf_dir)
     goods = products(spark, sf_dir).select("sku", "category", F.expr("price_minor * 6 div 10").alias("cost"), "pack_qty")
-    cells = canon.positions(canon.stock_cells(lines)).join(locations(spark, sf_dir).select("location", "market"), "location").join(goods, "sku")
-    return cells.join(inv.trailing_daily(lines, TODAY), ["sku", "location"], "left")
+    cells = canon.positions(canon.stock_cells(lines, daily=inv.trailing_mean(TODAY)))
+    return cells.join(locations(spark, sf_dir).select("location", "market"), "location").join(goods, "sku")
 
 
 def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
