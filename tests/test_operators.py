@@ -162,3 +162,13 @@ def test_cells_and_forecasts_read_the_lines_once(spark):
     found = plan._cells(spark, "/root/testdata/sf0.001").select("sku", "location", "daily").where("daily is not null")
     want = inventory.trailing_daily(plan.sale_lines(spark, "/root/testdata/sf0.001"), plan.TODAY)
     assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0 < want.count()
+
+
+def test_tasks_of_order_shares_and_roll_ups_grow_with_the_lines(spark, monkeypatch):
+    from tidemark.plans import basics, reports
+    from tidemark.sources import tables
+
+    sf, lines = "/root/testdata/sf0.001", spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    monkeypatch.setattr(tables.line_tasks, "__defaults__", (400,))
+    for query in (basics.QUERIES["largest_remainder"], reports.QUERIES["inv_node_demand"]):
+        assert query(spark, sf).rdd.getNumPartitions() == -(-lines // 400) > 8

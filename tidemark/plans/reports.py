@@ -9,7 +9,7 @@ from ..functions import money, text
 from ..operators import inventory as inv
 from ..operators.prefix import running_before
 from ..operators import supply, topology
-from ..sources.tables import locations, products, read, sale_lines
+from ..sources.tables import line_tasks, locations, products, read, sale_lines
 from .inventory import _NONE, _CONFLICT, _ORDERS, _Z, INV_SQL, TODAY, _cells, _health, _lots, _SAFETY, _site_terms, _supply, cell_forecasts, ordered
 from .registration import Registry
 from .supply import _CAPACITY, _MOVES, _WASTE, _capacity, _moves, _sites, _waste
@@ -152,9 +152,10 @@ def inv_node_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing demand and stock of each product at the warehouses, hubs and whole: those of the sites behind them."""
     rows = _cells(spark, sf_dir).select(F.col("location").cast("string").alias("node"), "sku", F.col("daily").cast("decimal(28,6)").alias("daily"), "position")
     edges = _edges(spark, sf_dir)
-    total = topology.roll_up(rows, edges, ["daily", "position"], ["sku"])
+    total = topology.roll_up(rows, edges, ["daily", "position"], ["sku"], tasks=line_tasks(spark, sf_dir))
     upper = edges.select(F.col("parent").alias("node")).distinct()
-    return total.join(upper, "node", "left_semi").select("node", "sku", F.round(F.col("daily").cast("double"), 6).alias("daily"), "position")
+    # nations, markets and the whole: few, and a shuffle by them would put a nation's products in one task
+    return total.join(F.broadcast(upper), "node", "left_semi").select("node", "sku", F.round(F.col("daily").cast("double"), 6).alias("daily"), "position")
 
 
 @query("SELECT sku, location, round(position / nullif(daily, 0), 6) AS days_supply, round(atp / nullif(daily, 0), 6) AS days_on_hand FROM cellx")
