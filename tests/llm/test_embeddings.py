@@ -66,3 +66,28 @@ def test_null_and_repeated_ids(spark):
     got = sorted(((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in near_vectors(df).collect()))
     want = [(9, 1, 4, False), (-1, 3, 4, False), (4, 2, 4, True), (4, 2, 4, True), (-1, 0, -1, True), (-1, 1, -1, True), (-1, 1, -1, True), (4, 1, 3, False), (3, 1, 3, True), (-1, 0, -1, True), (-1, 0, -1, True)]
     assert got == sorted(want)
+
+
+def test_rows_sent_to_comparisons_grow_as_the_table_does(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    kind, sent = type(spark.range(1).groupBy("id")), []
+    whole = kind.applyInPandas
+
+    def counted(self, *args, **kwargs):
+        sent.append(self._df.count())
+        return whole(self, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "applyInPandas", counted)
+    for n in (1200, 4800):
+        # a third is one group that several blocks share, with exact copies; the rest links with nothing
+        x = np.concatenate([r.normal(size=32) + r.normal(size=(n // 3, 32)) * 0.15, r.normal(size=(n - n // 3, 32))])
+        x[: n // 30] = x[n // 30 : n // 15]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        link = u @ u.T >= 0.95
+        np.fill_diagonal(link, False)
+        df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {v.vec_id: v for v in near_vectors(df, list_rows=32).collect()}
+        label = _labels(n, *np.nonzero(link))
+        assert [got[i].n_links for i in range(n)] == list(link.sum(1))
+        assert [got[i].component_id for i in range(n)] == list(label)
+    assert sent[1] <= 8 * 4800 and sent[1] <= 5.5 * sent[0]

@@ -3,13 +3,16 @@
 Unit vectors fall into coarse inverted lists; what remains after the list's centre is coded by one
 small codebook for each subspace. A query probes every list that can hold a vector within the link
 radius: the plane between two centres and the list's greatest radius both bound that. It scores the
-codes by table lookups, each code with the error it was stored with, so no link is missed, and
-reranks by exact cosine in double precision what the lookups let through. Centres and codebooks are
-fitted on a bounded sample; every vector is indexed and every vector is a query.
-
-Lists are dealt out in blocks: index rows of a list by block, its queries by block too, and each
-pair of blocks is compared on its own. Links are never written as pairs: a comparison returns one
-row for each query with its number of links, and the links that join its parts.
+codes of a list by one matrix product with what they stand for, each code with the error it was
+stored with, so no link is missed, and reranks by exact cosine in double precision what the scores
+let through. Centres and codebooks are fitted on a bounded sample; every vector is indexed and every
+vector is a query.
+
+Lists lie one after another over blocks of rows, near lists together. A row goes once to each block
+that a list in its reach lies in, and each pair of blocks is compared once, for both of its sides.
+There are `BLOCKS` blocks, more only where each would pass `BLOCK` rows, so rows are copied at most
+BLOCKS times each until then. Links are never written as pairs: a comparison returns one row for
+each vector with its number of links, and the links that join its parts.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import shipped, written
 from .graph import connected_components
 
-BLOCK = 1024
+BLOCK = 65536
+BLOCKS = 8
 HOT_SHARE = 1000
 
 
@@ -42,24 +46,22 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def lists_in_reach(x: np.ndarray, own: np.ndarray, centres: np.ndarray, radius: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each unit vector the lists that can hold a vector within the link radius, its own among them.
+def in_reach(x: np.ndarray, own: np.ndarray, centres: np.ndarray, radius: np.ndarray, least: float, lists: np.ndarray) -> np.ndarray:
+    """Rows x lists: whether a list can hold a vector within the link radius of a unit vector; its own always can.
 
     What lies in another cell is beyond the plane halfway between both centres, so the distance to
     that plane bounds it; so does a list's greatest distance `radius` of a member from its centre.
     """
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(x)
-    link, squares = np.sqrt(max(2 - 2 * least, 0)), (centres**2).sum(1)
+    out = np.zeros((len(x), len(lists)), dtype=bool)
+    link, some = np.sqrt(max(2 - 2 * least, 0)), centres[lists]
+    squares = (some**2).sum(1)
     for z in np.unique(own):
-        apart = 2 * link * np.sqrt(((centres - centres[z]) ** 2).sum(1)) + 1e-9
+        apart = 2 * link * np.sqrt(((some - centres[z]) ** 2).sum(1)) + 1e-9
         rows = np.flatnonzero(own == z)
-        for i in range(0, len(rows), 512):
-            some = rows[i : i + 512]
-            d = squares - 2 * x[some] @ centres.T
-            near = (d - d[:, z, None] <= apart) & (np.sqrt(np.maximum(d + 1, 0)) <= radius + link + 1e-6)
-            near[:, z] = True
-            for r, lists in zip(some, near):
-                out[r] = np.flatnonzero(lists).astype(np.int32)
+        d = squares - 2 * x[rows] @ some.T
+        own_d = (centres[z] ** 2).sum() - 2 * x[rows] @ centres[z]
+        near = (d - own_d[:, None] <= apart) & (np.sqrt(np.maximum(d + 1, 0)) <= radius[lists] + link + 1e-6)
+        out[rows] = near | (lists == z)
     return out
 
 
@@ -92,14 +94,6 @@ class Quantiser:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
 
-    def tables(self, rest: np.ndarray) -> np.ndarray:
-        """Squared distances from each query's subvectors to every code: queries x m x codes."""
-        most = max(len(b) for b in self.books)
-        out = np.full((len(rest), len(self.books), most), np.inf)
-        for j, ((a, b), book) in enumerate(zip(zip(self.cuts, self.cuts[1:]), self.books)):
-            out[:, j, : len(book)] = ((rest[:, None, a:b] - book[None]) ** 2).sum(2)
-        return out
-
 
 def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Least index that each of n nodes reaches by the links left-right."""
@@ -115,38 +109,56 @@ def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(quantiser: Quantiser, least: float):
-    """Links between a block of queries and a block of index rows of one list."""
+def _whole(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def _compare(quantiser: Quantiser, radius: np.ndarray, least: float):
+    """Links between the rows of two blocks, or of one block where both are the same."""
     # cosine c of unit vectors is a squared distance of 2 - 2c; a code is off by its row's `error`
     link = np.sqrt(max(2 - 2 * least, 0)) + 1e-9
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        index, asks = block[~block["asks"]], block[block["asks"]]
-        if not len(index) or not len(asks):
-            return pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-        centre = quantiser.coarse[int(block["list"].iloc[0])]
-        x, q = np.stack(index["unit"].to_list()), np.stack(asks["unit"].to_list())
-        codes = np.stack([np.frombuffer(c, np.uint8) for c in index["code"]]).astype(np.int64)
-        reach = (link + index["error"].to_numpy()) ** 2
-        ids, own, weight = index["node"].to_numpy(), asks["node"].to_numpy(), index["copies"].to_numpy()
-        links, left, right = np.zeros(len(q), dtype=np.int64), [], []
-        for i in range(0, len(q), 128):
-            part = q[i : i + 128]
-            tables = quantiser.tables(part - centre)
-            far = sum(tables[:, j, codes[:, j]] for j in range(codes.shape[1]))
-            a, b = np.nonzero(far <= reach[None])
-            sure = (np.einsum("ij,ij->i", part[a], x[b]) >= least) & (own[i + a] != ids[b])
-            a, b = a[sure] + i, b[sure]
-            links += np.bincount(a, weight[b], len(q)).astype(np.int64)
-            left.append(a)
-            right.append(b)
-        nodes = np.concatenate([own, ids])
-        order = np.argsort(nodes, kind="stable")
-        place = np.empty(len(nodes), dtype=np.int64)
-        place[order] = np.arange(len(nodes))
-        label = _labels(len(nodes), place[np.concatenate(left)], place[np.concatenate(right) + len(own)])
-        root = nodes[order][label[place]]
-        frame = pd.DataFrame({"node": nodes, "links": np.concatenate([links, np.zeros(len(ids), np.int64)]), "root": root})
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["block", "own"], kind="stable")
+        x, own, node, copies = _whole(rows["unit"], np.float64), rows["own"].to_numpy(), rows["node"].to_numpy(), rows["copies"].to_numpy()
+        n, one = len(rows), rows["i"].iloc[0] == rows["j"].iloc[0]
+        asks = int((rows["block"] == rows["i"]).sum())
+        start = 0 if one else asks  # of the index rows
+        index = rows.iloc[start:]
+        decoded = quantiser.coarse[own[start:]] + quantiser.decode(_whole(index["code"], np.uint8))
+        squares = (decoded**2).sum(1)
+        # least product of a query with a code that a link allows, less what single precision may lose
+        floor = ((1 + squares - (link + index["error"].to_numpy()) ** 2) / 2 - (x.shape[1] + 8) * 2.0**-22 * (1 + squares)).astype(np.float32)
+        decoded, single = decoded.astype(np.float32), x[:asks].astype(np.float32)
+        lists, first = np.unique(own[start:], return_index=True)
+        ends = np.append(first[1:], n - start)
+        near = in_reach(x[:asks], own[:asks], quantiser.coarse, radius, least, lists)
+        links, label, left, right, waiting = np.zeros(n, dtype=np.int64), np.arange(n), [], [], 0
+        for k, (begin, end) in enumerate(zip(first, ends)):
+            who = np.flatnonzero(near[:, k])
+            for u in range(begin, end, 1024):
+                v = min(u + 1024, end)
+                for i in range(0, len(who), 1024):
+                    part = who[i : i + 1024]
+                    a, b = np.divmod(np.flatnonzero(single[part] @ decoded[u:v].T >= floor[u:v]), v - u)
+                    a, b = part[a], b + (start + u)
+                    sure = np.zeros(len(a), dtype=bool)
+                    for c in range(0, len(a), 65536):
+                        sure[c : c + 65536] = np.einsum("ij,ij->i", x[a[c : c + 65536]], x[b[c : c + 65536]]) >= least
+                    sure &= a != b
+                    a, b = a[sure], b[sure]
+                    np.add.at(links, a, copies[b])
+                    if not one:
+                        np.add.at(links, b, copies[a])
+                    new = label[a] != label[b]
+                    left.append(a[new])
+                    right.append(b[new])
+                    waiting += int(new.sum())
+                    if waiting > 1 << 20:
+                        label = _labels(n, np.concatenate([np.arange(n), *left]), np.concatenate([label, *right]))
+                        left, right, waiting = [], [], 0
+        label = _labels(n, np.concatenate([np.arange(n), *left]), np.concatenate([label, *right]))
+        frame = pd.DataFrame({"node": node, "links": links, "root": node[label]})
         return frame[(frame["links"] > 0) | (frame["root"] != frame["node"])]
 
     return run
@@ -228,42 +240,37 @@ def _class_links(classes: DataFrame, least: float, sample_rows: int, list_rows:
                 code = index.encode(rest)
                 error = np.sqrt(((rest - index.decode(code)) ** 2).sum(1))
                 away = np.sqrt((rest**2).sum(1))
-                yield pd.DataFrame({"node": frame["node"], "copies": frame["copies"], "unit": list(x), "code": [c.tobytes() for c in code], "error": error, "own": own.astype(np.int32), "away": away})
-
-    homes = written(classes.mapInPandas(place, "node long, copies long, unit array<double>, code binary, error double, own int, away double"))
-    radius = np.full(len(quantiser.coarse), -np.inf)
-    for r in homes.groupBy("own").agg(F.max("away").alias("r")).collect():  # a row for each list: most_lists at most
-        radius[r["own"]] = r["r"]
-    reached = shipped(spark, (quantiser.coarse, radius))
+                yield pd.DataFrame({"node": frame["node"], "copies": frame["copies"], "unit": [u.tobytes() for u in x], "code": [c.tobytes() for c in code], "error": error, "own": own.astype(np.int32), "away": away})
+
+    homes = written(classes.mapInPandas(place, "node long, copies long, unit binary, code binary, error double, own int, away double"))
+    radius, size = np.full(len(quantiser.coarse), -np.inf), np.zeros(len(quantiser.coarse), dtype=np.int64)
+    for r in homes.groupBy("own").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect():  # a row for each list: most_lists at most
+        radius[r["own"]], size[r["own"]] = r["r"], r["n"]
+    n_blocks = max(1, min(BLOCKS, n // 128), -(-n // BLOCK))
+    order = np.argsort(nearest(quantiser.coarse, k_means(quantiser.coarse, n_blocks)), kind="stable")
+    before = np.zeros(len(size), dtype=np.int64)
+    before[order] = np.cumsum(size[order]) - size[order]
+    holds = (np.arange(n_blocks) >= (before * n_blocks // n)[:, None]) & (np.arange(n_blocks) <= ((before + size - 1) * n_blocks // n)[:, None])
+    reached = shipped(spark, (quantiser.coarse, radius, size, before, (holds & (size > 0)[:, None]).astype(np.float32)))
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, bound = reached()
-        for frame in frames:
-            if len(frame):
-                frame["lists"] = lists_in_reach(np.stack(frame["unit"].to_list()), frame["own"].to_numpy(), centres, bound, least)
+        centres, bound, rows, start, blocks = reached()
+        for whole in frames:
+            for i in range(0, len(whole), 1024):
+                frame = whole.iloc[i : i + 1024].copy()
+                own = frame["own"].to_numpy()
+                near = in_reach(_whole(frame["unit"], np.float64), own, centres, bound, least, np.arange(len(centres)))
+                # rows of a list are dealt over its stretch of blocks by a hash of their number
+                share = (frame["node"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) / 2.0**53
+                frame["block"] = ((start[own] + np.minimum(share * rows[own], rows[own] - 1).astype(np.int64)) * n_blocks // n).astype(np.int32)
+                frame["others"] = [np.flatnonzero(b).astype(np.int32) for b in near.astype(np.float32) @ blocks > 0]
                 yield frame
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        return _compare(fitted(), least)(block)
-
-    shape = "node long, copies long, unit array<double>, code binary, error double, own int, lists array<int>"
-    placed = written(homes.drop("away").mapInPandas(probe, shape))
-    asked = placed.select("node", F.explode("lists").alias("list"))
-    sizes = placed.groupBy(F.col("own").alias("list")).count().withColumnRenamed("count", "n")
-    # one row for each list: bounded by most_lists
-    blocks = F.broadcast(
-        written(
-            sizes.join(asked.groupBy("list").count().withColumnRenamed("count", "q"), "list").select(
-                "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_index"), F.ceil(F.col("q") / (4 * BLOCK)).cast("int").alias("n_asks")
-            )
-        )
-    )
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    dealt = F.xxhash64("node")
-    index = placed.withColumn("list", F.col("own")).join(blocks, "list").withColumns({"i": F.pmod(dealt, F.col("n_index")).cast("int"), "a": every("n_asks"), "asks": F.lit(False)})
-    asks = placed.withColumn("list", F.explode("lists")).join(blocks, "list").withColumns({"a": F.pmod(dealt, F.col("n_asks")).cast("int"), "i": every("n_index"), "asks": F.lit(True)})
-    cols = ["list", "i", "a", "asks", "node", "copies", "unit", "code", "error"]
-    return index.select(cols).union(asks.select(cols)).groupBy("list", "i", "a").applyInPandas(compare, "node long, links long, root long")
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return _compare(fitted(), reached()[1], least)(rows)
+
+    shape = "node long, copies long, unit binary, code binary, error double, own int, block int, others array<int>"
+    placed = homes.drop("away").mapInPandas(probe, shape).withColumn("other", F.explode("others"))
+    pairs = placed.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "unit", "code", "error", "own", "block")
+    dealt = pairs.repartition(n_blocks * (n_blocks + 1) // 2, "i", "j")
+    return dealt.groupBy("i", "j").applyInPandas(compare, "node long, links long, root long")
