@@ -10,8 +10,8 @@ vector is a query.
 
 Lists lie one after another over blocks of rows, near lists together. A row goes once to each block
 that a list in its reach lies in, and each pair of blocks is compared once, for both of its sides.
-There are `BLOCKS` blocks, more only where each would pass `BLOCK` rows, so rows are copied at most
-BLOCKS times each until then. Links are never written as pairs: a comparison returns one row for
+There are `BLOCKS` blocks, more only where each would pass `BLOCK` components, so rows are copied at
+most BLOCKS times each until then. Links are never written as pairs: a comparison returns one row for
 each vector with its number of links, and the links that join its parts.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import shipped, written
 from .graph import connected_components
 
-BLOCK = 65536
+BLOCK = 1 << 22
 BLOCKS = 8
 HOT_SHARE = 1000
 
@@ -121,6 +121,7 @@ def _compare(quantiser: Quantiser, radius: np.ndarray, least: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["block", "own"], kind="stable")
         x, own, node, copies = _whole(rows["unit"], np.float64), rows["own"].to_numpy(), rows["node"].to_numpy(), rows["copies"].to_numpy()
+        step = max(1, BLOCK // x.shape[1])
         n, one = len(rows), rows["i"].iloc[0] == rows["j"].iloc[0]
         asks = int((rows["block"] == rows["i"]).sum())
         start = 0 if one else asks  # of the index rows
@@ -143,8 +144,8 @@ def _compare(quantiser: Quantiser, radius: np.ndarray, least: float):
                     a, b = np.divmod(np.flatnonzero(single[part] @ decoded[u:v].T >= floor[u:v]), v - u)
                     a, b = part[a], b + (start + u)
                     sure = np.zeros(len(a), dtype=bool)
-                    for c in range(0, len(a), 65536):
-                        sure[c : c + 65536] = np.einsum("ij,ij->i", x[a[c : c + 65536]], x[b[c : c + 65536]]) >= least
+                    for c in range(0, len(a), step):
+                        sure[c : c + step] = np.einsum("ij,ij->i", x[a[c : c + step]], x[b[c : c + step]]) >= least
                     sure &= a != b
                     a, b = a[sure], b[sure]
                     np.add.at(links, a, copies[b])
@@ -246,7 +247,7 @@ def _class_links(classes: DataFrame, least: float, sample_rows: int, list_rows:
     radius, size = np.full(len(quantiser.coarse), -np.inf), np.zeros(len(quantiser.coarse), dtype=np.int64)
     for r in homes.groupBy("own").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect():  # a row for each list: most_lists at most
         radius[r["own"]], size[r["own"]] = r["r"], r["n"]
-    n_blocks = max(1, min(BLOCKS, n // 128), -(-n // BLOCK))
+    n_blocks = max(1, min(BLOCKS, n // 128), -(-n * units.shape[1] // BLOCK))
     order = np.argsort(nearest(quantiser.coarse, k_means(quantiser.coarse, n_blocks)), kind="stable")
     before = np.zeros(len(size), dtype=np.int64)
     before[order] = np.cumsum(size[order]) - size[order]
