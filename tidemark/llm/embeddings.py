@@ -55,13 +55,16 @@ def in_reach(x: np.ndarray, own: np.ndarray, centres: np.ndarray, radius: np.nda
     out = np.zeros((len(x), len(lists)), dtype=bool)
     link, some = np.sqrt(max(2 - 2 * least, 0)), centres[lists]
     squares = (some**2).sum(1)
-    for z in np.unique(own):
-        apart = 2 * link * np.sqrt(((some - centres[z]) ** 2).sum(1)) + 1e-9
-        rows = np.flatnonzero(own == z)
-        d = squares - 2 * x[rows] @ some.T
-        own_d = (centres[z] ** 2).sum() - 2 * x[rows] @ centres[z]
-        near = (d - own_d[:, None] <= apart) & (np.sqrt(np.maximum(d + 1, 0)) <= radius[lists] + link + 1e-6)
-        out[rows] = near | (lists == z)
+    most = np.where(radius[lists] >= 0, (radius[lists] + link + 1e-6) ** 2, -1)
+    for i in range(0, len(x), 1024):
+        part, z = x[i : i + 1024], own[i : i + 1024]
+        home = centres[z]
+        own_squares = (home**2).sum(1)
+        d = squares - 2 * part @ some.T
+        own_d = own_squares - 2 * np.einsum("ij,ij->i", part, home)
+        # 1e-12 is more than rounding takes from the squared distance of two centres
+        apart = np.sqrt(np.maximum(squares + own_squares[:, None] - 2 * home @ some.T, 0) + 1e-12)
+        out[i : i + 1024] = ((d - own_d[:, None] <= 2 * link * apart + 1e-9) & (d + 1 <= most)) | (lists == z[:, None])
     return out
 
 
